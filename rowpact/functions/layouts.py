@@ -16,7 +16,7 @@ from pyspark.sql import Column, functions as F
 _MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August",
            "September", "October", "November", "December")
 _KNOWN = r"2006|January|Jan|01|02|04|05|06|15|1|2"
-_UNKNOWN = r"Monday|Mon|MST|Z07:00|Z0700|Z07|[-+]07(?::?00)?|PM|pm|002|__2|_2|03|3|4|5|[.,]0+|[.,]9+"
+_UNKNOWN = r"Monday|Mon|MST|Z07:00|Z0700|Z07|[-+]07(?::?00)?|PM|pm|002|__2|_2|03|3|4|5|(?<=05)[.,](?:0+|9+)(?![0-9])"
 _ELEMENT = re.compile(rf"(?P<bad>(?:{_UNKNOWN})(?![A-Za-z]))|(?P<good>{_KNOWN})")
 _DIGIT_ELEMENTS = {"2006", "06", "01", "02", "04", "05", "15", "1", "2"}
 

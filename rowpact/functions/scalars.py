@@ -61,9 +61,7 @@ def mask(value: Column) -> Column:
 def e164_kr(value: Column) -> Column:
     """Korean phone number in E.164 form; other numbers keep just their digits."""
     digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    national = ((n == 10) & digits.startswith("0")) | ((n == 11) & digits.startswith("01"))
-    return F.when(national, F.concat(F.lit("+82"), F.substring(digits, 2, 10))).otherwise(digits)
+    return F.regexp_replace(digits, r"^0(?:([0-9]{9})|(1[0-9]{9}))\z", r"+82$1$2")
 
 
 def as_date(as_of: Column | dt.date | str | None) -> Column:

@@ -90,7 +90,18 @@ def text_length(value: Column, unit: str = "bytes") -> Column:
     return F.octet_length(value) if unit == "bytes" else F.char_length(value)
 
 
-def type_error(value: Column, spec: ColumnSpec, as_of: Column | dt.date | str | None) -> list[tuple]:
+def date_helpers(value: Column, spec: ColumnSpec, as_of: Column | dt.date | str | None) -> list[Column]:
+    """The parsed date and the age of a date column, for a layer below the checks."""
+    date = parse_date(value, spec.layout)
+    if spec.layout != DEFAULT_DATE_LAYOUT:
+        return [date]
+    return [date, age_years(date, as_of)]
+
+
+def type_error(
+    value: Column, spec: ColumnSpec, as_of: Column | dt.date | str | None,
+    helpers: list[Column] | None,
+) -> list[tuple]:
     """(failed, message) pairs of the type check."""
     if spec.type == "int":
         return [(~is_int(value), F.lit(MSG_INT))]
@@ -99,10 +110,9 @@ def type_error(value: Column, spec: ColumnSpec, as_of: Column | dt.date | str |
     if spec.type.startswith("decimal"):
         return [(~is_decimal(value), F.lit(MSG_DECIMAL))]
     if spec.is_date:
-        date = parse_date(value, spec.layout)
+        date, *ages = helpers or date_helpers(value, spec, as_of)
         failures = [(date.isNull(), F.lit(MSG_DATE))]
-        if spec.layout == DEFAULT_DATE_LAYOUT:
-            age = age_years(date, as_of)
+        for age in ages:
             before, after = MSG_AGE.split("{age}")
             message = F.concat(F.lit(before), age.cast("string"), F.lit(after))
             failures.append((~age.between(MIN_AGE, MAX_AGE), message))
@@ -116,9 +126,10 @@ def column_failures(
     as_of: Column | dt.date | str | None = None,
     length_unit: str = "bytes",
     enforce_range: bool = True,
+    helpers: list[Column] | None = None,
 ) -> list[tuple]:
     """(failed, message) pairs for a non-empty cleansed value, in checking order."""
-    failures = type_error(value, spec, as_of)
+    failures = type_error(value, spec, as_of, helpers)
     length = text_length(value, length_unit)
     if spec.min_len is not None:
         failures.append((length < spec.min_len, F.lit(MSG_MIN_LEN.format(n=spec.min_len))))
@@ -144,6 +155,7 @@ def first_error(
     as_of: Column | dt.date | str | None = None,
     length_unit: str = "bytes",
     enforce_range: bool = True,
+    helpers: list[Column] | None = None,
 ) -> Column:
     """The first failing check's message, NULL when the column is fine.
 
@@ -152,7 +164,9 @@ def first_error(
     """
     empty = F.lit(MSG_REQUIRED) if spec.required else F.lit(None).cast("string")
     chain = F.when(raw == "", empty)
-    for failed, message in column_failures(value, spec, as_of, length_unit, enforce_range):
+    for failed, message in column_failures(
+        value, spec, as_of, length_unit, enforce_range, helpers
+    ):
         chain = chain.when(failed, message)
     return chain.otherwise(F.lit(None).cast("string"))
 

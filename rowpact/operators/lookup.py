@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 256  # upper bound on the rows of every table broadcast here
+HOT_KEYS = 256  # upper bound on the rows of the table that is broadcast here
 TRACKED_KEYS = 10_000  # sketch size: a key above roughly 4/10,000 of the rows is found
 
 
@@ -16,7 +16,7 @@ def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
     return (
         df.filter(F.col(key).isNotNull())
         .agg(sketch.alias("_top"))
-        .select(F.explode("_top.item").alias(key))
+        .select(F.explode("_top.item").alias("_hot_key"))
     )
 
 
@@ -26,28 +26,38 @@ def lookup_join(
     key: str,
     payload: Sequence[str],
     row: str = "row",
-    hot_limit: int = HOT_KEYS,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """`left` with the payload of `right`, which has one row per text key; NULL without a match.
 
-    The frequent keys of the left side (never more than `hot_limit`) and what the right side
-    knows about them are broadcast. All other rows take a shuffle join. Rows already served
-    get a key of their own there, so they spread instead of meeting in one task. The sketch
-    only picks the path; the result does not depend on it.
+    Rows of a frequent key are spread over the shuffle partitions by a salt from their row
+    number, and the one right row of that key is copied once per salt. At most `HOT_KEYS` keys
+    are treated so; every other key is rare enough to sit in one partition. Rows without a
+    key get one of their own. The sketch only decides on salts, so the result is exact
+    whatever it finds. `keys_from` is a cheaper table with the same keys as `left`.
     """
-    hot = F.broadcast(hot_keys(left, key, hot_limit))
-    hot_right = right.select(key, *payload).join(hot, key, "left_semi")
-    served = hot.join(F.broadcast(hot_right), key, "left").select(
-        F.col(key).alias("_hot_key"), *[F.col(p).alias(f"_hot_{p}") for p in payload])
-    split = left.join(F.broadcast(served), F.col(key) == F.col("_hot_key"), "left")
-    own_key = F.concat(F.lit("\x00"), F.col(row).cast("string"))
-    probed = split.withColumn(
-        "_probe", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), own_key)
-        .otherwise(F.col(key)))
-    cold = right.select(
-        F.col(key).alias("_cold_key"), *[F.col(p).alias(f"_cold_{p}") for p in payload])
-    joined = probed.join(cold, F.col("_probe") == F.col("_cold_key"), "left")
+    spark = left.sparkSession
+    salts = max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(hot_keys(left if keys_from is None else keys_from, key))
+    is_hot = F.col("_hot_key").isNotNull()
+    salted_left = left.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
+        *[F.col(f"`{c}`") for c in left.columns],
+        F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.col(row).cast("string"))).alias("_probe"),
+        F.when(is_hot, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+        .alias("_salt"),
+    )
+    copies = F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
+    salted_right = right.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
+        F.col(key).alias("_right_key"),
+        *[F.col(p).alias(f"_right_{p}") for p in payload],
+        F.explode(copies).alias("_right_salt"),
+    )
+    joined = salted_left.join(
+        salted_right,
+        (F.col("_probe") == F.col("_right_key")) & (F.col("_salt") == F.col("_right_salt")),
+        "left",
+    )
     return joined.select(
         *[F.col(f"`{c}`") for c in left.columns],
-        *[F.coalesce(f"_hot_{p}", f"_cold_{p}").alias(p) for p in payload],
+        *[F.col(f"_right_{p}").alias(p) for p in payload],
     )

@@ -21,8 +21,9 @@ from rowpact.fixed_values import (
     TOO_MANY_REQUESTS,
 )
 from rowpact.functions.scalars import json_valid
+from rowpact.operators.lookup import lookup_join
 from rowpact.operators.request import RequestSpec, request_id
-from rowpact.operators.resume import flag_processed, flag_repeated
+from rowpact.operators.resume import hash_facts
 from rowpact.operators.validate import RAW
 
 
@@ -134,9 +135,11 @@ def row_outcomes(
 ) -> DataFrame:
     """One line per input row with what became of it.
 
-    `requests` is `render(validate(...))`; `responses` has one row per request (see
-    `collapse_attempts`). Rows whose hash is in `checkpoint`, or equals that of an earlier
-    successful row, count as skipped. A valid row without a response is `pending`.
+    `requests` is `render(validate(...))`, best read back from a written table, because it
+    is read for the join, for the hashes of successful rows and for frequent hashes.
+    `responses` has one row per request (see `collapse_attempts`). Rows whose hash is in
+    `checkpoint`, or equals that of an earlier successful row, count as skipped. A valid row
+    without a response is `pending`.
     """
     base = requests.select(
         row,
@@ -147,18 +150,18 @@ def row_outcomes(
         *[F.col(f"`{RAW}{n}`") for n in contract.names],
         *[F.col(f"`{n}`").alias(f"_data_{n}") for n in contract.names],
     )
+    succeeded = responses.filter("success").select(row)
+    sendable = base.filter(F.col("valid") & F.col("rendered")).select(row, "request_hash")
+    facts = hash_facts(sendable.join(succeeded, row), checkpoint, row)
     answered = base.join(responses, row, "left")
-    answered = answered.withColumn(
-        "_succeeded",
-        F.col("valid") & F.col("rendered") & F.coalesce("success", F.lit(False)))
-    repeated = flag_repeated(answered, "_succeeded", row)
-    flagged = (
-        flag_processed(repeated, checkpoint, row) if checkpoint is not None
-        else repeated.withColumn("processed", F.lit(False))
-    )
+    flagged = lookup_join(
+        answered, facts, "request_hash", ["_first_success", "_done"], row,
+        keys_from=base.select("request_hash"))
+    repeated = F.coalesce(F.col("_first_success") < F.col(row), F.lit(False))
+    processed = F.coalesce("_done", F.lit(False))
     outcome = (
         F.when(~F.col("valid"), F.lit(CATEGORY_VALIDATION))
-        .when(F.col("processed") | F.col("repeated"), F.lit("skipped"))
+        .when(processed | repeated, F.lit("skipped"))
         .when(~F.col("rendered"), F.lit(CATEGORY_TEMPLATE))
         .when(F.col("success").isNull(), F.lit("pending"))
         .when(F.col("success"), F.lit("success"))

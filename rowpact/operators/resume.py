@@ -14,6 +14,31 @@ def flag_processed(requests: DataFrame, checkpoint: DataFrame, row: str = "row")
     return flagged.withColumn("processed", F.coalesce("_done", F.lit(False))).drop("_done")
 
 
+def first_successes(outcomes: DataFrame, row: str = "row") -> DataFrame:
+    """(request_hash, _first_success): the first row that succeeded with each hash."""
+    return (
+        outcomes.filter(F.col("request_hash").isNotNull())
+        .groupBy("request_hash")
+        .agg(F.min(row).alias("_first_success"))
+    )
+
+
+def hash_facts(successes: DataFrame, checkpoint: DataFrame | None, row: str = "row") -> DataFrame:
+    """(request_hash, _first_success, _done): all that is known about a hash, one row each."""
+    first = first_successes(successes, row).withColumn("_done", F.lit(False))
+    if checkpoint is None:
+        return first
+    done = checkpoint.select(
+        "request_hash",
+        F.lit(None).cast(first.schema["_first_success"].dataType).alias("_first_success"),
+        F.lit(True).alias("_done"),
+    )
+    return (
+        first.unionByName(done).groupBy("request_hash")
+        .agg(F.min("_first_success").alias("_first_success"), F.bool_or("_done").alias("_done"))
+    )
+
+
 def pending_requests(requests: DataFrame, checkpoint: DataFrame, row: str = "row") -> DataFrame:
     """Requests still to be sent (anti join on the hash)."""
     return flag_processed(requests, checkpoint, row).filter("NOT processed").drop("processed")
@@ -26,11 +51,7 @@ def skipped_requests(requests: DataFrame, checkpoint: DataFrame, row: str = "row
 
 def flag_repeated(outcomes: DataFrame, success: str = "success", row: str = "row") -> DataFrame:
     """Add `repeated`: an earlier row with the same hash has succeeded in this run."""
-    first = (
-        outcomes.filter(F.col(success) & F.col("request_hash").isNotNull())
-        .groupBy("request_hash")
-        .agg(F.min(row).alias("_first_success"))
-    )
+    first = first_successes(outcomes.filter(F.col(success)), row)
     flagged = lookup_join(outcomes, first, "request_hash", ["_first_success"], row)
     later = F.coalesce(F.col("_first_success") < F.col(row), F.lit(False))
     return flagged.withColumn("repeated", later).drop("_first_success")

@@ -18,7 +18,7 @@ from rowpact.contract import Contract, RowRule
 from rowpact.fixed_values import DEFAULT_DATE_LAYOUT, MSG_DUPLICATE, MSG_ROW_RULE
 from rowpact.functions.layouts import parse_date
 from rowpact.functions.scalars import age_years
-from rowpact.operators.checks import first_error
+from rowpact.operators.checks import date_helpers, first_error
 from rowpact.operators.cleanse import cleanse, fold_empty, transform
 from rowpact.operators.uniqueness import (
     flag_duplicates,
@@ -52,7 +52,7 @@ def error_entry(row: str, column: Column, value: Column, message: Column) -> Col
         column.alias("column"),
         value.alias("value"),
         message.alias("message"),
-    ).cast(ERROR_TYPE)
+    )
 
 
 def _collect(entries: list[tuple[Column, Column]]) -> Column:
@@ -83,11 +83,20 @@ def check_columns(
     # and not again inside every check that reads it.
     clean = raw.select(
         "*", *[cleanse(_col(RAW + s.name), s).alias("_clean_" + s.name) for s in contract.columns])
-    judged = clean.select(
+    dates: dict[str, list[Column]] = {}
+    parsed: list[Column] = []
+    for s in contract.columns:
+        if s.is_date:
+            helpers = date_helpers(_col("_clean_" + s.name), s, as_of)
+            parts = [f"_date{i}_{s.name}" for i in range(len(helpers))]
+            parsed += [helper.alias(part) for helper, part in zip(helpers, parts)]
+            dates[s.name] = [_col(part) for part in parts]
+    dated = clean.select("*", *parsed) if parsed else clean
+    judged = dated.select(
         "*",
         *[
             first_error(_col(RAW + s.name), _col("_clean_" + s.name), s, as_of, length_unit,
-                        enforce_range).alias("_message_" + s.name)
+                        enforce_range, dates.get(s.name)).alias("_message_" + s.name)
             for s in contract.columns
         ],
     )

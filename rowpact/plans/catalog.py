@@ -80,22 +80,27 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.collapse_attempts(attempts(spark, sf_dir), SIGNUP, order=("ts", "event_id"))
 
 
-def earlier_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def staged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered requests as a written table, the way a sender would get them."""
+    path = staging_path(spark, "requests")
+    signup_requests(spark, sf_dir).drop("errors").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def earlier_hashes(requests: DataFrame, sf_dir: str) -> DataFrame:
     """A checkpoint: the requests of customers from the first region's nations."""
+    spark = requests.sparkSession
     nations = table(spark, sf_dir, "nation").filter("n_regionkey = 0").select(
         F.col("n_nationkey").alias("c_nationkey"))
     rows = table(spark, sf_dir, "customer").join(nations, "c_nationkey", "left_semi").select(
         (F.col("c_custkey") + 1).alias("row"))
-    return (
-        valid_rows(signup_requests(spark, sf_dir)).join(rows, "row", "left_semi")
-        .select("request.request_hash")
-    )
+    return requests.filter("valid").join(rows, "row", "left_semi").select("request.request_hash")
 
 
 def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = staged_requests(spark, sf_dir)
     return outcome.row_outcomes(
-        signup_requests(spark, sf_dir), responses(spark, sf_dir), CUSTOMERS,
-        earlier_hashes(spark, sf_dir))
+        requests, responses(spark, sf_dir), CUSTOMERS, earlier_hashes(requests, sf_dir))
 
 
 def one_check(df: DataFrame, spec: ColumnSpec, column: str) -> DataFrame:
@@ -608,18 +613,20 @@ def first_header(spark, sf_dir):
 
 # --- resume ----------------------------------------------------------------------------
 
-def _pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_rows(signup_requests(spark, sf_dir)).select("row", "request.request_hash")
+def _resumed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    requests = staged_requests(spark, sf_dir)
+    return (requests.filter("valid").select("row", "request.request_hash"),
+            earlier_hashes(requests, sf_dir))
 
 
 @query
 def resume_anti(spark, sf_dir):
-    return resume.pending_requests(_pending(spark, sf_dir), earlier_hashes(spark, sf_dir))
+    return resume.pending_requests(*_resumed(spark, sf_dir))
 
 
 @query
 def resume_skipped(spark, sf_dir):
-    return resume.skipped_requests(_pending(spark, sf_dir), earlier_hashes(spark, sf_dir))
+    return resume.skipped_requests(*_resumed(spark, sf_dir))
 
 
 @query

@@ -431,7 +431,7 @@ def oracles() -> dict[str, str]:
         "template_errors": with_(CUSTOMER_CHECKED, fragile),
         "status_success": with_(ATTEMPTS, "SELECT event_id, status_code IN (200, 201) AS success FROM attempts"),
         "status_default": with_(ATTEMPTS, "SELECT event_id, status_code BETWEEN 200 AND 208 OR status_code = 226 AS success FROM attempts"),
-        "response_keys": with_(ATTEMPTS, "SELECT event_id, status_code IN (200, 201) AND json_valid(body) AND coalesce(json_extract_string(body, '$.k') = '42', false) AS success FROM attempts"),
+        "response_keys": with_(ATTEMPTS, "SELECT event_id, status_code IN (200, 201) AND CASE WHEN json_valid(body) THEN coalesce(json_extract_string(body, '$.k') = '42', false) ELSE false END AS success FROM attempts"),
         "error_category": with_(ATTEMPTS, f"SELECT event_id, {category('error')} AS category FROM attempts"),
         "response_preview": "SELECT doc_id + 1 AS row, CASE WHEN length(text) <= 200 THEN text ELSE left(text, 200) || '...' END AS preview FROM documents",
         "retryable": with_(ATTEMPTS, f"SELECT event_id, {HTTP_REPEATS} AS retryable FROM attempts"),
