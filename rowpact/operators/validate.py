@@ -18,7 +18,7 @@ from rowpact.contract import Contract, RowRule
 from rowpact.fixed_values import DEFAULT_DATE_LAYOUT, MSG_DUPLICATE, MSG_ROW_RULE
 from rowpact.functions.layouts import parse_date
 from rowpact.functions.scalars import age_years
-from rowpact.operators.checks import date_helpers, first_error
+from rowpact.operators.checks import first_error
 from rowpact.operators.cleanse import cleanse, fold_empty, transform
 from rowpact.operators.uniqueness import (
     flag_duplicates,
@@ -46,6 +46,16 @@ def no_errors() -> Column:
     return F.array().cast(T.ArrayType(ERROR_TYPE))
 
 
+def pinned(condition: Column) -> Column:
+    """The same condition, but kept where it is computed.
+
+    A filter on `valid` would otherwise be pushed below the projections that compute it, with
+    the whole chain of checks copied into the filter and evaluated a second time. Catalyst
+    leaves filters above a projection that reads the partition number.
+    """
+    return condition & (F.spark_partition_id() >= 0)
+
+
 def error_entry(row: str, column: Column, value: Column, message: Column) -> Column:
     return F.struct(
         _col(row).cast("bigint").alias("row"),
@@ -83,15 +93,18 @@ def check_columns(
     # and not again inside every check that reads it.
     clean = raw.select(
         "*", *[cleanse(_col(RAW + s.name), s).alias("_clean_" + s.name) for s in contract.columns])
-    dates: dict[str, list[Column]] = {}
-    parsed: list[Column] = []
-    for s in contract.columns:
-        if s.is_date:
-            helpers = date_helpers(_col("_clean_" + s.name), s, as_of)
-            parts = [f"_date{i}_{s.name}" for i in range(len(helpers))]
-            parsed += [helper.alias(part) for helper, part in zip(helpers, parts)]
-            dates[s.name] = [_col(part) for part in parts]
-    dated = clean.select("*", *parsed) if parsed else clean
+    dates = {s.name: [_col("_date_" + s.name)] for s in contract.columns if s.is_date}
+    ages = [s.name for s in contract.columns if s.is_date and s.layout == DEFAULT_DATE_LAYOUT]
+    dated = clean
+    if dates:
+        dated = clean.select("*", *[
+            parse_date(_col("_clean_" + s.name), s.layout).alias("_date_" + s.name)
+            for s in contract.columns if s.is_date])
+    if ages:
+        dated = dated.select("*", *[
+            age_years(_col("_date_" + n), as_of).alias("_age_" + n) for n in ages])
+    for n in ages:
+        dates[n].append(_col("_age_" + n))
     judged = dated.select(
         "*",
         *[
@@ -119,7 +132,7 @@ def check_columns(
         *others,
         *[_col(RAW + n) for n in names],
         *processed,
-        F.when(any_error, _collect(errors)).otherwise(no_errors()).alias("errors"),
+        F.when(pinned(any_error), _collect(errors)).otherwise(no_errors()).alias("errors"),
     )
 
 
@@ -185,7 +198,7 @@ def validate(
         checked = append_duplicates(flagged, keys, flags, row)
     if contract.row_rules:
         checked = apply_row_rules(checked, contract.row_rules, as_of, row)
-    return checked.withColumn("valid", F.size("errors") == 0)
+    return checked.withColumn("valid", pinned(F.size("errors") == 0))
 
 
 def append_duplicates(

@@ -22,6 +22,7 @@ from rowpact.operators.validate import (
     append_duplicates,
     apply_row_rules,
     check_columns,
+    pinned,
     validate,
 )
 
@@ -96,7 +97,7 @@ def unique_stream(
             checked = append_duplicates(flagged, keys, flags, row)
         if contract.row_rules:
             checked = apply_row_rules(checked, contract.row_rules, as_of, row)
-        result = checked.withColumn("valid", F.size("errors") == 0)
+        result = checked.withColumn("valid", pinned(F.size("errors") == 0))
         result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     _run(stream, on_batch, checkpoint)
