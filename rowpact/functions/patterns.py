@@ -16,6 +16,14 @@ _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _NO_BOUNDARY = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 
+# Named classes and their Java spelling.
+_POSIX = {
+    "alnum": "\\p{Alnum}", "alpha": "\\p{Alpha}", "ascii": "\\p{ASCII}", "blank": "\\p{Blank}",
+    "cntrl": "\\p{Cntrl}", "digit": "\\p{Digit}", "graph": "\\p{Graph}", "lower": "\\p{Lower}",
+    "print": "\\p{Print}", "punct": "\\p{Punct}", "space": "\\p{Space}", "upper": "\\p{Upper}",
+    "xdigit": "\\p{XDigit}",
+}
+
 _TOKEN = re.compile(
     r"""
     (?P<quoted>\\Q.*?(?:\\E|\Z))
@@ -68,7 +76,11 @@ def java_pattern(pattern: str) -> str:
             shape.append("$" if text[1] == "z" else text)
         elif kind == "posix" and in_class:
             name = text[2:-2]
-            java.append(("\\P{" if name.startswith("^") else "\\p{") + _posix(name.lstrip("^")) + "}")
+            negated = name.startswith("^")
+            try:
+                java.append(_POSIX[name.lstrip("^")].replace("\\p", "\\P" if negated else "\\p"))
+            except KeyError:
+                raise PatternError(f"unknown class {text}: {pattern!r}") from None
             shape.append("\\w")
         elif kind == "group" and not in_class:
             head, simple, flags = _group(text, pattern)
@@ -133,12 +145,6 @@ def _escape(text: str, in_class: bool, pattern: str) -> str:
     return text
 
 
-def _posix(name: str) -> str:
-    if name == "word":
-        return "IsWord"
-    return {"ascii": "ASCII", "xdigit": "XDigit"}.get(name, name.capitalize())
-
-
 def _group(text: str, pattern: str) -> tuple[str, str, str]:
     named = re.fullmatch(r"\(\?P?<(\w+)>", text)
     if named:
