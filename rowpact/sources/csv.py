@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowpact.contract import Contract
 from rowpact.fixed_values import PREVIEW_ROWS
 from rowpact.operators.cleanse import fold_empty
 
 
+OFFSET_BROADCAST_BYTES = 128 << 20  # about a million input blocks
+
+
 class HeaderMismatch(ValueError):
     """The header differs from the contract's column names."""
 
@@ -69,9 +73,16 @@ def read_csv(
     in every file. `multi_line` allows line breaks inside quotes, at the price of one task
     per file; without it files split into blocks.
     """
+    raw = _strict_scan(spark, path, contract, multi_line, check)
+    return raw.select(*[_field(n, multi_line) for n in contract.names])
+
+
+def _strict_scan(
+    spark: SparkSession, path: str, contract: Contract, multi_line: bool, check: bool
+) -> DataFrame:
     if check:
         check_header(spark, path, contract)
-    raw = (
+    return (
         spark.read.schema(contract.struct_type())
         .options(**_OPTIONS)
         .option("enforceSchema", False)
@@ -79,7 +90,14 @@ def read_csv(
         .option("multiLine", multi_line)
         .csv(path)
     )
-    return raw.select(*[fold_empty(F.col(f"`{n}`")).alias(n) for n in contract.names])
+
+
+def _field(name: str, multi_line: bool) -> Column:
+    """The field with '' for missing; a CRLF inside quotes reads as a line feed."""
+    value = fold_empty(F.col(f"`{name}`"))
+    if multi_line:
+        value = F.replace(value, F.lit("\r\n"), F.lit("\n"))
+    return value.alias(name)
 
 
 def read_numbered_csv(
@@ -91,18 +109,9 @@ def read_numbered_csv(
     block, so bounded by the number of input splits) become the block offsets; the place
     inside a block comes from `monotonically_increasing_id`, which follows reading order.
     """
-    if check:
-        check_header(spark, path, contract)
-    raw = (
-        spark.read.schema(contract.struct_type())
-        .options(**_OPTIONS)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    raw = _strict_scan(spark, path, contract, multi_line, check)
     tagged = raw.select(
-        *[fold_empty(F.col(f"`{n}`")).alias(n) for n in contract.names],
+        *[_field(n, multi_line) for n in contract.names],
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
@@ -112,13 +121,20 @@ def read_numbered_csv(
         .agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id"))
         .collect()
     )
-    offsets, total = [], 0
+    files, starts, shifts, total = [], [], [], 0
     for block in sorted(counts, key=lambda c: (c["_file"], c["_block"])):
-        offsets.append((block["_file"], block["_block"], total - block["first_id"] + 1))
+        files.append(block["_file"])
+        starts.append(block["_block"])
+        shifts.append(total - block["first_id"] + 1)
         total += block["n"]
-    # A local table has an exact size, so Spark itself decides whether to broadcast it.
-    shifts = spark.createDataFrame(offsets, "_file string, _block bigint, _shift bigint")
-    numbered = tagged.join(shifts, ["_file", "_block"])
+    offsets = spark.createDataFrame(pa.table({
+        "_file": pa.array(files, pa.string()),
+        "_block": pa.array(starts, pa.int64()),
+        "_shift": pa.array(shifts, pa.int64()),
+    }))
+    if sum(map(len, files)) + 64 * len(files) <= OFFSET_BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    numbered = tagged.join(offsets, ["_file", "_block"])
     return numbered.select(
         (F.col("_id") + F.col("_shift")).alias("row"), *[F.col(f"`{n}`") for n in contract.names])
 

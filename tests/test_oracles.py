@@ -1,0 +1,24 @@
+"""Every registered query against its SQL on DuckDB."""
+
+import pytest
+
+import __spark_entry__ as entry
+from tools.compare import compare, oracle_connection
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return oracle_connection(SF)
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_equals_sql(spark, connection, name):
+    assert compare(spark, connection, SF, name) == ""
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["row", "column", "value", "message"]
+    assert df.count() > 0
