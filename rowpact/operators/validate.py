@@ -182,11 +182,15 @@ def validate(
 ) -> DataFrame:
     """Validate `df`, whose `row` column numbers the rows (unique, in reading order).
 
-    Lazy by default. With `staging` (a shared path) the contested values are written there
-    first; when they are few, the wide rows are then never shuffled.
+    Lazy by default: the raw rows are distributed by row number once. Both the search for
+    owners and the join back read that one exchange, so the input is scanned once and
+    the wider checked rows never move. With `staging` (a shared path) the contested values are
+    written there first; when they are few, no row is shuffled at all.
     """
-    checked = check_columns(df, contract, as_of, row, length_unit, enforce_range)
     keys = contract.unique_keys
+    if keys and staging is None:
+        df = df.repartition(_col(row))
+    checked = check_columns(df, contract, as_of, row, length_unit, enforce_range)
     if keys:
         clean = F.size("errors") == 0
         flags = [f"_dup_{i}" for i in range(len(keys))]

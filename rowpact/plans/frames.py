@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowpact.contract import Contract
 from rowpact.operators.request import RequestSpec
+from rowpact.sources.staging import spread
 
 AS_OF = "2000-06-30"
 
@@ -119,8 +120,9 @@ def customer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select(
         (F.col("doc_id") + 1).alias("row"), "text", "lang", "source")
+    return spread(docs)
 
 
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -20,3 +20,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="rowpact-")
     return f"{base.rstrip('/')}/rowpact-{uuid.uuid4().hex}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for an input that arrives in fewer partitions than there are cores.
+
+    One row group, a compressed file or a multi-line CSV is read by one task, and checks cost
+    more than moving the rows. Inputs with enough partitions are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
