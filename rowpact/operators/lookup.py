@@ -7,16 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 HOT_KEYS = 256  # upper bound on the rows of the table that is broadcast here
-TRACKED_KEYS = 10_000  # sketch size: a key above roughly 4/10,000 of the rows is found
+TRACKED_KEYS = 4096  # sketch size: a key with more than about a thousandth of the rows is found
+SKETCH_GROUPS = 256
 
 
 def hot_keys(df: DataFrame, key: str, limit: int = HOT_KEYS) -> DataFrame:
-    """At most `limit` of the most frequent keys, from a mergeable sketch (no shuffle of keys)."""
-    sketch = F.expr(f"approx_top_k(`{key}`, {int(limit)}, {TRACKED_KEYS})")
+    """At most `limit` of the most frequent keys, from sketches (the keys are not shuffled).
+
+    Every task sends one small sketch; they are merged in groups first, so the last merge
+    sees `SKETCH_GROUPS` sketches however many tasks there were.
+    """
+    accumulate = F.expr(f"approx_top_k_accumulate(`{key}`, {TRACKED_KEYS})")
+    combine = F.expr(f"approx_top_k_combine(_sketch, {TRACKED_KEYS})")
+    estimate = F.expr(f"approx_top_k_estimate(_merged, {int(limit)})")
     return (
         df.filter(F.col(key).isNotNull())
-        .agg(sketch.alias("_top"))
-        .select(F.explode("_top.item").alias("_hot_key"))
+        .groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_group"))
+        .agg(accumulate.alias("_sketch"))
+        .groupBy(F.lit("all"))  # grouped, because merging nothing at all is an error
+        .agg(combine.alias("_merged"))
+        .select(F.explode(estimate["item"]).alias("_hot_key"))
     )
 
 
@@ -32,9 +42,10 @@ def lookup_join(
 
     Rows of a frequent key are spread over the shuffle partitions by a salt from their row
     number, and the one right row of that key is copied once per salt. At most `HOT_KEYS` keys
-    are treated so; every other key is rare enough to sit in one partition. Rows without a
-    key get one of their own. The sketch only decides on salts, so the result is exact
-    whatever it finds. `keys_from` is a cheaper table with the same keys as `left`.
+    are treated so; middling keys are left to adaptive skew splitting, which both plain sides
+    of the join allow. Rows without a key get one of their own. The sketch only decides on
+    salts, so the result is exact whatever it finds. `keys_from` is a cheaper table with the
+    same keys as `left`.
     """
     spark = left.sparkSession
     salts = max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
