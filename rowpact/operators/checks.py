@@ -41,7 +41,8 @@ HEX_FLOAT_TEXT = (
     r"|\.[0-9a-fA-F](?:_?[0-9a-fA-F])*)[pP][+-]?[0-9](?:_?[0-9])*\z"
 )
 SPECIAL_FLOAT_TEXT = r"(?i)^(?:nan|[+-]?inf(?:inity)?)\z"
-DECIMAL_TEXT = r"^(?:[+-]?[0-9]+\.?[0-9]*|[+-]?\.[0-9]+|\.[+-][0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+DECIMAL_TEXT = r"^(?:[+-]?[0-9]+\.?[0-9]*|[+-]?\.[0-9]+|\.[+-][0-9]+)\z"
+SCIENTIFIC_TEXT = r"^(?:[+-]?[0-9]+\.?[0-9]*|[+-]?\.[0-9]+|\.[+-][0-9]+)[eE][+-]?[0-9]+\z"
 INFINITY = float("inf")
 EXPONENT_MIN, EXPONENT_MAX = -(2**31), 2**31 - 1
 
@@ -63,14 +64,14 @@ def is_float(value: Column) -> Column:
 
 def is_decimal(value: Column) -> Column:
     """A number with an optional exponent; precision and scale are not enforced."""
-    exponent = F.regexp_extract(value, r"[eE]([+-]?[0-9]+)\z", 1)
-    point = F.regexp_extract(value, r"\.([+-]?[0-9]*)", 1)
-    power = exponent.try_cast("bigint")
-    in_range = power.between(EXPONENT_MIN, EXPONENT_MAX) & (
-        power - F.octet_length(point) >= EXPONENT_MIN
+    power = F.regexp_extract(value, r"[eE]([+-]?[0-9]+)\z", 1).try_cast("bigint")
+    places = F.octet_length(F.regexp_extract(value, r"\.([+-]?[0-9]*)", 1))
+    in_range = power.between(EXPONENT_MIN, EXPONENT_MAX) & (power - places >= EXPONENT_MIN)
+    return (
+        F.when(value.rlike(DECIMAL_TEXT), F.lit(True))
+        .when(value.rlike(SCIENTIFIC_TEXT), F.coalesce(in_range, F.lit(False)))
+        .otherwise(F.lit(False))
     )
-    return F.when(value.rlike(DECIMAL_TEXT), (exponent == "") | F.coalesce(in_range, F.lit(False))
-                  ).otherwise(F.lit(False))
 
 
 def is_in_range(value: Column, bounds: Bounds) -> Column:

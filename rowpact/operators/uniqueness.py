@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_BYTES = 64 << 20  # above this, contested values are not broadcast
+KEYS_PER_JOIN = 60  # owned keys travel as the bits of one long
 _ROW_OVERHEAD = 64  # bytes per hash-table entry besides the text
 
 Key = tuple[str, ...]
@@ -73,6 +74,9 @@ def flag_duplicates(
     owned: DataFrame | None = None,
 ) -> DataFrame:
     """Add one boolean per key: the row is eligible, has a value, and another row owns it."""
+    if owned is None and len(keys) > KEYS_PER_JOIN:
+        some = flag_duplicates(df, keys[:KEYS_PER_JOIN], eligible, row, names[:KEYS_PER_JOIN])
+        return flag_duplicates(some, keys[KEYS_PER_JOIN:], eligible, row, names[KEYS_PER_JOIN:])
     if owned is None:
         owned = owned_keys(df, keys, eligible, row)
     joined = df.join(owned, F.col(row) == F.col("_owner_row"), "left")
@@ -81,7 +85,7 @@ def flag_duplicates(
         (eligible & (key_text(key) != "") & (F.getbit(mine, F.lit(i)) == 0)).alias(name)
         for i, (key, name) in enumerate(zip(keys, names))
     ]
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *flags)
+    return joined.select("*", *flags).drop("_owner_row", "_owned")
 
 
 def stage_contested(

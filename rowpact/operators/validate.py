@@ -14,7 +14,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowpact.contract import Contract, RowRule
+from rowpact.contract import ColumnSpec, Contract, RowRule
 from rowpact.fixed_values import DEFAULT_DATE_LAYOUT, MSG_DUPLICATE, MSG_ROW_RULE
 from rowpact.functions.layouts import parse_date
 from rowpact.functions.scalars import age_years
@@ -56,25 +56,23 @@ def pinned(condition: Column) -> Column:
     return condition & (F.spark_partition_id() >= 0)
 
 
-def error_entry(row: str, column: Column, value: Column, message: Column) -> Column:
-    return F.struct(
-        _col(row).cast("bigint").alias("row"),
-        column.alias("column"),
-        value.alias("value"),
-        message.alias("message"),
-    )
+Entry = tuple[Column, Column, Column, Column]  # condition, column, value, message
 
 
-def _collect(entries: list[tuple[Column, Column]]) -> Column:
-    """The entries whose condition holds, in order.
+def _collect(row: str, entries: list[Entry]) -> Column:
+    """The errors whose condition holds, in order.
 
     A concat of one-element arrays, because `filter(array, lambda)` would take the whole
     projection out of code generation.
     """
-    parts = [F.when(holds, F.array(entry)).otherwise(no_errors()) for holds, entry in entries]
-    if not parts:
-        return no_errors()
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    number, none = _col(row).cast("bigint").alias("row"), no_errors()
+    parts = [
+        F.when(holds, F.array(F.struct(
+            number, column.alias("column"), value.alias("value"), message.alias("message"),
+        ))).otherwise(none)
+        for holds, column, value, message in entries
+    ]
+    return F.concat(none, *parts) if parts else none
 
 
 def check_columns(
@@ -87,7 +85,7 @@ def check_columns(
 ) -> DataFrame:
     """Processed columns, raw columns (`_raw_*`) and the column errors of each row."""
     names = contract.names
-    others = [_col(c) for c in df.columns if c not in names]
+    others = [f"`{c}`" for c in df.columns if c not in names]
     raw = df.select(*others, *[fold_empty(_col(n)).alias(RAW + n) for n in names])
     # Each layer is one select, so a long cleansing chain is computed once per column
     # and not again inside every check that reads it.
@@ -113,26 +111,21 @@ def check_columns(
             for s in contract.columns
         ],
     )
+    message = {n: _col("_message_" + n) for n in names}
     processed = [
         F.when(
-            _col("_message_" + s.name).isNull() & (_col(RAW + s.name) != ""),
+            message[s.name].isNull() & (_col(RAW + s.name) != ""),
             transform(_col("_clean_" + s.name), s.transform),
         ).otherwise(F.lit("")).alias(s.name)
         for s in contract.columns
     ]
-    errors = [
-        (
-            _col("_message_" + n).isNotNull(),
-            error_entry(row, F.lit(n), _col(RAW + n), _col("_message_" + n)),
-        )
-        for n in names
-    ]
-    any_error = F.coalesce(*[_col("_message_" + n) for n in names]).isNotNull()
+    errors = [(message[n].isNotNull(), F.lit(n), _col(RAW + n), message[n]) for n in names]
+    any_error = F.coalesce(*message.values()).isNotNull()
     return judged.select(
         *others,
-        *[_col(RAW + n) for n in names],
+        *[f"`{RAW}{n}`" for n in names],
         *processed,
-        F.when(pinned(any_error), _collect(errors)).otherwise(no_errors()).alias("errors"),
+        F.when(pinned(any_error), _collect(row, errors)).otherwise(no_errors()).alias("errors"),
     )
 
 
@@ -163,12 +156,17 @@ def apply_row_rules(
         condition, needed = rule_condition(rule, as_of)
         helpers.update(needed)
         message = MSG_ROW_RULE.format(name=rule.name, expr=rule.expr)
-        entries.append((~condition, error_entry(row, F.lit(""), F.lit(""), F.lit(message))))
-    with_helpers = df.select("*", *[value.alias(name) for name, value in helpers.items()])
-    kept = [_col(c) for c in df.columns if c != "errors"]
-    still_valid = F.size("errors") == 0
-    return with_helpers.select(
-        *kept, F.when(still_valid, _collect(entries)).otherwise(F.col("errors")).alias("errors"))
+        entries.append((~condition, F.lit(""), F.lit(""), F.lit(message)))
+    with_helpers = df
+    if helpers:
+        with_helpers = df.select("*", *[value.alias(name) for name, value in helpers.items()])
+    return _add_errors(with_helpers, row, entries, list(helpers))
+
+
+def _add_errors(df: DataFrame, row: str, entries: list[Entry], used: list[str]) -> DataFrame:
+    """Append errors to rows that have none so far; `used` columns are no longer needed."""
+    errors = F.when(F.size("errors") == 0, _collect(row, entries)).otherwise(F.col("errors"))
+    return df.withColumn("errors", errors).drop(*used)
 
 
 def validate(
@@ -210,12 +208,10 @@ def append_duplicates(
 ) -> DataFrame:
     """Turn duplicate flags into errors; every violated key is reported."""
     entries = [
-        (_col(flag), error_entry(row, F.lit(",".join(key)), _shown(key), F.lit(MSG_DUPLICATE)))
+        (_col(flag), F.lit(",".join(key)), _shown(key), F.lit(MSG_DUPLICATE))
         for key, flag in zip(keys, flags)
     ]
-    kept = [_col(c) for c in flagged.columns if c not in flags and c != "errors"]
-    errors = F.when(F.size("errors") == 0, _collect(entries)).otherwise(F.col("errors"))
-    return flagged.select(*kept, errors.alias("errors"))
+    return _add_errors(flagged, row, entries, flags)
 
 
 def _shown(key: tuple[str, ...]) -> Column:
@@ -237,13 +233,22 @@ def error_rows(validated: DataFrame) -> DataFrame:
 
 
 def typed(validated: DataFrame, contract: Contract) -> DataFrame:
-    """Valid rows with the contract's Spark types instead of text."""
+    """Valid rows with the contract's Spark types instead of text.
+
+    A decimal is rounded to its scale; one too large for its precision becomes NULL, because
+    the checks do not enforce precision. Empty text becomes NULL in typed columns.
+    """
     schema = contract.typed_struct_type()
-    casts = [
-        parse_date(_col(s.name), s.layout).alias(s.name) if s.is_date
-        else _col(s.name).try_cast(schema[s.name].dataType).alias(s.name)
-        for s in contract.columns
-    ]
+
+    def cast(spec: ColumnSpec) -> Column:
+        value = _col(spec.name)
+        if spec.is_date:
+            return parse_date(value, spec.layout)
+        if spec.type == "float":
+            value = F.replace(value, F.lit("_"), F.lit(""))
+        return value.try_cast(schema[spec.name].dataType)
+
+    casts = [cast(s).alias(s.name) for s in contract.columns]
     others = [_col(c) for c in validated.columns
               if c not in contract.names and not c.startswith(RAW) and c not in ("errors", "valid")]
     return valid_rows(validated).select(*others, *casts)

@@ -84,7 +84,7 @@ def unique_stream(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        checked = check_columns(batch, contract, as_of, row)
+        checked = batch_rows = check_columns(batch, contract, as_of, row).persist()
         if keys:
             clean = F.size("errors") == 0
             owners = value_owners(checked, keys, clean, row)
@@ -99,6 +99,7 @@ def unique_stream(
             checked = apply_row_rules(checked, contract.row_rules, as_of, row)
         result = checked.withColumn("valid", pinned(F.size("errors") == 0))
         result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch_rows.unpersist()
 
     _run(stream, on_batch, checkpoint)
 

@@ -163,3 +163,19 @@ def test_wide_contract(spark):
         (F.lit("19900101") if i % 5 == 3 else value).alias(f"c{i}") for i in range(40)])
     counts = summary.validation_summary(validate(df, contract, "2000-01-01")).first()
     assert counts["total"] == 50 and counts["valid"] == 41  # the date text repeats in ten rows
+
+
+def test_more_keys_than_bits(spark):
+    names = [f"k{i}" for i in range(65)]
+    contract = Contract.from_dict({"version": 1, "columns": [{"name": n, "type": "string"} for n in names],
+                                   "uniqueness": [{"columns": names}]})
+    rows = [(1, *(f"{n}1" for n in names)), (2, *(f"{n}{1 if n in ('k3', 'k62') else 2}" for n in names))]
+    df = spark.createDataFrame(rows, ["row", *names])
+    assert [c for _, c, _, _ in errors(validate(df, contract))] == ["k3", "k62"]
+
+
+def test_typed_floats(spark):
+    contract = Contract.from_dict({"version": 1, "columns": [{"name": "f", "type": "float"}]})
+    df = spark.createDataFrame([(1, "1_000.5"), (2, "-inf"), (3, "0x1p-1"), (4, "")], "row bigint, f string")
+    got = [r["f"] for r in typed(validate(df, contract), contract).orderBy("row").collect()]
+    assert got == [1000.5, float("-inf"), 0.5, None]
