@@ -107,6 +107,12 @@ def stage_contested(
     return df.sparkSession.read.parquet(path)
 
 
+def fits_broadcast(contested: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the contested values, as measured, are small enough to send to every executor."""
+    size = F.sum(F.octet_length("_value") + F.lit(_ROW_OVERHEAD))
+    return contested.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"] <= limit
+
+
 def flag_from_contested(
     df: DataFrame,
     keys: Sequence[Key],
@@ -114,20 +120,10 @@ def flag_from_contested(
     row: str,
     names: Sequence[str],
     contested: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Flag duplicates without moving the wide rows, when the contested values fit.
-
-    Their size is measured first. Beyond `broadcast_bytes` the owner join by row number runs
-    instead, with the same result.
-    """
-    size = contested.agg(
-        F.coalesce(F.sum(F.octet_length("_value") + F.lit(_ROW_OVERHEAD)), F.lit(0)).alias("n")
-    ).first()["n"]
-    if size > broadcast_bytes:
-        return flag_duplicates(df, keys, eligible, row, names)
+    """Flag duplicates without moving the rows. Only for contested values that `fits_broadcast`."""
     out = df
-    for i, (key, name) in enumerate(zip(keys, names)):
+    for i, key in enumerate(keys):
         mine = contested.filter(F.col("_key") == i).select(
             F.col("_value").alias(f"_value{i}"), F.col("_owner_row").alias(f"_owner{i}"))
         out = out.join(F.broadcast(mine), key_text(key) == F.col(f"_value{i}"), "left")
@@ -135,4 +131,4 @@ def flag_from_contested(
         (eligible & F.coalesce(F.col(row) > F.col(f"_owner{i}"), F.lit(False))).alias(name)
         for i, name in enumerate(names)
     ]
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], *flags)
+    return out.select(*[f"`{c}`" for c in df.columns], *flags)

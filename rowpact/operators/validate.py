@@ -21,6 +21,7 @@ from rowpact.functions.scalars import age_years
 from rowpact.operators.checks import first_error
 from rowpact.operators.cleanse import cleanse, fold_empty, transform
 from rowpact.operators.uniqueness import (
+    fits_broadcast,
     flag_duplicates,
     flag_from_contested,
     key_text,
@@ -83,10 +84,15 @@ def check_columns(
     length_unit: str = "bytes",
     enforce_range: bool = True,
 ) -> DataFrame:
-    """Processed columns, raw columns (`_raw_*`) and the column errors of each row."""
+    """Processed columns, raw columns (`_raw_*`) and the column errors of each row.
+
+    A contract column that `df` does not have counts as empty in every row.
+    """
     names = contract.names
     others = [f"`{c}`" for c in df.columns if c not in names]
-    raw = df.select(*others, *[fold_empty(_col(n)).alias(RAW + n) for n in names])
+    present = set(df.columns)
+    raw = df.select(*others, *[
+        (fold_empty(_col(n)) if n in present else F.lit("")).alias(RAW + n) for n in names])
     # Each layer is one select, so a long cleansing chain is computed once per column
     # and not again inside every check that reads it.
     clean = raw.select(
@@ -186,17 +192,25 @@ def validate(
     written there first; when they are few, no row is shuffled at all.
     """
     keys = contract.unique_keys
-    if keys and staging is None:
-        df = df.repartition(_col(row))
-    checked = check_columns(df, contract, as_of, row, length_unit, enforce_range)
-    if keys:
-        clean = F.size("errors") == 0
-        flags = [f"_dup_{i}" for i in range(len(keys))]
-        if staging is None:
-            flagged = flag_duplicates(checked, keys, clean, row, flags)
+    flags = [f"_dup_{i}" for i in range(len(keys))]
+    clean = F.size("errors") == 0
+
+    def check(rows: DataFrame) -> DataFrame:
+        return check_columns(rows, contract, as_of, row, length_unit, enforce_range)
+
+    contested = None
+    if keys and staging is not None:
+        contested = stage_contested(check(df), keys, clean, row, staging)
+        if not fits_broadcast(contested):
+            contested = None
+    if not keys:
+        checked = check(df)
+    else:
+        if contested is not None:
+            flagged = flag_from_contested(check(df), keys, clean, row, flags, contested)
         else:
-            contested = stage_contested(checked, keys, clean, row, staging)
-            flagged = flag_from_contested(checked, keys, clean, row, flags, contested)
+            by_row = check(df.repartition(_col(row)))
+            flagged = flag_duplicates(by_row, keys, clean, row, flags)
         checked = append_duplicates(flagged, keys, flags, row)
     if contract.row_rules:
         checked = apply_row_rules(checked, contract.row_rules, as_of, row)

@@ -22,3 +22,19 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["row", "column", "value", "message"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["fn_date_format", "check_date", "age_years", "error_rows", "retry_collapse",
+                                  "render_requests", "stream_validate", "response_keys"])
+def test_session_does_not_matter(spark, connection, name):
+    """A zone whose days can start at one o'clock, lenient casts, case-sensitive names."""
+    odd = {"spark.sql.session.timeZone": "America/Sao_Paulo", "spark.sql.ansi.enabled": "false",
+           "spark.sql.caseSensitive": "true", "spark.sql.shuffle.partitions": "13"}
+    before = {key: spark.conf.get(key) for key in odd}
+    try:
+        for key, value in odd.items():
+            spark.conf.set(key, value)
+        assert compare(spark, connection, SF, name) == ""
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -91,10 +91,22 @@ def test_staged_and_broadcast_agree(spark, tmp_path):
     checked = check_columns(table(spark, rows, 3), contract)
     keys, clean, flags = contract.unique_keys, F.size("errors") == 0, ["d0", "d1"]
     contested = uniqueness.stage_contested(checked, keys, clean, "row", str(tmp_path / "again"))
-    for limit in (0, 1 << 30):  # owner join, broadcast
-        out = uniqueness.flag_from_contested(checked, keys, clean, "row", flags, contested, limit)
-        got = {(r["row"], n) for r in out.collect() for n, f in (("a", r["d0"]), ("b", r["d1"])) if f}
-        assert got == {(row, name) for row, name, _, _ in lazy}
+    out = uniqueness.flag_from_contested(checked, keys, clean, "row", flags, contested)
+    got = {(r["row"], n) for r in out.collect() for n, f in (("a", r["d0"]), ("b", r["d1"])) if f}
+    assert got == {(row, name) for row, name, _, _ in lazy}
+    assert uniqueness.fits_broadcast(contested) and not uniqueness.fits_broadcast(contested, 100)
+
+
+def test_too_many_contested_values_for_a_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("rowpact.operators.validate.fits_broadcast", lambda contested: False)
+    rows = [(i, str(i % 7), "b") for i in range(1, 30)]
+    validated = validate(table(spark, rows, 3), two_keys(), staging=str(tmp_path / "contested"))
+    assert errors(validated) == brute_force(rows)
+
+
+def test_missing_column_counts_as_empty(spark):
+    df = spark.createDataFrame([(1, "p")], "row bigint, b string")
+    assert errors(validate(df, two_keys())) == [(1, "a", "", "required field is missing or empty")]
 
 
 def test_row_with_broken_rule_still_claims(spark):
