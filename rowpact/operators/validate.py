@@ -35,8 +35,8 @@ ERROR_TYPE = T.StructType([
     T.StructField("message", T.StringType()),
 ])
 RAW = "_raw_"
-_AGE_CALL = re.compile(r"\bage\(\s*`?(\w+)`?\s*\)")
-_RULE_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|&&")
+_RULE_TOKEN = re.compile(
+    r"(?P<text>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<both>&&)|\bage\(\s*`?(?P<age>\w+)`?\s*\)")
 
 
 def _col(name: str) -> Column:
@@ -139,17 +139,21 @@ def rule_condition(rule: RowRule, as_of: Column | dt.date | str | None = None) -
     """(condition, helper columns) of a row rule.
 
     Rules are SQL conditions over processed columns; `&&` reads as AND. `age(column)` is the
-    age on `as_of` of a yyyymmdd date, as a helper column. NULL counts as failed.
+    age on `as_of` of a yyyymmdd date, as a helper column. NULL counts as failed. A rule runs
+    on rows that passed all checks; a cast that may still fail there should be a TRY_CAST.
     """
     helpers: dict[str, Column] = {}
 
-    def helper(call: re.Match) -> str:
-        name = f"_age_{call.group(1)}"
-        helpers[name] = age_years(parse_date(_col(call.group(1)), DEFAULT_DATE_LAYOUT), as_of)
-        return f"`{name}`"
+    def rewrite(token: re.Match) -> str:
+        if token["both"]:
+            return " AND "
+        if token["age"]:
+            date = parse_date(_col(token["age"]), DEFAULT_DATE_LAYOUT)
+            helpers["_age_" + token["age"]] = age_years(date, as_of)
+            return f"`_age_{token['age']}`"
+        return token.group()
 
-    sql = _RULE_TOKEN.sub(lambda t: " AND " if t.group() == "&&" else t.group(), rule.expr)
-    return F.coalesce(F.expr(_AGE_CALL.sub(helper, sql)), F.lit(False)), helpers
+    return F.coalesce(F.expr(_RULE_TOKEN.sub(rewrite, rule.expr)), F.lit(False)), helpers
 
 
 def apply_row_rules(

@@ -135,6 +135,12 @@ def test_age_rule(spark):
     assert bad == [2, 3, 4, 5]
 
 
+def test_rule_texts_are_left_alone(spark):
+    rule = {"name": "r", "expr": "b <> 'age(a) && x' && b <> \"&&\""}
+    rows = [(1, "1", "age(a) && x"), (2, "2", "&&"), (3, "3", "ok")]
+    assert [r[0] for r in errors(validate(table(spark, rows), two_keys(row_rules=[rule])))] == [1, 2]
+
+
 def test_unknown_rule_column_fails_early(spark):
     with pytest.raises(AnalysisException):
         validate(table(spark, [(1, "1", "p")]), two_keys(row_rules=[{"name": "r", "expr": "nope = 1"}]))
