@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import decontaminate, mixing
+from rowpact.llm import decontaminate, mixing, quality
 from rowpact.llm.common import Scratch
 
 
@@ -28,7 +28,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, at = quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark), carry=["doc_id"])
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", *[F.col(f"{at}.{n}").alias(n) for n in names])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op6_quality_rules": op6_quality_rules,
 }

@@ -23,4 +23,43 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc_words LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLES = {"op1_decontaminate": OP1}
+OP6 = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT r, k, array_to_string(w[k:k + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS k FROM split WHERE len(w) >= 5)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM twice) GROUP BY r),
+counts AS (
+  SELECT r, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM split LEFT JOIN repeats USING (r)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+metrics AS (
+  SELECT r, lang, source, base_failed, 'symbol_share' AS metric, 20 AS least, 1000 * n_symbols // greatest(word_chars, 1) AS v FROM based
+  UNION ALL SELECT r, lang, source, base_failed, 'dup_line_share', 150, 1000 * n_dup_lines // greatest(n_lines, 1) FROM based
+  UNION ALL SELECT r, lang, source, base_failed, 'word_length', 200, 100 * word_chars // greatest(n_words, 1) FROM based),
+sketch AS (
+  SELECT lang, source, metric, least, v >> greatest(length(bin(v)) - 7, 0) << greatest(length(bin(v)) - 7, 0) AS bucket, count(*) AS n
+  FROM metrics WHERE NOT base_failed GROUP BY ALL),
+ranked AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total
+  FROM sketch),
+most AS (
+  SELECT lang, source, metric, least, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+  FROM ranked GROUP BY ALL),
+above AS (
+  SELECT DISTINCT r FROM metrics m JOIN most t
+  ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric
+  WHERE v > q3 + 3 * greatest(q3 - q1, t.least))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND r NOT IN (SELECT r FROM above) AS kept
+FROM based
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op6_quality_rules": OP6}
