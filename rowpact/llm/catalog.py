@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import decontaminate, mixing, quality
+from rowpact.llm import decontaminate, jaccard, mixing, quality
 from rowpact.llm.common import Scratch
 
 
@@ -34,8 +34,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"{at}.{n}").alias(n) for n in names])
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
 }
