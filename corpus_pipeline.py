@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowpact.llm import decontaminate, mixing
+from rowpact.llm import decontaminate, jaccard, mixing, quality, repair
 from rowpact.llm.common import Scratch
 
 #: Scratch tables of the stage before; its output has been written when the next stage starts.
@@ -20,6 +20,16 @@ def _scratch(spark: SparkSession) -> Scratch:
     return _before[-1]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents that the quality rules reject go."""
+    return quality.keep_good(docs, _scratch(spark))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of copies and near copies one document stays."""
+    return jaccard.keep_one(docs, _scratch(spark))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: contaminated documents go."""
     return decontaminate.drop_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _scratch(spark))
@@ -30,9 +40,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs, _scratch(spark))
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: written as token ids and read back."""
+    return repair.read(repair.write(docs, _scratch(spark)))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("decontaminate", decontaminated),
-    ("mix", mixed),
+    ("quality rules", good),
+    ("n-gram Jaccard join", one_of_each),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("token ids", token_ids),
 ]
 
 #: Stages with tokenizers, hashes and iteration: no SQL.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import decontaminate, jaccard, mixing, quality
+from rowpact.llm import decontaminate, jaccard, mixing, quality, repair
 from rowpact.llm.common import Scratch
 
 
@@ -38,9 +38,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read(repair.write(_table(spark, sf_dir, "documents"), Scratch(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_repair_ids": op10_repair_ids,
 }

@@ -166,3 +166,20 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_by: list[str
     salted = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt_by]), F.lit(SALTS)).cast("int"))
     small = small.withColumn("lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(small, [*same(salted), salted[salt] == small["lookup_salt"]], "left").drop(salt, "lookup_salt", *names.values())
+
+
+def filesystem(uri: str):
+    """The file system of a path in the shared folder, for what tasks write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def read_range(uri: str, start: int, length: int) -> bytes:
+    """Bytes of a file; a negative start counts from its end."""
+    store, path = filesystem(uri)
+    with store.open_input_file(path) as f:
+        size = f.size()
+        start = max(0, size + start) if start < 0 else start
+        f.seek(start)
+        return f.read(min(length, size - start))
