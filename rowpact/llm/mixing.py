@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     """source, source_size, target from rows of source and size.
 
     Sorted by the share at which a source is full, the full ones come first: level k is what a unit of weight gets when
-    the first k are full, and the first k at which the next isn't full is the answer. Windows without partition run over
+    the first k are full; it is the greatest level at which the next one is not full. Windows without partition run over
     one row per source only.
     """
     by_source = Window.orderBy(F.col("source").isNull(), "source")
@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
         per.withColumn("full", F.coalesce(F.sum("most").over(before), F.lit(0.0)))
         .withColumn("gone", F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level", (F.sum("source_size").over(every) - F.col("full")) / (F.sum("weight").over(every) - F.col("gone")))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(every))
         .select("source", "source_size", F.least(F.col("most"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
     )
 
