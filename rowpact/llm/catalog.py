@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import decontaminate, jaccard, mixing, quality, repair
+from rowpact.llm import chat, decontaminate, jaccard, mixing, quality, repair, warc
 from rowpact.llm.common import Scratch
 
 
@@ -28,6 +28,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read(warc.write(_table(spark, sf_dir, "pages"), Scratch(spark)))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: A conversation whose texts are made of control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], rows.schema))
+    return chat.digests(Scratch(spark).stage(chat.format_chats(rows), "chats"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, at = quality.judge(_table(spark, sf_dir, "documents"), Scratch(spark), carry=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -45,6 +60,8 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_mix_sources": op3_mix_sources,
+    "op4_warc_packages": op4_warc_packages,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_repair_ids": op10_repair_ids,
