@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import chat, decontaminate, jaccard, mixing, quality, repair, warc
+from rowpact.llm import chat, decontaminate, jaccard, mixing, quality, repair, warc, wrapper
 from rowpact.llm.common import Scratch
 
 
@@ -49,6 +49,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"{at}.{n}").alias(n) for n in names])
 
 
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.main_text(_table(spark, sf_dir, "pages"), Scratch(spark))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "n_shingles", "component_id")
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_packages": op4_warc_packages,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op8_wrapper_text": op8_wrapper_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_repair_ids": op10_repair_ids,
 }
