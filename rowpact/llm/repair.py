@@ -9,8 +9,8 @@ A task attempt writes files under names of its own and returns a row for each; t
 one attempt per task, and readers open only files in it. Files of lost attempts are never read.
 
 Encoding: the tokenizer splits at white space and drops it, so what stands between two ASCII white spaces is encoded alone and
-its ids are kept for when it comes again (up to CACHE strings a worker). For a tokenizer of which this isn't true, pass
-whole=True.
+its ids are kept for when it comes again (up to CACHE strings a worker); so are those of words within such strings, where the
+tokenizer's file says how it cuts them. For a tokenizer that doesn't split at white space, pass whole=True.
 
 Defined cases: a null text is empty and has END only; null ids come first; rows that are equal in id are ordered by text, null
 first; an empty table gives no file and no row; other columns are not read.
@@ -19,6 +19,8 @@ first; an empty table gives no file and no row; other columns are not read.
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import os
 import struct
 import uuid
@@ -26,10 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowpact.llm.common import Scratch, filesystem, mix, read_range
+from rowpact.llm.common import Scratch, filesystem, read_range
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -37,7 +40,8 @@ SHARD_IDS = 1 << 20
 ROUNDS = 8
 PAIRS = 512
 MIN_COUNT = 8
-CACHE = 400_000
+BIN_BITS = 20
+CACHE = 500_000
 MAGIC = b"RPIDS001"
 #: magic, first nonterminal, rules, documents, ids, bytes of a symbol
 _HEAD = struct.Struct("<8sQQQQQ")
@@ -49,32 +53,78 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _trimmed(known: dict, most: int) -> dict:
+    """What came first comes often; of the rest the most is rare."""
+    return known if len(known) < most else dict(itertools.islice(known.items(), most // 2))
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
+    #: What the tokenizer does to these characters before it merges: lower case, then its own pattern.
+    _PLAIN = regex.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.whole, self.known = Tokenizer.from_file(path), whole, {}
+        self.tokenizer, self.whole = Tokenizer.from_file(path), whole
+        self.known, self.parts = {}, {}
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.pattern, self.last = self._words()
+
+    def _words(self):
+        """The pattern that cuts words, and which ids end one, if the tokenizer lower-cases, cuts by a pattern and marks word ends."""
+        about = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
+        cut = ((about["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        end = about["model"].get("end_of_word_suffix")
+        if steps != ["NFC", "Replace", "Lowercase"] or cut.get("type") != "Split" or not cut.get("invert") or not end:
+            return None, None
+        last = np.zeros(self.base, bool)
+        last[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if x.endswith(end)]] = True
+        return regex.compile(cut["pattern"]["Regex"]), last
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
+        """Of words, each as the pattern cuts it: encoded as one text and told apart by the ids that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(texts) or len(ids) != (ends[-1] if len(ends) else 0):
+            return self._encode(texts)
+        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def _encode_new(self, texts: list[str]) -> list[bytes]:
+        """Of strings without white space."""
+        if self.pattern is None:
+            return self._encode(texts)
+        cut = [self.pattern.findall(x.lower()) if self._PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
+        new = [x for x in dict.fromkeys(itertools.chain.from_iterable(filter(None, cut))) if x not in self.parts]
+        self.parts.update(zip(new, self._encode_words(new), strict=True))
+        odd = iter(self._encode([x for x, c in zip(texts, cut, strict=True) if c is None]))
+        get = self.parts.__getitem__
+        out = [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
+        self.parts = _trimmed(self.parts, CACHE)
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return self._encode(texts)
         pieces = [x.encode().split() for x in texts]
-        new = {p for x in pieces for p in x} - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = {p for x in pieces for p in x}
-        if new:
-            listed = list(new)
-            self.known.update(zip(listed, self._encode([p.decode() for p in listed]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in pieces]
+        every = list(itertools.chain.from_iterable(pieces))
+        found = list(map(self.known.get, every))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if missing:
+            new = list(dict.fromkeys(every[k] for k in missing))
+            self.known.update(zip(new, self._encode_new([p.decode() for p in new]), strict=True))
+            for k in missing:
+                found[k] = self.known[every[k]]
+            self.known = _trimmed(self.known, CACHE)
+        ends = list(itertools.accumulate(map(len, pieces), initial=0))
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -98,21 +148,24 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
         if len(symbols) < 2:
             break
         pair = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        bins = (mix(pair) >> np.uint64(44)).astype(np.int64)
-        inner = ~last[:-1]
-        counts = np.bincount(bins[inner], minlength=1 << 20)
-        floor = max(MIN_COUNT, int(np.partition(counts, -PAIRS)[-PAIRS]))
-        found, times = np.unique(pair[inner & (counts >= floor)[bins]], return_counts=True)
-        found, times = found[times >= MIN_COUNT], times[times >= MIN_COUNT]
-        if not len(found):
-            break
-        best = np.sort(found[np.lexsort((found, -times))[:PAIRS]])
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(mix(best) >> np.uint64(44)).astype(np.int64)] = True
-        at = np.flatnonzero(sieve[bins] & inner)
-        which = np.searchsorted(best, pair[at])
-        same = best[np.minimum(which, len(best) - 1)] == pair[at]
+        # Pairs are counted by bin; the fullest bins each put one pair forward, which is then counted exactly.
+        places = np.flatnonzero(~last[:-1])
+        bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)[places]
+        counts = np.bincount(bins, minlength=1 << BIN_BITS)
+        most = counts[counts >= MIN_COUNT]
+        full = np.flatnonzero(counts >= (np.partition(most, -PAIRS)[-PAIRS] if len(most) > PAIRS else MIN_COUNT))
+        forward = np.zeros(1 << BIN_BITS, np.uint64)
+        forward[bins] = pair[places]
+        slot = np.full(1 << BIN_BITS, -1, np.int32)
+        slot[full] = np.arange(len(full))
+        which = slot[bins]
+        at, which = places[which >= 0], which[which >= 0]
+        same = forward[full][which] == pair[at]
         at, which = at[same], which[same]
+        often = np.bincount(which, minlength=len(full)) >= MIN_COUNT
+        best, at, which = forward[full][often], at[often[which]], (np.cumsum(often) - 1)[which[often[which]]]
+        if not len(best):
+            break
         # Of neighbouring places that overlap, every other one from the left.
         run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
         nth = np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))
@@ -246,7 +299,7 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, id_co
         if held[0]:
             yield flush()
 
-    files = rows.repartitionByRange("id", "text").sortWithinPartitions("id", "text").mapInArrow(
+    files = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(
         run, "uri string, part long, seq long, n_docs long, n_ids long, n_bytes long")
     files = scratch.stage(files, "files")
     # One row per file here.
