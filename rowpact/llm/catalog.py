@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import chat, decontaminate, jaccard, mixing, quality, repair, warc, wrapper
+from rowpact.llm import chat, decontaminate, jaccard, linededup, mixing, quality, repair, warc, wrapper
 from rowpact.llm.common import Scratch
 
 
@@ -24,6 +24,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated(at).alias("contaminated"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, at = linededup.cut(docs, Scratch(spark))
+    return found.select("doc_id", F.col(f"{at}.n_lines").alias("n_lines"), F.col(f"{at}.n_removed").alias("n_removed"), F.col(f"{at}.n_runs").alias("n_runs"),
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), Scratch(spark)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -64,6 +71,7 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_dedup": op2_line_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_warc_packages": op4_warc_packages,
     "op5_chat_format": op5_chat_format,
