@@ -4,10 +4,12 @@ A document's set is its distinct shingles of SHINGLE lower-cased words; two docu
 Shingles are put in a global order by a 64-bit hash. The order is cut into fragments, and sets are compared fragment by fragment:
 
 1. Documents with equal sets are one class (128 bits of the set); from here on there are classes only.
-2. Linked sets differ in at most n/9 shingles, where n is the smaller's size (at 90 per cent). So with more fragments than that, some
-   fragment is the same in both. Each class gives a hash of each of its fragments, under the cut of its size level and, if
-   a linked set could be of the level below, under that cut too. Each level has spare fragments (SPARE), since an empty one says
-   nothing; small sets use two orders. That all of the many fragments in question are empty has a chance below 1e-12 a pair.
+2. Linked sets differ in at most d = n/9 shingles, where n is the smaller's size (at 90 per cent). Each class gives signatures, of which
+   two linked classes have one in common; it gives them for each level (of sizes) at which a linked set could be. Sets from SMALL
+   shingles: more fragments than d, so that some fragment is the same in both; each level has spare fragments (SPARE), since an
+   empty one says nothing, and that all in question are empty has a chance below 1e-12 a pair. Smaller sets: the order is cut into
+   d/3 + 1 groups of GROUP fragments, so some group has at most two differing shingles; a signature for each choice of GROUP - 2 of its
+   fragments, empty or not, and one choice is without difference.
 3. Classes that share a fragment meet at it. Each meets its least class first (a star, so rows grow with the members of a fragment,
    not with their square); pairs are checked, and linked ones joined to components. Only where a fragment still has several
    components are pairs across components checked too, which loses no link between components; within one no more is needed.
@@ -23,6 +25,7 @@ give none; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -38,33 +41,58 @@ PARTS = 8
 SPARE = 5
 SPARE_SHARE = 0.15
 SMALL = 64
-#: Sizes of the levels grow by this; over 1 / THRESHOLD, so that linked sets are of the same level or of neighbours.
+GROUP = 5
+#: Sizes of the levels from SMALL on grow by this; linked sets are of the same level or of neighbours.
 LEVEL = 1.25
 
 
 class Cuts:
-    """Levels of sizes, and how many fragments each has."""
+    """Which signatures a set of a size gives."""
 
     def __init__(self, threshold: int):
         self.share = threshold / 100
         #: The most differing shingles for each shingle of the smaller set.
         self.differ = (1 - self.share) / self.share
-        self.base = max(1, math.ceil(1 / self.differ - 1e-9)) if self.differ else 1 << 62
+        if not 0.8 <= self.share < 1:
+            raise ValueError("levels are made for thresholds from 80 to 99")
+        self.choices = {k: np.array(list(itertools.combinations(range(GROUP), GROUP - k))) for k in (1, 2)}
+
+    def most(self, n: int) -> int:
+        """Differing shingles at most, if n is the size of the smaller."""
+        return math.floor(n * self.differ + 1e-9)
 
     def level(self, n: int) -> int:
-        return int(math.log(n / self.base) / math.log(LEVEL) + 1e-9) if n >= self.base else -1
+        return math.floor(math.log(n / SMALL) / math.log(LEVEL) + 1e-9)
 
     def fragments(self, level: int) -> int:
-        most = math.ceil(self.base * LEVEL ** (level + 1))
-        least = math.floor(most * self.differ + 1e-9) + 1
+        least = self.most(math.ceil(SMALL * LEVEL ** (level + 1))) + 1
         return least + max(SPARE, math.ceil(SPARE_SHARE * least))
 
-    def levels(self, n: int) -> list[int]:
-        own = self.level(n)
-        if own < 0:
-            return []
-        below = own > 0 and self.level(math.ceil(n * self.share - 1e-9)) < own
-        return [own, own - 1] if below else [own]
+    def signatures(self, found: np.ndarray) -> np.ndarray:
+        n = len(found)
+        partner = math.ceil(n * self.share - 1e-9)
+        out = []
+        if n >= SMALL:
+            own, low = self.level(n), self.level(max(partner, SMALL))
+            out += [self._fragments(found, level) for level in range(low, own + 1)]
+        for d in range(max(1, self.most(min(partner, SMALL))), self.most(min(n, SMALL - 1)) + 1):
+            out.append(self._choices(found, d))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+    def _fragments(self, found: np.ndarray, level: int) -> np.ndarray:
+        part = ((found >> np.uint64(32)) * np.uint64(self.fragments(level))) >> np.uint64(32)
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
+        total = np.add.reduceat(mix(found), cut)
+        return mix(total + part[cut] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1000 + level))
+
+    def _choices(self, found: np.ndarray, d: int) -> np.ndarray:
+        groups = d // 3 + 1
+        chosen = self.choices[min(2, d)]
+        part = ((found >> np.uint64(32)) * np.uint64(groups * GROUP)) >> np.uint64(32)
+        total = np.zeros(groups * GROUP, np.uint64)
+        np.add.at(total, part.astype(np.int64), mix(found))
+        kept = total.reshape(groups, GROUP)[:, chosen].sum(2, dtype=np.uint64)
+        return mix(kept.ravel() + np.arange(kept.size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(d))
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
@@ -90,19 +118,6 @@ def _key(found: np.ndarray) -> bytes:
     return np.array([np.add.reduce(one), np.add.reduce(two) + np.uint64(len(found))], np.uint64).tobytes()
 
 
-def _signatures(found: np.ndarray, cuts: Cuts) -> np.ndarray:
-    out = []
-    for level in cuts.levels(len(found)):
-        n = cuts.fragments(level)
-        for order in range(2 if len(found) < SMALL else 1):
-            seen = found if not order else np.sort(mix(found ^ np.uint64(0xD6E8FEB86659FD93)))
-            part = ((seen >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
-            total = np.add.reduceat(mix(seen), cut)
-            out.append(mix(total + part[cut] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level * 2 + order + 1)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -123,7 +138,7 @@ def sets(docs: DataFrame, id_column: str, text: str, shingle: int, threshold: in
                 found = shingle_sets(*flat(batch.column("text")), shingle)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("same"), pa.array([len(x) for x in found], pa.int64()),
-                     pa.array([_key(x) for x in found], pa.binary()), _lists([_signatures(x, cuts) for x in found])],
+                     pa.array([_key(x) for x in found], pa.binary()), _lists([cuts.signatures(x) for x in found])],
                     ["doc_id", "same", "n", "cls", "signatures"])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:2], *_SETS.fields]))
@@ -169,10 +184,16 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     found = scratch.stage(sets(docs, id_column, text, shingle, threshold), "sets")
     classes = found.filter("n > 0").groupBy("cls").agg(
         F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("signatures").alias("signatures"))
-    met = classes.select("cls", "n", "doc_id", F.explode("signatures").alias("s")).withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "cls", "n"))
-    least = F.min("rank").over(Window.partitionBy("s"))
-    shared = met.withColumn("least", least).withColumn("members", F.count("*").over(Window.partitionBy("s"))).filter("members > 1")
-    shared = scratch.stage(shared.select("s", "cls", "n", "doc_id", F.col("least.cls").alias("a"), F.col("least.n").alias("na")), "shared")
+    # Two numbers a signature: an id that two classes share only brings both up as candidates.
+    member = F.coalesce("doc_id", F.xxhash64("cls"))
+    met = classes.select(F.explode("signatures").alias("s"), member.alias("m"))
+    here = Window.partitionBy("s")
+    shared = met.withColumn("least", F.min("m").over(here)).withColumn("most", F.max("m").over(here)).filter("least <> most").select("s", "m", "least")
+    shared = scratch.stage(shared, "shared-ids")
+    by_id = classes.select(member.alias("m"), "cls", "n", "doc_id")
+    known = scratch.stage(by_id.join(shared.select("m").distinct(), "m"), "known")
+    shared = shared.join(known, "m").join(known.select(F.col("m").alias("least"), F.col("cls").alias("a"), F.col("n").alias("na")), "least")
+    shared = scratch.stage(shared.select("s", "cls", "n", "doc_id", "a", "na"), "shared")
     parts = scratch.stage(parts_of(docs, shared.select("doc_id", "cls").distinct(), id_column, text, shingle), "parts")
     star = shared.filter(F.col("cls") != F.col("a")).filter(_could(F.col("n"), F.col("na"), threshold)).select(
         "a", "na", F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
