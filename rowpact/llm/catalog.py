@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import chat, decontaminate, jaccard, linededup, mixing, quality, repair, warc, wrapper
+from rowpact.llm import chat, decontaminate, jaccard, linededup, mixing, quality, repair, suffixes, warc, wrapper
 from rowpact.llm.common import Scratch
 
 
@@ -56,6 +56,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"{at}.{n}").alias(n) for n in names])
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.cut(_table(spark, sf_dir, "documents"), Scratch(spark))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper.main_text(_table(spark, sf_dir, "pages"), Scratch(spark))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc_packages": op4_warc_packages,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_wrapper_text": op8_wrapper_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_repair_ids": op10_repair_ids,
