@@ -148,24 +148,19 @@ def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
 
 #: Rows of a lookup table up to which it is broadcast; its rows are counted first, and are narrow.
 BROADCAST_ROWS = 50_000
-SALTS = 32
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_by: list[str]) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join with a written table of one row per key; null equals null.
 
-    A table of more than BROADCAST_ROWS rows is joined by shuffle instead, each key under SALTS numbers, so that a key of a third
-    of all rows spreads over as many tasks. salt_by: columns of left that tell the rows of a key apart.
+    A table of more than BROADCAST_ROWS rows is joined by shuffle. Nothing above that join needs the rows of a key together, so
+    Spark splits the partitions of a key that a third of all rows share (spark.sql.adaptive.skewJoin).
     """
     names = {k: f"lookup_{n}_{k}" for n, k in enumerate(keys)}
     small = right.withColumnsRenamed(names)
-    same = lambda a: [a[k].eqNullSafe(small[names[k]]) for k in keys]
     if right.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(small), same(left), "left").drop(*names.values())
-    (salt,) = fresh(left, "salt")
-    salted = left.withColumn(salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt_by]), F.lit(SALTS)).cast("int"))
-    small = small.withColumn("lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(small, [*same(salted), salted[salt] == small["lookup_salt"]], "left").drop(salt, "lookup_salt", *names.values())
+        small = F.broadcast(small)
+    return left.join(small, [left[k].eqNullSafe(small[names[k]]) for k in keys], "left").drop(*names.values())
 
 
 def filesystem(uri: str):

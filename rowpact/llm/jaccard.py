@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowpact.llm.common import (BLANK, LOWER, SALTS, Scratch, flat, mix, steps, window_hashes, word_hashes, words)
+from rowpact.llm.common import (BLANK, LOWER, Scratch, flat, fresh, mix, steps, window_hashes, word_hashes, words)
 from rowpact.llm.components import components
 
 SHINGLE = 3
@@ -215,13 +215,11 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     of = ids.join(roots, ids["cls"] == roots["node"]).select("cls", "doc_id", "root")
     named = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls")).alias("least"))
     grouped = scratch.stage(of.join(named, "root").select("cls", F.col("least.doc_id").alias("component"), F.col("least.cls").alias("head")), "grouped")
-    # A class of very many copies is spread by number.
-    salt = F.pmod(F.xxhash64("doc_id", "same"), F.lit(SALTS)).cast("int")
     alone = found.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies"))
     alone = scratch.stage(alone.filter("copies > 1").join(grouped, "cls", "full").select(
         "cls", F.when(F.col("head").isNotNull(), F.col("component")).otherwise(F.col("own")).alias("component"), F.coalesce("head", "cls").alias("head")), "named")
-    spread = alone.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = found.drop("signatures").withColumn("salt", salt).join(spread, ["cls", "salt"], "left")
+    # Spark splits the partition of a class of very many copies.
+    out = found.drop("signatures").join(alone, "cls", "left")
     grouped_ = F.col("head").isNotNull() & (F.col("n") > 0)
     return out.select(
         "doc_id", "same", F.col("n").alias("n_shingles"), "cls",
@@ -234,8 +232,6 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text:
 
     Documents with an empty set all stay.
     """
-    from rowpact.llm.common import fresh
-
     joined = join(docs, scratch, id_column, text, **options)
     stays = joined.filter("first").groupBy("doc_id", "same", "component_id").agg(F.min("n_shingles").alias("n"))
     stays = stays.filter((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,7 @@ or more that stands somewhere earlier (by document id, then place) is deleted wh
 
 1. Of every RUN neighbouring lines the least line hash is selected: two equal runs of RUN lines select the same one, so every
    repeat has a selected fingerprint in common. Fingerprints are counted, summed before they are shuffled.
-2. Places whose fingerprint comes twice or more are joined to these (a fingerprint of very many places under many numbers).
+2. Places whose fingerprint comes twice or more are joined to these (Spark splits the partition of a fingerprint of very many places).
 3. From there a match is extended both ways: each group of RUN lines round the fingerprint is compared as a whole, and of
    each group the first place in the corpus is found. Groups that come later are deleted; those that overlap are one run.
 
@@ -47,11 +47,11 @@ def repeats(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text:
     shared = scratch.stage(shared, "shared")
     places = groups.select("doc_id", "same", F.explode("g").alias("g")).select(
         "doc_id", "same", "g.i", F.col("g.least.h").alias("print"), "g.whole")
-    near = scratch.stage(lookup(places, shared, ["print"], ["doc_id", "i"]).filter("shared").select("doc_id", "same", "i", "whole"), "near")
+    near = scratch.stage(lookup(places, shared, ["print"]).filter("shared").select("doc_id", "same", "i", "whole"), "near")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "same", "i")
     firsts = near.groupBy("whole").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("whole", "first")
     firsts = scratch.stage(firsts, "firsts")
-    later = lookup(near, firsts, ["whole"], ["doc_id", "i"]).filter(F.col("first").isNotNull() & (place > F.col("first")))
+    later = lookup(near, firsts, ["whole"]).filter(F.col("first").isNotNull() & (place > F.col("first")))
     covered = later.select("doc_id", "same", F.explode(F.sequence(F.col("i"), F.col("i") + run - 1)).alias("p"))
     return covered.groupBy("doc_id", "same").agg(F.sort_array(F.collect_set("p")).alias("gone"))
 

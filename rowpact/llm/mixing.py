@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from rowpact.llm.common import Scratch, fresh
+from rowpact.llm.common import Scratch, fresh, lookup
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -85,8 +85,7 @@ def mix(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     narrow = scratch.stage(docs.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")), "sizes")
     aims = scratch.stage(targets(narrow, weights, max_epochs).withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "targets")
-    ranked = narrow.join(F.broadcast(aims.select("source", "rank")) if aims.count() <= 10_000 else aims.select("source", "rank"),
-                         narrow["source"].eqNullSafe(aims["source"])).select(narrow["*"], "rank")
+    ranked = lookup(narrow, aims.select("source", "rank"), ["source"])
     keyed = ranked.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source"))
     order = ["rank", "key", "doc_id", "size"]
     sums = T.StructType([*keyed.schema.fields, T.StructField("part", T.LongType()), T.StructField("inner", T.LongType())])

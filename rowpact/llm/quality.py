@@ -114,7 +114,7 @@ def judge(docs: DataFrame, scratch: Scratch, text: str = "text", groups: tuple[s
     names = {f"g{k}": g for k, g in enumerate(groups)}
     limits = fresh(counted, *[f"most_{m}" for m in METRICS])
     most = most.select(*[F.col(k).alias(g) for k, g in names.items()], *[F.col(f"most_{m}").alias(x) for m, x in zip(METRICS, limits, strict=True)])
-    judged = lookup(counted, most, list(groups), [counts])
+    judged = lookup(counted, most, list(groups))
     above = F.lit(False)
     for m, limit in zip(METRICS, limits, strict=True):
         above = above | (metric(m, counts) > F.coalesce(F.col(limit), F.lit(0)))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rowpact.llm.common import BROADCAST_ROWS, SALTS, Scratch, filesystem, read_range
+from rowpact.llm.common import Scratch, filesystem, lookup, read_range
 
 MIN_REVISIT = 100
 #: A package is closed when its archive has this many bytes.
@@ -177,11 +177,7 @@ def write(pages: DataFrame, scratch: Scratch, id_column: str = "page_id", url: s
     twice = scratch.stage(
         rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n"))
         .filter("n > 1").select("digest", "least"), "twice")
-    if twice.count() <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(twice), "digest", "left")
-    else:
-        spread = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(spread, ["digest", "salt"], "left")
+    joined = lookup(rows, twice, ["digest"])
     revisits = F.col("least").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("least"))
     joined = joined.select("page_id", "url", F.when(revisits, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
                            "digest", "size", F.when(revisits, F.col("least")).alias("refers"))
