@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Mapping
 from string import Formatter
 
@@ -93,16 +94,24 @@ def if_present(value: Column, then: Column, otherwise: Column | None = None) ->
     return F.when(value != "", then).otherwise(F.lit("") if otherwise is None else otherwise)
 
 
+_STRICT_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "allowUnquotedFieldNames": "false",
+                "allowNumericLeadingZeros": "false", "allowBackslashEscapingAnyCharacter": "false", "allowUnquotedControlChars": "false",
+                "allowComments": "false"}
+
+
 def json_valid(value: Column) -> Column:
-    """Strict well-formedness. The two wrappers expose trailing text that a bare parse skips.
+    """Strict well-formedness, whatever the session's settings. Objects may repeat a key.
 
-    Objects that repeat a key count as valid with `spark.sql.variant.allowDuplicateKeys`.
+    The two wrappers expose trailing text that a bare parse skips.
     """
-    in_list = F.try_parse_json(F.concat(F.lit("["), value, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit("}")))
+    in_list = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>", _STRICT_JSON)
+    in_object = F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "map<string,string>", _STRICT_JSON)
     return in_list.isNotNull() & in_object.isNotNull()
 
 
+#: Fields, conditions and ends as {{ .name }}, {{ if .name }}, {{ end }}.
+_FOREIGN = re.compile(r"\{\{-?\s*(?:\.|(?:if|else|end|range|with)\b|\w+\s+\.)")
+
 _FIELD_FUNCTIONS = {
     "upper": upper,
     "lower": lower,
@@ -117,8 +126,11 @@ def interpolate(template: str, columns: Mapping[str, Column] | None = None) -> C
     """Text with `{column}` fields, as one concat.
 
     A field may name a function: `{phone:e164}`, `{birth:date 2006-01-02}`; or depend on the
-    column being non-empty: `{token:if Bearer {token}}`. Doubled braces are literal.
+    column being non-empty: `{token:if Bearer {token} else none}` (the part with else may be left out).
+    Doubled braces are literal, except round a field of another template language (`{{ .name }}`), which is refused.
     """
+    if _FOREIGN.search(template):
+        raise ValueError(f"{template!r} has fields of another template language: write {{name}} for {{{{ .name }}}}")
     columns = columns or {}
     parts: list[Column] = []
     for literal, field, spec, conversion in Formatter().parse(template):
@@ -135,7 +147,8 @@ def interpolate(template: str, columns: Mapping[str, Column] | None = None) -> C
         elif name == "date":
             parts.append(date_format(value, argument))
         elif name == "if":
-            parts.append(if_present(value, interpolate(argument, columns)))
+            then, _, other = argument.partition(" else ")
+            parts.append(if_present(value, interpolate(then, columns), interpolate(other, columns)))
         elif name in _FIELD_FUNCTIONS and not argument:
             parts.append(_FIELD_FUNCTIONS[name](value))
         else:

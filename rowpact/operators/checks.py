@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
@@ -74,14 +75,40 @@ def is_decimal(value: Column) -> Column:
     )
 
 
+def _compare(text: Column, number: Column, bound: object) -> Column:
+    """Sign of the number text minus the bound.
+
+    Rounding to doubles keeps order, so only equal doubles need a closer look: digits are cut off, not rounded, after as
+    many places as a decimal has, and what was cut off decides if the rest is equal. (With an exponent, 38 digits count.)
+    """
+    exact = Decimal(str(bound))
+    _, digits, exponent = exact.as_tuple()
+    places = max(0, min(37 - max(0, len(digits) + exponent), 30))
+    kind = f"decimal(38,{places})"
+    cut = F.regexp_extract(text, r"^([+-]?[0-9]*\.?[0-9]{0,%d})" % places, 1)
+    rest = text.rlike(r"^[+-]?[0-9]*\.[0-9]{%d}[0-9]*[1-9]" % places)
+    near = F.when(text.rlike("[eE]"), text).otherwise(cut).try_cast(kind)
+    to = F.lit(format(exact, "f")).cast(kind)
+    beyond = F.when(text.startswith("-"), -1).otherwise(1)
+    tie = F.when(near < to, -1).when(near > to, 1).when(rest, beyond).otherwise(0)
+    return F.when(number < float(exact), -1).when(number > float(exact), 1).when(text.rlike("^[+-]?0[xX]"), 0).otherwise(tie)
+
+
 def is_in_range(value: Column, bounds: Bounds) -> Column:
-    """Numeric bounds, both inclusive. Text that is no number is out of range."""
-    number = value.try_cast("decimal(38,12)")
-    inside = number.isNotNull()
+    """Numeric bounds, both inclusive. Text that is no number, and nan, is out of range.
+
+    Every number that a type check accepts is compared, whatever its length, exponent, places, underscores or base.
+    """
+    plain = F.replace(value, F.lit("_"), F.lit(""))
+    plain = F.regexp_replace(plain, r"^\.([+-])", "$1.")
+    number = plain.try_cast("double")
+    accepted = (value.rlike(FLOAT_TEXT) | value.rlike(DECIMAL_TEXT) | value.rlike(SCIENTIFIC_TEXT) | value.rlike(HEX_FLOAT_TEXT)
+                | value.rlike(SPECIAL_FLOAT_TEXT))
+    inside = accepted & number.isNotNull() & ~F.isnan(number)
     if bounds.min is not None:
-        inside &= number >= F.lit(bounds.min)
+        inside &= _compare(plain, number, bounds.min) >= 0
     if bounds.max is not None:
-        inside &= number <= F.lit(bounds.max)
+        inside &= _compare(plain, number, bounds.max) <= 0
     return F.coalesce(inside, F.lit(False))
 
 

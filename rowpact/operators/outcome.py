@@ -32,11 +32,15 @@ def status_success(status: Column, status_in: Sequence[int] = DEFAULT_SUCCESS_ST
 
 
 def response_keys_match(body: Column, expected: Mapping[str, str]) -> Column:
-    """The body is one strict JSON object and each key prints as expected."""
-    fields = F.from_json(body, "map<string,string>")
+    """The body is one strict JSON object and each key prints as expected; of a key that repeats the last counts."""
+    fields = F.map_entries(F.from_json(body, "map<string,string>"))
+
+    def last(key: str) -> Column:
+        return F.get(F.reverse(F.filter(fields, lambda x: x["key"] == key)), 0)["value"]
+
     match = json_valid(body)
     for key, value in expected.items():
-        match &= F.coalesce(fields[key] == value, F.lit(False))
+        match &= F.coalesce(last(key) == value, F.lit(False))
     return match
 
 
@@ -77,11 +81,13 @@ def collapse_attempts(
     order: Sequence[str] = ("ts",),
     max_retries: int = MAX_RETRIES,
     retry_http_status: bool = False,
+    started: str | None = None,
 ) -> DataFrame:
     """One row per request: its final attempt.
 
     `attempts` has the key, `ts` (when the attempt ended), `status_code`, `error`, `body` and
-    `headers`. The sequence ends with the first attempt that had no transport error, or one
+    `headers`. `started` names the column that says when an attempt began; latency counts from the first
+    attempt's. Without it latency counts from the first attempt's end, so a single attempt takes 0 ms. The sequence ends with the first attempt that had no transport error, or one
     that is not worth repeating, or with the last retry. The latest error class sticks.
 
     Only the first `max_retries + 1` attempts can matter. The filter on the row number makes
@@ -104,7 +110,7 @@ def collapse_attempts(
     windowed = tried.select(
         "*",
         last_attempt.alias("_final"),
-        F.first("ts").over(so_far).alias("_started"),
+        F.first(started or "ts").over(so_far).alias("_started"),
         F.last(sticky, ignorenulls=True).over(so_far).alias("_sticky"),
     )
     final = windowed.filter(F.col("_n") == F.col("_final"))

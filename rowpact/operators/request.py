@@ -134,8 +134,11 @@ def preview(
     as_of=None,
     row: str = "row",
 ) -> DataFrame:
-    """The requests of the first `n` input rows; uniqueness looks at those rows only."""
-    head = df.orderBy(row).limit(n)
+    """The requests of the first `n` input rows; uniqueness looks at those rows only.
+
+    Rows are numbered 1, 2, ..., so a filter, which a written table prunes by, finds them.
+    """
+    head = df.filter(F.col(row) <= n)
     return render(valid_rows(validate(head, contract, as_of, row)), spec, contract).filter("rendered")
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowpact.contract import ColumnSpec, Contract, RowRule
 from rowpact.fixed_values import DEFAULT_DATE_LAYOUT, MSG_DUPLICATE, MSG_ROW_RULE
@@ -139,8 +140,8 @@ def rule_condition(rule: RowRule, as_of: Column | dt.date | str | None = None) -
     """(condition, helper columns) of a row rule.
 
     Rules are SQL conditions over processed columns; `&&` reads as AND. `age(column)` is the
-    age on `as_of` of a yyyymmdd date, as a helper column. NULL counts as failed. A rule runs
-    on rows that passed all checks; a cast that may still fail there should be a TRY_CAST.
+    age on `as_of` of a yyyymmdd date, as a helper column. NULL counts as failed, and so does what can't be
+    computed for a row, such as a cast that overflows (see `apply_row_rules`).
     """
     helpers: dict[str, Column] = {}
 
@@ -156,21 +157,40 @@ def rule_condition(rule: RowRule, as_of: Column | dt.date | str | None = None) -
     return F.coalesce(F.expr(_RULE_TOKEN.sub(rewrite, rule.expr)), F.lit(False)), helpers
 
 
+@contextmanager
+def lenient(spark: SparkSession):
+    """Expressions that are analysed inside give NULL where they can't be computed."""
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def apply_row_rules(
     df: DataFrame, rules: tuple[RowRule, ...], as_of: Column | dt.date | str | None, row: str
 ) -> DataFrame:
-    """Append one error per failed rule to rows that have none so far."""
+    """Append one error per failed rule to rows that have none so far.
+
+    Rules are analysed without ANSI mode: one that can't be computed for a row is NULL there, and the job goes on.
+    """
     helpers: dict[str, Column] = {}
-    entries = []
+    entries, conditions = [], []
     for rule in rules:
         condition, needed = rule_condition(rule, as_of)
         helpers.update(needed)
+        conditions.append(condition)
         message = MSG_ROW_RULE.format(name=rule.name, expr=rule.expr)
-        entries.append((~condition, F.lit(""), F.lit(""), F.lit(message)))
+        entries.append((~_col(f"_rule_{len(entries)}"), F.lit(""), F.lit(""), F.lit(message)))
     with_helpers = df
     if helpers:
         with_helpers = df.select("*", *[value.alias(name) for name, value in helpers.items()])
-    return _add_errors(with_helpers, row, entries, list(helpers))
+    names = [f"_rule_{k}" for k in range(len(rules))]
+    with lenient(df.sparkSession):
+        judged = with_helpers.select("*", *[c.alias(n) for n, c in zip(names, conditions)])
+        judged.schema  # analysed here, in this mode
+    return _add_errors(judged, row, entries, [*helpers, *names])
 
 
 def _add_errors(df: DataFrame, row: str, entries: list[Entry], used: list[str]) -> DataFrame:

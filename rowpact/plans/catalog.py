@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowpact.contract import CleanseRule, ColumnSpec, Contract
+from rowpact.contract import Bounds, CleanseRule, ColumnSpec, Contract
 from rowpact.functions import scalars
 from rowpact.functions.layouts import parse_date
 from rowpact.operators import checks, cleanse, outcome, request, resume, summary
@@ -309,6 +309,13 @@ def check_range(spark, sf_dir):
     return one_check(orders_raw(spark, sf_dir), ORDERS.column("price"), "price")
 
 
+@query
+def check_range_texts(spark, sf_dir):
+    """A range over numbers in every accepted writing."""
+    spec = ColumnSpec("text", "string", range=Bounds(min=-500, max=200000))
+    return one_check(number_texts(spark, sf_dir), spec, "text")
+
+
 @query
 def preset_profile(spark, sf_dir):
     customers = customer_raw(spark, sf_dir)

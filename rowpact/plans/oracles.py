@@ -387,6 +387,10 @@ def oracles() -> dict[str, str]:
         "check_regex": message("(SELECT doc_id + 1 AS row, text FROM documents)", f"text <> '' AND NOT regexp_matches(text, '{DOC_PATTERN}')", "value does not match required pattern"),
         "check_enum": message("(SELECT doc_id + 1 AS row, lang FROM documents)", "lang NOT IN ('en', 'de', 'fr')", "value must be one of: en, de, fr"),
         "check_validators": with_(CUSTOMER_RAW, message("customer_raw", "proxy <> '' AND NOT regexp_matches(proxy, '^https?://.*$')", "http or https expected")),
+        "check_range_texts": with_(NUMBER_TEXTS, message("number_texts", """coalesce(CASE
+            WHEN form IN (4, 5, 8, 10, 11) THEN true
+            WHEN form = 9 THEN CAST(replace(text, 'p-2', '') AS BIGINT) / 4.0 > 200000
+            ELSE CAST(replace(text, '_', '') AS DOUBLE) NOT BETWEEN -500 AND 200000 END, true)""", "value out of range")),
         "check_range": with_(ORDERS_RAW, message("orders_raw", "amount NOT BETWEEN 1500 AND 480000", "value out of range")),
         "preset_profile": with_(CUSTOMER_RAW, f""", texts AS (
             SELECT 'name' AS column_name, trim(name, {WS}) AS value FROM customer_raw UNION ALL SELECT 'phone', phone FROM customer_raw

@@ -16,8 +16,6 @@ SETTINGS = {
     # Long texts: what a Python task gets at once is bounded by bytes, not only by rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16MB",
-    # Objects that repeat a key are well-formed JSON.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

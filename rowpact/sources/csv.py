@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from rowpact.contract import Contract
 from rowpact.fixed_values import PREVIEW_ROWS
 from rowpact.operators.cleanse import fold_empty
+from rowpact.sources.staging import staging_path
 
-
-OFFSET_BROADCAST_BYTES = 128 << 20  # about a million input blocks
+HEADER_JOBS = 16  # headers that are read at the same time
 
 
 class HeaderMismatch(ValueError):
@@ -55,23 +56,33 @@ def header_report(spark: SparkSession, path: str, contract: Contract) -> DataFra
 
 
 def check_header(spark: SparkSession, path: str, contract: Contract) -> None:
-    found = [f for f in header_fields(spark, path, len(contract.names)) if f is not None]
-    if found != contract.names:
-        raise HeaderMismatch(f"header {found} does not equal the contract's columns {contract.names}")
+    """The header of every file equals the contract's names, letter by letter.
+
+    One small job per file, which reads its first record; Spark itself compares without case.
+    """
+    def wrong(file: str) -> str | None:
+        found = [f for f in header_fields(spark, file, len(contract.names)) if f is not None]
+        return None if found == contract.names else f"header {found} of {file}"
+
+    files = spark.read.schema(contract.struct_type()).csv(path).inputFiles()
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        for problem in pool.map(wrong, files):
+            if problem:
+                raise HeaderMismatch(f"{problem} does not equal the contract's columns {contract.names}")
 
 
 def read_csv(
     spark: SparkSession,
     path: str,
     contract: Contract,
-    multi_line: bool = False,
+    multi_line: bool = True,
     check: bool = True,
 ) -> DataFrame:
     """All-text columns of the contract, '' for empty fields. Any malformed record is fatal.
 
-    The header is compared exactly in the first file, and by Spark (`enforceSchema=false`)
-    in every file. `multi_line` allows line breaks inside quotes, at the price of one task
-    per file; without it files split into blocks.
+    Quoted fields may hold line breaks; such files are read by one task each. `multi_line=False` is the
+    caller's promise that no record spans lines: files then split into blocks, and a line with an odd number of
+    quotes fails the call, which reads the lines once for that. The header of every file is compared exactly.
     """
     raw = _strict_scan(spark, path, contract, multi_line, check)
     return raw.select(*[_field(n, multi_line) for n in contract.names])
@@ -82,6 +93,8 @@ def _strict_scan(
 ) -> DataFrame:
     if check:
         check_header(spark, path, contract)
+    if not multi_line:
+        _check_one_line_records(spark, path)
     return (
         spark.read.schema(contract.struct_type())
         .options(**_OPTIONS)
@@ -92,6 +105,14 @@ def _strict_scan(
     )
 
 
+def _check_one_line_records(spark: SparkSession, path: str) -> None:
+    """Fails where a line has an odd number of quotes: a record may go on in the next line there."""
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    if spark.read.text(path).filter(quotes % 2 == 1).limit(1).count():
+        raise ValueError(f"{path} has a line with an odd number of quotes: read it with multi_line=True")
+
+
 def _field(name: str, multi_line: bool) -> Column:
     """The field with '' for missing; a CRLF inside quotes reads as a line feed."""
     value = fold_empty(F.col(f"`{name}`"))
@@ -101,45 +122,40 @@ def _field(name: str, multi_line: bool) -> Column:
 
 
 def read_numbered_csv(
-    spark: SparkSession, path: str, contract: Contract, multi_line: bool = False, check: bool = True
+    spark: SparkSession, path: str, contract: Contract, multi_line: bool = True, check: bool = True,
+    staging: str | None = None, row: str = "row",
 ) -> DataFrame:
-    """`read_csv` with `row`: 1, 2, ... in file order, without sorting or moving rows.
+    """`read_csv` with a row number: 1, 2, ... in file order, without sorting.
 
-    A first pass counts the records of each file block. The running totals (one entry per
-    block, so bounded by the number of input splits) become the block offsets; the place
-    inside a block comes from `monotonically_increasing_id`, which follows reading order.
+    The table is scanned once and written to `staging` with each row's file, block and place, so that later
+    settings cannot deal its rows out anew. Offsets of blocks are running totals of that table's counts: within a
+    file, then over files. A row whose block has no offset would fail the job.
     """
+    if row in contract.names:
+        raise ValueError(f"the contract has a column {row!r}: name the row number otherwise (row=...)")
+    to = staging or staging_path(spark, "numbered")
     raw = _strict_scan(spark, path, contract, multi_line, check)
-    tagged = raw.select(
-        *[_field(n, multi_line) for n in contract.names],
+    raw.select(
+        *[_field(n, multi_line).alias(f"_field_{k}") for k, n in enumerate(contract.names)],
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
-    )
-    counts = (
-        tagged.groupBy("_file", "_block")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first_id"))
-        .collect()
-    )
-    files, starts, shifts, total = [], [], [], 0
-    for block in sorted(counts, key=lambda c: (c["_file"], c["_block"])):
-        files.append(block["_file"])
-        starts.append(block["_block"])
-        shifts.append(total - block["first_id"] + 1)
-        total += block["n"]
-    offsets = spark.createDataFrame(pa.table({
-        "_file": pa.array(files, pa.string()),
-        "_block": pa.array(starts, pa.int64()),
-        "_shift": pa.array(shifts, pa.int64()),
-    }))
-    if sum(map(len, files)) + 64 * len(files) <= OFFSET_BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
-    numbered = tagged.join(offsets, ["_file", "_block"])
+    ).write.mode("overwrite").parquet(to)
+    tagged = spark.read.parquet(to)
+    blocks = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.unboundedPreceding, -1
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(*before)), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(*before)), F.lit(0))
+    offsets = blocks.withColumn("_inner", inner).join(files, "_file").select(
+        "_file", "_block", (F.col("_base") + F.col("_inner") - F.col("_first") + 1).alias("_shift"))
+    numbered = tagged.join(offsets, ["_file", "_block"], "left")
+    shift = F.coalesce("_shift", F.raise_error(F.lit("a block of the input has no offset")).cast("bigint"))
     return numbered.select(
-        (F.col("_id") + F.col("_shift")).alias("row"), *[F.col(f"`{n}`") for n in contract.names])
+        (F.col("_id") + shift).alias(row), *[F.col(f"_field_{k}").alias(n) for k, n in enumerate(contract.names)])
 
 
-def count_rows(spark: SparkSession, path: str, contract: Contract, multi_line: bool = False) -> DataFrame:
+def count_rows(spark: SparkSession, path: str, contract: Contract, multi_line: bool = True) -> DataFrame:
     """Number of records; the width of a record does not matter here."""
     return (
         spark.read.schema(contract.struct_type())
@@ -152,5 +168,5 @@ def count_rows(spark: SparkSession, path: str, contract: Contract, multi_line: b
 
 
 def head_rows(df: DataFrame, n: int = PREVIEW_ROWS, row: str = "row") -> DataFrame:
-    """The first `n` input rows, before any validation."""
-    return df.orderBy(row).limit(n)
+    """The first `n` input rows, before any validation. Rows are numbered 1, 2, ..., so a filter finds them."""
+    return df.filter(F.col(row) <= n).orderBy(row)

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The session's own name for the folder, where spark.checkpoint.dir is not set (a running session cannot set that).
+STAGING_SETTING = "rowpact.staging.dir"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by `spark.checkpoint.dir`.
+    """A fresh path in the shared folder named by `spark.checkpoint.dir`, or else by `rowpact.staging.dir`.
 
-    A local session without that setting uses a temporary folder; a cluster must name one,
-    because executors do not share a machine's own disk.
+    Without either there is no place that driver and executors are known to share, so this fails.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(STAGING_SETTING, None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="rowpact-")
+        raise RuntimeError(f"set spark.checkpoint.dir or {STAGING_SETTING} to a folder that all executors can reach")
     return f"{base.rstrip('/')}/rowpact-{uuid.uuid4().hex}/{name}"
 
 
+def release(spark: SparkSession, path: str) -> None:
+    """Removes a staged table when what reads it is done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for an input that arrives in fewer partitions than there are cores.
 

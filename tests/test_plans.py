@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from rowpact.plans.catalog import QUERIES
+from rowpact.plans.oracles import oracles
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {name for name in entry.queries() if name.startswith("stream_")}
@@ -43,4 +45,4 @@ def test_checks_are_not_copied_into_filters(spark):
 
 
 def test_every_query_has_sql(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(oracles()) == set(QUERIES)

@@ -28,7 +28,7 @@ def test_preview_limits_rows_before_validation(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     assert lines(preview(df, CONTRACT, SPEC, 3, AS_OF)) == PREVIEW
     late = df.filter("row >= 3")  # without row 2 nobody else holds the phone of row 3
-    assert [r["row"] for r in preview(late, CONTRACT, SPEC, 1, AS_OF).collect()] == [3]
+    assert [r["row"] for r in preview(late, CONTRACT, SPEC, 3, AS_OF).collect()] == [3]
 
 
 def expected_hash(data, headers=""):

@@ -65,25 +65,56 @@ def test_header_of_every_file_counts(spark, tmp_path, file):
         read_csv(spark, str(tmp_path), PAIR, check=False).collect()
 
 
-def test_row_numbers_follow_file_order_across_blocks(spark, tmp_path):
+SPLITS = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100",
+          "spark.sql.files.minPartitionNum": "64", "spark.sql.leafNodeDefaultParallelism": "12"}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("before", [{}, {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}])
+def test_row_numbers_follow_file_order_however_files_are_split(spark, tmp_path, multi_line, before):
+    """The splits change between building and counting: every row stays, numbered 1 to n."""
     from rowpact.plans.frames import orders_raw
     contract = Contract.from_dict({"version": 1, "columns": [{"name": "orderkey", "type": "int"}, {"name": "priority", "type": "string"}]})
     path = str(tmp_path / "orders")
     ordered = orders_raw(spark, "/root/testdata/sf0.001").repartitionByRange(5, "row").sortWithinPartitions("row")
     sinks.write_csv(ordered.select("orderkey", "priority"), path)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
-    spark.conf.set("spark.sql.files.openCostInBytes", "100")
     try:
-        numbered = read_numbered_csv(spark, path, contract)
-        assert numbered.rdd.getNumPartitions() > 5
-        text = numbered._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in text and "hashpartitioning" not in text
-        wrong = numbered.filter("row <> CAST(orderkey AS BIGINT) + 1").count()
-        counts = numbered.agg(F.count("*"), F.min("row"), F.max("row"), F.countDistinct("row")).first()
+        for key, value in before.items():
+            spark.conf.set(key, value)
+        numbered = read_numbered_csv(spark, path, contract, multi_line=multi_line)
+        for key in before:
+            spark.conf.unset(key)
+        for change in [{}, SPLITS, {"spark.sql.files.maxPartitionBytes": "700"}]:
+            for key, value in change.items():
+                spark.conf.set(key, value)
+            wrong = numbered.filter("row <> CAST(orderkey AS BIGINT) + 1").count()
+            counts = numbered.agg(F.count("*"), F.min("row"), F.max("row"), F.countDistinct("row")).first()
+            assert wrong == 0 and tuple(counts) == (1500, 1, 1500, 1500)
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert wrong == 0 and tuple(counts) == (1500, 1, 1500, 1500)
+        for key in SPLITS:
+            spark.conf.unset(key)
+
+
+def test_a_record_is_never_cut_silently(spark, file):
+    path = file('a,b\n1,"x\n2,y"\n')
+    assert rows(read_csv(spark, path, PAIR)) == [("1", "x\n2,y")]
+    with pytest.raises(ValueError, match="odd number of quotes"):
+        read_csv(spark, path, PAIR, multi_line=False)
+
+
+def test_letters_of_the_header_count_in_every_file(spark, tmp_path, file):
+    file("a,b\n1,2\n", "1.csv")
+    file("A,B\n1,2\n", "2.csv")
+    with pytest.raises(csv_source.HeaderMismatch, match="2.csv"):
+        read_csv(spark, str(tmp_path), PAIR)
+
+
+def test_row_number_needs_a_free_name(spark, file):
+    contract = Contract.from_dict({"version": 1, "columns": [{"name": "row", "type": "string"}]})
+    path = file("row\nx\n")
+    with pytest.raises(ValueError, match="row="):
+        read_numbered_csv(spark, path, contract)
+    assert rows(read_numbered_csv(spark, path, contract, row="n")) == [(1, "x")]
 
 
 def test_header_only_file(spark, file):
