@@ -10,11 +10,13 @@ Shingles are put in a global order by a 64-bit hash. The order is cut into fragm
    empty one says nothing, and that all in question are empty has a chance below 1e-12 a pair. Smaller sets: the order is cut into
    d/3 + 1 groups of GROUP fragments, so some group has at most two differing shingles; a signature for each choice of GROUP - 2 of its
    fragments, empty or not, and one choice is without difference.
-3. Classes that share a fragment meet at it. Each meets its least class first (a star, so rows grow with the members of a fragment,
-   not with their square); pairs are checked, and linked ones joined to components. Only where a fragment still has several
-   components are pairs across components checked too, which loses no link between components; within one no more is needed.
-4. Checking a pair: the order is cut into PARTS equal ranges, overlaps are counted in each range separately (a class's rows of
-   different ranges lie in different tasks) and summed per pair.
+3. Classes that share a signature are of one family: each meets the least class of the signature (a star, so rows grow with the
+   members of a signature, not with their square), and families are the components of these stars.
+4. Families are compared block by block: a family of more than BLOCK classes (or BLOCK_SHINGLES shingles) is cut into blocks by hash, and
+   each pair of blocks is a task's work. The order is cut into PARTS equal ranges; overlaps of all pairs are counted in each range
+   separately, as a product of incidence matrices of that range's shared shingles, and summed per pair. Only one link per class and
+   block that ties it to its component is written, never all pairs.
+5. Components of these links, over all blocks, are the components of all links.
 
 Every document then has its class, the number of its shingles and the least document id of its component.
 
@@ -30,7 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rowpact.llm.common import (BLANK, LOWER, Scratch, flat, fresh, mix, steps, window_hashes, word_hashes, words)
 from rowpact.llm.components import components
@@ -38,6 +40,10 @@ from rowpact.llm.components import components
 SHINGLE = 3
 THRESHOLD = 90
 PARTS = 8
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
+#: Columns of an incidence matrix that is held at once.
+COLUMNS = 4096
 SPARE = 5
 SPARE_SHARE = 0.15
 SMALL = 64
@@ -144,37 +150,82 @@ def sets(docs: DataFrame, id_column: str, text: str, shingle: int, threshold: in
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:2], *_SETS.fields]))
 
 
-def parts_of(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """cls, part, hashes for each class that is wanted (by cls and the doc_id of one of its documents)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """cls, hashes for each class that is wanted (by cls and the doc_id of one of its documents)."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).join(
         wanted.select(F.col("doc_id").alias("w_id"), F.col("cls").alias("w_cls")), F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_cls", "text")
 
     def run(batches):
         for whole in batches:
             for batch in steps(whole, "text"):
-                keys, part, values = [], [], []
-                for cls, found in zip(batch.column("w_cls").to_pylist(), shingle_sets(*flat(batch.column("text")), shingle), strict=True):
-                    if _key(found) == cls:  # not another text of the same id
-                        at = np.searchsorted(found >> np.uint64(32), np.arange(PARTS + 1, dtype=np.uint64) * np.uint64((1 << 32) // PARTS))
-                        for p in range(PARTS):
-                            if at[p] < at[p + 1]:
-                                keys.append(cls), part.append(p), values.append(found[at[p] : at[p + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(part, pa.int32()), _lists(values)], ["cls", "part", "hashes"])
-
-    return source.mapInArrow(run, "cls binary, part int, hashes array<bigint>").dropDuplicates(["cls", "part"])
-
-
-def _linked(pairs: DataFrame, parts: DataFrame, threshold: int) -> DataFrame:
-    """Of the pairs (a, na, b, nb) those that link: overlaps counted part by part and summed."""
-    side = lambda c: parts.select(F.col("cls").alias(c), F.col("part").alias("part"), F.col("hashes").alias(f"{c}_hashes"))
-    counted = pairs.join(side("a"), "a").join(side("b"), ["b", "part"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("shared"))
-    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return total.filter(100 * F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
-
-
-def _could(na: Column, nb: Column, threshold: int) -> Column:
-    return 100 * F.least(na, nb) >= threshold * F.greatest(na, nb)
+                pairs = zip(batch.column("w_cls").to_pylist(), shingle_sets(*flat(batch.column("text")), shingle), strict=True)
+                own = [(cls, found) for cls, found in pairs if _key(found) == cls]  # not another text of the same id
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in own], pa.binary()), _lists([x for _, x in own])], ["cls", "hashes"])
+
+    return source.mapInArrow(run, "cls binary, hashes array<bigint>").dropDuplicates(["cls"])
+
+
+def overlaps(sets_: list[np.ndarray]) -> np.ndarray:
+    """For each pair of sets, the shingles that both have: counted part by part of the order, and summed."""
+    total = np.zeros((len(sets_), len(sets_)), np.int64)
+    every = np.concatenate(sets_)
+    owner = np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+    part = (every >> np.uint64(32)) * np.uint64(PARTS) >> np.uint64(32)
+    for p in range(PARTS):
+        here = part == p
+        values, place, times = np.unique(every[here], return_inverse=True, return_counts=True)
+        column = (np.cumsum(times > 1) - 1)[place]
+        both = (times > 1)[place]
+        column, row = column[both], owner[here][both]
+        for low in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+            some = (column >= low) & (column < low + COLUMNS)
+            # Counts below 2 ** 24 are whole numbers in this type.
+            matrix = np.zeros((len(sets_), min(COLUMNS, int(column.max()) + 1 - low)), np.float32)
+            matrix[row[some], column[some] - low] = 1
+            total += (matrix @ matrix.T).astype(np.int64)
+    return total
+
+
+def ties(sets_: list[np.ndarray], threshold: int) -> np.ndarray:
+    """For each set the least place of a set of its component, by links between these sets."""
+    n = np.array([len(x) for x in sets_])
+    shared = overlaps(sets_)
+    linked = 100 * shared >= threshold * (n[:, None] + n[None, :] - shared)
+    root = np.arange(len(n))
+    while True:
+        least = np.where(linked, root[None, :], len(n)).min(1)
+        least = np.minimum(root, least)
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _compare(threshold: int):
+    """Rows (root, x, y, cls, hashes) come sorted by the first three: a group is a block, or a pair of blocks, of a family."""
+    def run(batches):
+        at, keys, values = None, [], []
+
+        def done():
+            found = ties(values, threshold)
+            own = np.flatnonzero(found != np.arange(len(found)))
+            return pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found[own]], pa.binary()), pa.array([keys[k] for k in own], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            groups = list(zip(*(batch.column(c).to_pylist() for c in ("root", "x", "y")), strict=True))
+            lists, cls = batch.column("hashes"), batch.column("cls").to_pylist()
+            ends, flat_ = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for k, group in enumerate(groups):
+                if group != at:
+                    if len(keys) > 1:
+                        yield done()
+                    at, keys, values = group, [], []
+                keys.append(cls[k])
+                values.append(flat_[ends[k] : ends[k + 1]].copy())
+        if len(keys) > 1:
+            yield done()
+
+    return run
 
 
 def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -191,25 +242,17 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     shared = met.withColumn("least", F.min("m").over(here)).withColumn("most", F.max("m").over(here)).filter("least <> most").select("s", "m", "least")
     shared = scratch.stage(shared, "shared-ids")
     by_id = classes.select(member.alias("m"), "cls", "n", "doc_id")
-    known = scratch.stage(by_id.join(shared.select("m").distinct(), "m"), "known")
-    shared = shared.join(known, "m").join(known.select(F.col("m").alias("least"), F.col("cls").alias("a"), F.col("n").alias("na")), "least")
-    shared = scratch.stage(shared.select("s", "cls", "n", "doc_id", "a", "na"), "shared")
-    parts = scratch.stage(parts_of(docs, shared.select("doc_id", "cls").distinct(), id_column, text, shingle), "parts")
-    star = shared.filter(F.col("cls") != F.col("a")).filter(_could(F.col("n"), F.col("na"), threshold)).select(
-        "a", "na", F.col("cls").alias("b"), F.col("n").alias("nb")).distinct()
-    links = scratch.stage(_linked(star, parts, threshold), "star")
-    roots = scratch.stage(components(links, scratch, "star-components"), "roots")
-    # Fragments in which several components are left: pairs across them.
-    rooted = shared.select("s", "cls", "n").join(roots, shared["cls"] == roots["node"], "left").select(
-        "s", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    open_ = rooted.join(rooted.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("s"), "s")
-    open_ = scratch.stage(open_, "open")
-    one = open_.select("s", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = open_.select("s", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = one.join(two, "s").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _could(F.col("na"), F.col("nb"), threshold))
-    across = across.select("a", "na", "b", "nb").distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = scratch.stage(_linked(across, parts, threshold), "across")
-    roots = scratch.stage(components(links.unionAll(more), scratch), "all-roots")
+    families = scratch.stage(components(shared.select(F.col("least").alias("a"), F.col("m").alias("b")), scratch, "families"), "family-of")
+    members = scratch.stage(by_id.join(families, by_id["m"] == families["node"]).select("cls", "n", "doc_id", "root"), "members")
+    hashes = scratch.stage(sets_of(docs, members, id_column, text, shingle), "hashes")
+    blocks = members.groupBy("root").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+    pairs = members.join(blocks, "root").select("root", "cls", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "cls").join(hashes, "cls")
+    ordered = pairs.select("root", "x", "y", "cls", "hashes").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "cls")
+    links = scratch.stage(ordered.mapInArrow(_compare(threshold), "a binary, b binary"), "links")
+    roots = scratch.stage(components(links, scratch), "all-roots")
     # Each class's component, then each document's.
     ids = classes.select("cls", "doc_id")
     of = ids.join(roots, ids["cls"] == roots["node"]).select("cls", "doc_id", "root")
