@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -40,8 +41,19 @@ class Scratch:
         frame.write.mode("overwrite").parquet(to)
         return self.spark.read.schema(frame.schema).parquet(to)
 
+    def tidy(self, *names: str) -> None:
+        """Removes written tables that nothing reads any more, and lets Spark's cleaner find the shuffle files of finished work:
+        it drops them when the driver's garbage is collected, which may otherwise take half an hour."""
+        for name in names:
+            self._delete(f"{self.path}/{name}")
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -241,10 +241,12 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     here = Window.partitionBy("s")
     shared = met.withColumn("least", F.min("m").over(here)).withColumn("most", F.max("m").over(here)).filter("least <> most").select("s", "m", "least")
     shared = scratch.stage(shared, "shared-ids")
+    scratch.tidy()
     by_id = classes.select(member.alias("m"), "cls", "n", "doc_id")
     families = scratch.stage(components(shared.select(F.col("least").alias("a"), F.col("m").alias("b")), scratch, "families"), "family-of")
     members = scratch.stage(by_id.join(families, by_id["m"] == families["node"]).select("cls", "n", "doc_id", "root"), "members")
     hashes = scratch.stage(sets_of(docs, members, id_column, text, shingle), "hashes")
+    scratch.tidy("shared-ids")
     blocks = members.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -253,6 +255,7 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     ordered = pairs.select("root", "x", "y", "cls", "hashes").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "cls")
     links = scratch.stage(ordered.mapInArrow(_compare(threshold), "a binary, b binary"), "links")
     roots = scratch.stage(components(links, scratch), "all-roots")
+    scratch.tidy("hashes")
     # Each class's component, then each document's.
     ids = classes.select("cls", "doc_id")
     of = ids.join(roots, ids["cls"] == roots["node"]).select("cls", "doc_id", "root")

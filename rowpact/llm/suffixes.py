@@ -5,7 +5,7 @@ first, without loss, and the suffixes that are left are ranked by merged Burrows
 
 1. Anchors. A string of LENGTH bytes has as its anchor the place in it of the GRAM-byte gram with the least hash (the leftmost of
    equals). Equal strings have their anchors at the same place, so strings are classed by the anchor's gram; neighbouring starts
-   with one anchor are a block. A row for each block goes on: gram, content hash, place (about one per 70 bytes).
+   with one anchor are a block. A row for each block goes on: gram, content hash, place (about one per 80 bytes).
 2. A gram that comes once has no repeat. Where all blocks of a gram are equal, all their strings are repeats; of other grams, blocks
    that come twice or more are. What is left are blocks that come once beside others of their gram: the ends of repeats.
 3. These are cut by the distance of start and anchor into groups of STARTS starts. The strings of a group share a core, and equal
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from rowpact.llm.common import Scratch, flat, mix, steps
 
 LENGTH = 200
-GRAM = 64
+GRAM = 32
 STARTS = 16
 SYMBOL = 8
 SHARD = 512
@@ -106,14 +106,27 @@ def _blocks_of_batch(batch: pa.RecordBatch):
 
 
 def _rows(batches):
+    # place: the anchor, then how far the first start lies before it and how many starts follow that, both below 2 ** 8.
     for whole in batches:
         for part, (gram, content, anchor, low, high) in _blocks_of_batch(whole):
             text = np.searchsorted(at := flat(part.column("text"))[1], low, "right") - 1
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").take(take), part.column("same").take(take), pa.array(gram), pa.array(content),
-                 pa.array(anchor - at[text]), pa.array(low - at[text]), pa.array(high - at[text])],
-                ["doc_id", "same", "gram", "content", "anchor", "low", "high"])
+                 pa.array(((anchor - at[text]) << 16) + ((anchor - low) << 8) + high - low)],
+                ["doc_id", "same", "gram", "content", "place"])
+
+
+def _anchor(place: str = "place"):
+    return F.call_function("shiftright", F.col(place), F.lit(16))
+
+
+def _low(place: str = "place"):
+    return _anchor(place) - F.call_function("shiftright", F.col(place), F.lit(8)).bitwiseAND(F.lit(255))
+
+
+def _high(place: str = "place"):
+    return _low(place) + F.col(place).bitwiseAND(F.lit(255))
 
 
 _FRAME = STARTS - 1 + LENGTH
@@ -236,10 +249,12 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     """doc_id, same, spans (start and end in bytes of what repeats; they may overlap): a row per document with any."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
     key = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:2])
-    found = scratch.stage(source.mapInArrow(_rows, f"{key}, gram long, content long, anchor long, low long, high long"), "blocks")
+    found = scratch.stage(source.mapInArrow(_rows, f"{key}, gram long, content long, place long"), "blocks")
     shared = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).filter("n > 1").drop("n")
     shared = scratch.stage(shared, "shared")
-    met = scratch.stage(found.join(_sent(shared, shared.count()), "gram"), "met")
+    scratch.tidy()
+    met = scratch.stage(found.join(_sent(shared, shared.count()), "gram").withColumns({"anchor": _anchor(), "low": _low(), "high": _high()}).drop("place"), "met")
+    scratch.tidy("blocks")
     full = met.filter(~F.col("mixed"))
     # Of mixed grams: blocks that come twice or more, and one place of each.
     mixed = met.filter("mixed")
@@ -250,10 +265,12 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     span = lambda frame: frame.select("doc_id", "same", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     by_doc = variants.groupBy("doc_id", "same").agg(F.collect_list(F.struct("gram", "n", "anchor", "low", "high")).alias("spans"))
     by_doc = scratch.stage(by_doc.withColumnsRenamed({"doc_id": "v_id", "same": "v_same"}), "by-doc")
+    scratch.tidy()
     texts = source.join(_sent(by_doc, variants.count()), F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
     groups = scratch.stage(texts.select("doc_id", "same", "text", "spans").mapInArrow(
         _groups, f"core long, whole long, frame binary, first int, last int, place long, n long, {key}"), "groups")
     # Equal groups are counted; those met once go on, with one of each other beside them, where a core has several.
+    scratch.tidy("by-doc")
     totals = scratch.stage(groups.groupBy("core", "whole").agg(F.sum("n").alias("total")), "totals")
     twice = totals.filter("total > 1").select("core", "whole")
     equal = groups.filter("n = 1").join(_sent(twice, twice.count()), ["core", "whole"]).select(
@@ -263,7 +280,9 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     ends = one.repartition("core").sortWithinPartitions("core").select(
         "core", "frame", "first", "last", "place", "n", "doc_id", "same").mapInArrow(_merge, f"{key}, start long, end long")
     every = span(full).unionByName(span(again)).unionByName(equal).unionByName(ends)
-    return scratch.stage(every.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = scratch.stage(every.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.tidy("shared", "met", "variants", "groups", "totals")
+    return spans
 
 
 def cut(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str = "text") -> DataFrame:
