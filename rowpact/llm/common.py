@@ -34,10 +34,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/rowpact-llm-{uuid.uuid4().hex}"
+        self._written: dict[str, str] = {}
+        self._count = 0
 
     def stage(self, frame: DataFrame, name: str) -> DataFrame:
         """Writes the frame as Parquet and reads it again; its lineage ends there."""
-        to = f"{self.path}/{name}"
+        self._count += 1  # names may come again: operators can share a scratch
+        to = self._written[name] = f"{self.path}/{self._count:03d}-{name}"
         frame.write.mode("overwrite").parquet(to)
         return self.spark.read.schema(frame.schema).parquet(to)
 
@@ -45,7 +48,7 @@ class Scratch:
         """Removes written tables that nothing reads any more, and lets Spark's cleaner find the shuffle files of finished work:
         it drops them when the driver's garbage is collected, which may otherwise take half an hour."""
         for name in names:
-            self._delete(f"{self.path}/{name}")
+            self._delete(self._written.pop(name))
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
