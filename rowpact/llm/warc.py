@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import json
 import struct
 import uuid
@@ -190,12 +191,8 @@ def write(pages: DataFrame, scratch: Scratch, id_column: str = "page_id", url: s
 
         source = records()
         for first in source:
-            def own(first=first):
-                yield first
-                yield from source
-
             uri = f"{folder}/{uuid.uuid4().hex}.zip"
-            n, size = write_package(uri, own(), package_bytes)
+            n, size = write_package(uri, itertools.chain([first], source), package_bytes)
             yield pa.RecordBatch.from_pydict({"uri": [uri], "records": [n], "bytes": [size]})
 
     return scratch.stage(joined.mapInArrow(run, "uri string, records long, bytes long"), "packages-table")
