@@ -38,10 +38,10 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 SHARD_IDS = 1 << 20
 ROUNDS = 8
-PAIRS = 512
+PAIRS = 512  # at a time; ties go with them, below 2 ** 15 in all
 MIN_COUNT = 8
-BIN_BITS = 20
-CACHE = 500_000
+BIN_BITS = 19
+CACHE = 700_000
 MAGIC = b"RPIDS001"
 #: magic, first nonterminal, rules, documents, ids, bytes of a symbol
 _HEAD = struct.Struct("<8sQQQQQ")
@@ -148,18 +148,22 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
         if len(symbols) < 2:
             break
         pair = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        # Pairs are counted by bin; the fullest bins each put one pair forward, which is then counted exactly.
-        places = np.flatnonzero(~last[:-1])
-        bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)[places]
-        counts = np.bincount(bins, minlength=1 << BIN_BITS)
+        # Pairs are counted by bin; the fullest bins each put one pair forward, which is then counted exactly. Pairs across
+        # the end of a document go to a bin of their own, which is not looked at.
+        bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
+        bins[last[:-1]] = 1 << BIN_BITS
+        counts = np.bincount(bins, minlength=(1 << BIN_BITS) + 1)
+        counts[-1] = 0
         most = counts[counts >= MIN_COUNT]
-        full = np.flatnonzero(counts >= (np.partition(most, -PAIRS)[-PAIRS] if len(most) > PAIRS else MIN_COUNT))
-        forward = np.zeros(1 << BIN_BITS, np.uint64)
-        forward[bins] = pair[places]
-        slot = np.full(1 << BIN_BITS, -1, np.int32)
+        floor = np.partition(most, -PAIRS)[-PAIRS] if len(most) > PAIRS else MIN_COUNT
+        full = np.flatnonzero(counts >= floor)[: 1 << 14]
+        slot = np.full((1 << BIN_BITS) + 1, -1, np.int16)
         slot[full] = np.arange(len(full))
         which = slot[bins]
-        at, which = places[which >= 0], which[which >= 0]
+        at = np.flatnonzero(which >= 0)
+        which = which[at].astype(np.int64)
+        forward = np.zeros((1 << BIN_BITS) + 1, np.uint64)
+        forward[full[which]] = pair[at]
         same = forward[full][which] == pair[at]
         at, which = at[same], which[same]
         often = np.bincount(which, minlength=len(full)) >= MIN_COUNT
@@ -207,6 +211,29 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
         symbols = out
 
 
+class Expansion:
+    """All rules written out, so that decoding is one gather."""
+
+    def __init__(self, rules: np.ndarray, base: int):
+        self.base, n = base, expansions(rules, base)
+        self.length = n[base:]
+        self.start = np.cumsum(self.length) - self.length
+        self.ids = expand(np.arange(base, base + len(rules)), rules, base)
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        symbols = symbols.astype(np.int64)
+        at = np.flatnonzero(symbols >= self.base)
+        rule = symbols[at] - self.base
+        length = np.ones(len(symbols), np.int64)
+        length[at] = self.length[rule]
+        out = np.repeat(symbols, length)
+        begin = (np.cumsum(length) - length)[at]
+        length = length[at]
+        within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        out[np.repeat(begin, length) + within] = self.ids[np.repeat(self.start[rule], length) + within]
+        return out
+
+
 def write_shard(uri: str, doc_ids: list, ids: list[bytes], base: int) -> tuple[int, int]:
     """Writes a file; its number of ids and of bytes.
 
@@ -256,12 +283,13 @@ class Shard:
         self.doc_ids, self.null = take("<i8", self.docs), take("u1", self.docs)
         self.first_symbol, self.first_id = take("<u8", self.docs + 1).astype(np.int64), take("<u8", self.docs + 1).astype(np.int64)
         self.body = _HEAD.size + size
+        self.expand = Expansion(self.rules, self.base)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """The ids of the documents start, ..., stop - 1, from their own bytes."""
         a, b = self.first_symbol[start], self.first_symbol[stop]
         data = read_range(self.uri, int(self.body + a * self.width), int((b - a) * self.width))
-        ids = expand(np.frombuffer(data, f"<u{self.width}"), self.rules, self.base)
+        ids = self.expand(np.frombuffer(data, f"<u{self.width}"))
         if len(ids) != self.first_id[stop] - self.first_id[start]:
             raise ValueError(f"{self.uri} does not expand to what it says")
         return ids
