@@ -40,6 +40,11 @@ _TOKEN = re.compile(
 )
 
 
+#: Begin and end of a line (after each line feed, also the last), and of the text.
+_LINE = {"^": "(?:\\A|(?<=\\n))", "$": "(?=\\n|\\z)"}
+_TEXT = {"^": "\\A", "$": "\\z"}
+
+
 class PatternError(ValueError):
     """The pattern is not valid in RE2."""
 
@@ -49,6 +54,7 @@ def java_pattern(pattern: str) -> str:
     java: list[str] = []
     shape: list[str] = []  # the same structure in Python syntax, to check that it compiles
     in_class = multiline = False
+    outer: list[bool] = []  # whether lines counted before each open group: flags end with their group
     repeats = 0
     for token in _TOKEN.finditer(pattern):
         kind, text = token.lastgroup, token.group()
@@ -84,7 +90,9 @@ def java_pattern(pattern: str) -> str:
             shape.append("\\w")
         elif kind == "group" and not in_class:
             head, simple, flags = _group(text, pattern)
-            multiline = multiline or "m" in flags
+            if not text.endswith(")"):
+                outer.append(multiline)
+            multiline = ("m" in flags[0] or multiline) and "m" not in flags[1]
             java.append(head)
             shape.append(simple)
         elif kind in ("open", "posix") and not in_class:
@@ -103,10 +111,14 @@ def java_pattern(pattern: str) -> str:
                 else:
                     java.append("\\" + char if char in "[&" else char)
                     shape.append("\\" + char if char in "[&|~" else char)
-        elif text == "$":
-            java.append("$" if multiline else "\\z")
-            shape.append("$")
+        elif text in ("^", "$"):
+            java.append(_LINE[text] if multiline else _TEXT[text])
+            shape.append(text)
         else:
+            if text == "(":
+                outer.append(multiline)
+            elif text == ")" and outer:
+                multiline = outer.pop()
             java.append("\\{" if text == "{" else text)
             shape.append("\\{" if text == "{" else text)
     if in_class:
@@ -145,20 +157,21 @@ def _escape(text: str, in_class: bool, pattern: str) -> str:
     return text
 
 
-def _group(text: str, pattern: str) -> tuple[str, str, str]:
+def _group(text: str, pattern: str) -> tuple[str, str, tuple[str, str]]:
     named = re.fullmatch(r"\(\?P?<(\w+)>", text)
     if named:
-        return "(", "(", ""
+        return "(", "(", ("", "")
     flags = re.fullmatch(r"\(\?([imsU]*)(?:-([imsU]+))?([:)])", text)
     if not flags:
         raise PatternError(f"look-around and atomic groups do not exist in RE2: {pattern!r}")
     on, off, end = flags.group(1), flags.group(2) or "", flags.group(3)
-    java_on = on.replace("U", "").replace("i", "iu")
-    java_off = off.replace("U", "").replace("i", "iu")
+    # Lines are written out where they count, so their flag isn't handed on.
+    java_on = on.replace("U", "").replace("m", "").replace("i", "iu")
+    java_off = off.replace("U", "").replace("m", "").replace("i", "iu")
     head = "(?" + java_on + ("-" + java_off if java_off else "") + end
     if head == "(?)":
         head = ""
-    return head, "(?:" if end == ":" else "", on
+    return head, "(?:" if end == ":" else "", (on, off)
 
 
 def matches(value: Column, pattern: str) -> Column:

@@ -59,3 +59,19 @@ def test_staged_tables_can_be_released(spark):
     release(spark, path)
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+@pytest.mark.parametrize("pattern, hits, misses", [
+    ("(?m:a)b$", ["ab"], ["ab\n", "ab\nx"]),
+    ("(?m)^$", ["", "x\n", "\nx"], ["x", "x\ny"]),
+    ("(?m)^b$", ["b", "a\nb", "b\nc"], ["ab", "a\nbc"]),
+    ("(?:(?m)^b)c", ["a\nbc", "bc"], ["abc"]),
+    ("((?m)^b)|^c$", ["a\nb", "c"], ["a\nc", "c\n"]),
+    ("(?m)^a(?-m:$)", ["x\na"], ["a\nx"]),
+    ("^a$", ["a"], ["a\n", "x\na"]),
+    ("(?i:a)b", ["Ab"], ["AB"]),
+])
+def test_flags_end_with_their_group(mapped, pattern, hits, misses):
+    from rowpact.functions.patterns import matches
+
+    assert mapped(hits + misses, lambda v: matches(v, pattern)) == [True] * len(hits) + [False] * len(misses)
