@@ -4,7 +4,27 @@ import pytest
 from pyspark.sql import types as T
 
 from rowpact import Contract, ContractError, RequestSpec
-from tests.sample import CONTRACT, REQUEST_YAML, SPEC
+
+# A stock list: every kind of rule once, as users write it.
+STOCK_YAML = r"""
+version: 1
+null_policy: {treat_empty_as_null: true}
+uniqueness:
+  - columns: [shelf, article]
+    composite: true
+columns:
+  - {name: article, type: string, required: true, min_len: 3, preprocess: [{remove: ["#", "\t"], trim: true}]}
+  - {name: shelf, type: int, enum: ["1", "2", "007"], normalize: {map: {"7": "007"}}}
+  - {name: key, type: string, secret: true, validators: [{regex: "^k[0-9]+$", message: "a key"}]}
+row_rules:
+  - {name: low, expr: "shelf <> '2' OR article < 'm'"}
+"""
+ORDER_YAML = """
+url: "http://stock.example/{article}"
+method: PUT
+body: "{shelf}"
+success: {status_in: [202], response_keys: {done: "yes"}}
+"""
 
 
 def contract(**column):
@@ -12,13 +32,14 @@ def contract(**column):
 
 
 def test_yaml_scalars_stay_text():
-    gender = CONTRACT.column("gender")
-    assert gender.enum == ("M", "F", "1", "2")
-    assert gender.normalize == (("1", "M"), ("2", "F"))
-    assert CONTRACT.column("phone").preprocess[0].remove == ("-", " ", "\t")
-    assert CONTRACT.secret_names == ["token"]
-    assert CONTRACT.unique_keys == (("phone",),)
-    assert CONTRACT.treat_empty_as_null
+    stock = Contract.from_yaml(STOCK_YAML)
+    assert stock.names == ["article", "shelf", "key"]
+    assert stock.column("shelf").enum == ("1", "2", "007")
+    assert stock.column("shelf").normalize == (("7", "007"),)
+    assert stock.column("article").preprocess[0].remove == ("#", "\t") and stock.column("article").min_len == 3
+    assert stock.secret_names == ["key"] and stock.column("key").validators[0].message == "a key"
+    assert stock.unique_keys == (("shelf", "article"),)
+    assert stock.row_rules[0].name == "low" and stock.treat_empty_as_null
 
 
 @pytest.mark.parametrize("source", [
@@ -81,9 +102,10 @@ def test_schemas():
 
 
 def test_request_spec():
-    assert SPEC.status_in == (200, 201) and SPEC.response_keys == {"status": "success"}
+    order = RequestSpec.from_yaml(ORDER_YAML)
+    assert order.status_in == (202,) and order.response_keys == {"done": "yes"} and order.method == "PUT"
     with pytest.raises(ContractError):
-        RequestSpec.from_yaml(REQUEST_YAML.replace("method: POST", "method: ''"))
+        RequestSpec.from_yaml(ORDER_YAML.replace("method: PUT", "method: ''"))
     with pytest.raises(ContractError):
         RequestSpec(method="GET", url="")
     assert RequestSpec(method="GET", url="http://x").status_in == (
