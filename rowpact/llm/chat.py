@@ -161,7 +161,9 @@ def digests(runs: DataFrame) -> DataFrame:
 
         for batch in batches:
             out = []
-            for x in batch.to_pylist():
+            lists = {n: batch.column(n) for n in ("starts", "ends", "loss")}
+            heads = zip(*(batch.column(n).to_pylist() for n in ("conv_id", "at", "text")), strict=True)
+            for k, x in enumerate({"conv_id": c, "at": a, "text": t} for c, a, t in heads):
                 if not begun or x["conv_id"] != conv:
                     if begun:
                         out.append(row())
@@ -173,8 +175,8 @@ def digests(runs: DataFrame) -> DataFrame:
                 for role, text in parse(x["text"]):
                     state["n"] += 1
                     state["turns"].update(f"{role}\n{text}\n".encode())
-                offsets = np.stack([np.array(x["starts"], np.int64), np.array(x["ends"], np.int64)], 1)
-                for part in masked(x["text"], offsets, np.array(x["loss"], bool)):
+                starts, ends, loss = (lists[n][k].values.to_numpy(zero_copy_only=False) for n in ("starts", "ends", "loss"))
+                for part in masked(x["text"], np.stack([starts, ends], 1), loss.astype(bool)):
                     part = unescape(part)
                     state["chars"] += len(part)
                     state["loss"].update(part.encode())
