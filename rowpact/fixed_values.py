@@ -72,3 +72,8 @@ PATTERN_PRESETS = {
     "ipv4": r"^((25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)$",
     "zip": r"^[0-9]{5}$",
 }
+
+# --- fixed values: the lines that a request hash is taken of ---------------------------
+HASH_HEAD = "method:{method}\nurl:{url}\nbody:{body}\n"
+HASH_HEADER = "header:{key}={value}\n"
+HASH_VALUE = "data:{name}={value}\n"

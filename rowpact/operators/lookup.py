@@ -43,13 +43,14 @@ def lookup_join(
     Rows of a frequent key are spread over the shuffle partitions by a salt from their row
     number, and the one right row of that key is copied once per salt. At most `HOT_KEYS` keys
     are treated so; middling keys are left to adaptive skew splitting, which both plain sides
-    of the join allow. Rows without a key get one of their own. The sketch only decides on
-    salts, so the result is exact whatever it finds. `keys_from` is a cheaper table with the
-    same keys as `left`.
+    of the join allow. Rows without a key get one of their own. The frequent keys are found once, when the
+    join is built, and both sides get that same list (`HOT_KEYS` values at most), so the result is exact
+    whatever the sketch finds. `keys_from` is a cheaper table with the same keys as `left`.
     """
     spark = left.sparkSession
     salts = max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = F.broadcast(hot_keys(left if keys_from is None else keys_from, key))
+    found = hot_keys(left if keys_from is None else keys_from, key).collect()
+    hot = F.broadcast(spark.createDataFrame([(r["_hot_key"],) for r in found], "_hot_key string"))
     is_hot = F.col("_hot_key").isNotNull()
     salted_left = left.join(hot, F.col(key) == F.col("_hot_key"), "left").select(
         *[F.col(f"`{c}`") for c in left.columns],

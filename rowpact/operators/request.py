@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowpact.contract import Contract, ContractError, read_yaml
-from rowpact.fixed_values import DEFAULT_SUCCESS_STATUS, PREVIEW_ROWS
+from rowpact.fixed_values import DEFAULT_SUCCESS_STATUS, HASH_HEAD, HASH_HEADER, HASH_VALUE, PREVIEW_ROWS
 from rowpact.functions.scalars import interpolate
 from rowpact.operators.validate import RAW, valid_rows, validate
 
@@ -83,17 +83,17 @@ def render_headers(headers: Mapping[str, Part]) -> Column:
 
 def request_hash(spec: RequestSpec, names: list[str], include_headers: bool = False) -> Column:
     """Idempotency hash of the request definition and the processed values, keys sorted."""
-    head = (
-        f"method:{spec.method}\nurl:{spec.source_text('url')}\nbody:{spec.source_text('body')}\n"
-    )
+    head = HASH_HEAD.format(
+        method=spec.method, url=spec.source_text("url"), body=spec.source_text("body"))
     if include_headers:
         for key in sorted(spec.headers):
             part = spec.headers[key]
             text = spec.sources.get(f"header:{key}", "") if isinstance(part, Column) else part
-            head += f"header:{key}={text}\n"
+            head += HASH_HEADER.format(key=key, value=text)
     pieces: list[Column] = []
     for name in sorted(names):
-        pieces += [F.lit(f"data:{name}="), F.col(f"`{name}`"), F.lit("\n")]
+        before, after = HASH_VALUE.split("{value}")
+        pieces += [F.lit(before.replace("{name}", name)), F.col(f"`{name}`"), F.lit(after)]
     return F.sha2(F.concat(F.lit(head), *pieces), 256)
 
 
