@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from rowpact.llm.common import (BLANK, LOWER, Scratch, flat, fresh, mix, steps, window_hashes, word_hashes, words)
+from rowpact.llm.common import (BLANK, BROADCAST_ROWS, LOWER, Scratch, flat, fresh, mix, steps, window_hashes, word_hashes, words)
 from rowpact.llm.components import components
 
 SHINGLE = 3
@@ -151,7 +151,12 @@ def sets(docs: DataFrame, id_column: str, text: str, shingle: int, threshold: in
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """cls, hashes for each class that is wanted (by cls and the doc_id of one of its documents)."""
+    """cls, hashes for each class that is wanted (by cls and the doc_id of one of its documents).
+
+    The wanted are counted, and sent to the documents if they are few; else the documents are joined by shuffle.
+    """
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")).join(
         wanted.select(F.col("doc_id").alias("w_id"), F.col("cls").alias("w_cls")), F.col("doc_id").eqNullSafe(F.col("w_id"))).select("w_cls", "text")
 

@@ -17,8 +17,8 @@ first, without loss, and the suffixes that are left are ranked by merged Burrows
    of the merged transform's symbols, depth by depth; suffixes are not sorted again. Two neighbours of the last order with no boundary
    between them have a common prefix of LENGTH bytes or more: a repeated interval.
 
-Every table is keyed by (document id, hash of the text); rows that are equal in both count as places each. Broadcasts are of tables
-whose rows were counted (MOST_SENT at most); larger ones are joined by shuffle, where skewed keys are split by Spark.
+Every table is keyed by (document id, hash of the text); rows that are equal in both count as places each. Joins are by shuffle
+at every size, and partitions of skewed keys are split by Spark.
 
 Defined cases: null texts are empty, and keep nothing; texts shorter than LENGTH have no string; texts of any length pass in
 segments of SEGMENT bytes that end between blocks; an empty table gives none; other columns are not read.
@@ -39,7 +39,6 @@ SYMBOL = 8
 SHARD = 512
 BATCH = 4096
 SEGMENT = 4 << 20
-MOST_SENT = 500_000
 
 _BASE = 0x5851F42D4C957F2D
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -241,10 +240,6 @@ def _merge(batches):
         yield from flush(pa.Table.from_batches(held))
 
 
-def _sent(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if rows <= MOST_SENT else frame
-
-
 def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, same, spans (start and end in bytes of what repeats; they may overlap): a row per document with any."""
     source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
@@ -253,7 +248,7 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     shared = found.groupBy("gram").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("mixed")).filter("n > 1").drop("n")
     shared = scratch.stage(shared, "shared")
     scratch.tidy()
-    met = scratch.stage(found.join(_sent(shared, shared.count()), "gram").withColumns({"anchor": _anchor(), "low": _low(), "high": _high()}).drop("place"), "met")
+    met = scratch.stage(found.join(shared, "gram").withColumns({"anchor": _anchor(), "low": _low(), "high": _high()}).drop("place"), "met")
     scratch.tidy("blocks")
     full = met.filter(~F.col("mixed"))
     # Of mixed grams: blocks that come twice or more, and one place of each.
@@ -261,19 +256,19 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     variants = scratch.stage(mixed.groupBy("gram", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "same", "anchor", "low", "high")).alias("x")).select("gram", "content", "n", "x.*"), "variants")
     often = variants.filter("n > 1").select("gram", "content")
-    again = mixed.join(_sent(often, often.count()), ["gram", "content"])
+    again = mixed.join(often, ["gram", "content"])
     span = lambda frame: frame.select("doc_id", "same", F.col("low").alias("start"), (F.col("high") + LENGTH).alias("end"))
     by_doc = variants.groupBy("doc_id", "same").agg(F.collect_list(F.struct("gram", "n", "anchor", "low", "high")).alias("spans"))
     by_doc = scratch.stage(by_doc.withColumnsRenamed({"doc_id": "v_id", "same": "v_same"}), "by-doc")
     scratch.tidy()
-    texts = source.join(_sent(by_doc, variants.count()), F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
+    texts = source.join(by_doc, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
     groups = scratch.stage(texts.select("doc_id", "same", "text", "spans").mapInArrow(
         _groups, f"core long, whole long, frame binary, first int, last int, place long, n long, {key}"), "groups")
     # Equal groups are counted; those met once go on, with one of each other beside them, where a core has several.
     scratch.tidy("by-doc")
     totals = scratch.stage(groups.groupBy("core", "whole").agg(F.sum("n").alias("total")), "totals")
     twice = totals.filter("total > 1").select("core", "whole")
-    equal = groups.filter("n = 1").join(_sent(twice, twice.count()), ["core", "whole"]).select(
+    equal = groups.filter("n = 1").join(twice, ["core", "whole"]).select(
         "doc_id", "same", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
     open_ = totals.groupBy("core").agg(F.count("*").alias("k"), F.min("total").alias("least")).filter("k > 1 AND least = 1").select("core")
     one = groups.join(open_, "core").join(totals, ["core", "whole"]).withColumn("n", F.col("total")).drop("total").dropDuplicates(["core", "whole"])
@@ -289,8 +284,7 @@ def cut(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes): a row per document."""
     spans = ranges(docs, scratch, id_column, text).withColumnsRenamed({"doc_id": "s_id", "same": "s_same"})
     source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
-    many = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = source.join(_sent(spans, many), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("same") == F.col("s_same")), "left").select("doc_id", "text", "spans")
+    joined = source.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("same") == F.col("s_same")), "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
