@@ -733,11 +733,23 @@ EVENT_CONTRACT = Contract.from_dict({
 })
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+BATCHES = 5
+
+
+def event_stream(spark: SparkSession, sf_dir: str, batches: int = 1) -> DataFrame:
+    """The events as a stream; with more batches, cut by event id into files that arrive one after the other."""
+    events = table(spark, sf_dir, "events")
+    if batches == 1:
+        rows = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        path, last = staging_path(spark, "events"), events.agg(F.max("event_id")).first()[0] or 0
+        part = F.floor(F.col("event_id") * batches / F.lit(last + 1))
+        files = spark.sparkContext.defaultParallelism
+        for k in range(batches):
+            events.filter(part == k).repartition(files).write.parquet(f"{path}/{k}")
+        rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        .select(
+        rows.select(
             (F.col("event_id") + 1).alias("row"),
             F.col("user_id").cast("string").alias("user"),
             F.col("event_type").alias("kind"),
@@ -770,7 +782,7 @@ def stream_summary(spark, sf_dir):
 def stream_unique(spark, sf_dir):
     out = staging_path(spark, "validated")
     stream.unique_stream(
-        event_stream(spark, sf_dir), EVENT_CONTRACT, out, staging_path(spark, "claims"),
+        event_stream(spark, sf_dir, BATCHES), EVENT_CONTRACT, out, staging_path(spark, "claims"),
         staging_path(spark, "checkpoint"), AS_OF)
     return spark.read.parquet(out).select(
         "row", "valid", F.array_join("errors.column", ",").alias("columns"))
@@ -779,7 +791,7 @@ def stream_unique(spark, sf_dir):
 @query
 def stream_resume(spark, sf_dir):
     out = staging_path(spark, "resumed")
-    events = event_stream(spark, sf_dir).select(
+    events = event_stream(spark, sf_dir, BATCHES).select(
         "row", F.sha2("user", 256).alias("request_hash"),
         F.col("kind").isin("purchase", "view").alias("success"))
     stream.resume_stream(

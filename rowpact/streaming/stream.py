@@ -85,21 +85,23 @@ def unique_stream(
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         checked = batch_rows = check_columns(batch, contract, as_of, row).persist()
-        if keys:
-            clean = F.size("errors") == 0
-            owners = value_owners(checked, keys, clean, row)
-            earlier = spark.read.schema(CLAIMS_SCHEMA).parquet(claims).filter(F.col("batch") < batch_id)
-            taken = earlier.join(owners, ["_key", "_value"], "left_semi").select("_key", "_value")
-            mine = f"{claims}/batch={batch_id}"
-            owners.join(taken, ["_key", "_value"], "left_anti").write.mode("overwrite").parquet(mine)
-            owned = owned_bits(spark.read.parquet(mine))
-            flagged = flag_duplicates(checked, keys, clean, row, flags, owned)
-            checked = append_duplicates(flagged, keys, flags, row)
-        if contract.row_rules:
-            checked = apply_row_rules(checked, contract.row_rules, as_of, row)
-        result = checked.withColumn("valid", pinned(F.size("errors") == 0))
-        result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        batch_rows.unpersist()
+        try:
+            if keys:
+                clean = F.size("errors") == 0
+                owners = value_owners(checked, keys, clean, row)
+                earlier = spark.read.schema(CLAIMS_SCHEMA).parquet(claims).filter(F.col("batch") < batch_id)
+                taken = earlier.join(owners, ["_key", "_value"], "left_semi").select("_key", "_value")
+                mine = f"{claims}/batch={batch_id}"
+                owners.join(taken, ["_key", "_value"], "left_anti").write.mode("overwrite").parquet(mine)
+                owned = owned_bits(spark.read.parquet(mine))
+                flagged = flag_duplicates(checked, keys, clean, row, flags, owned)
+                checked = append_duplicates(flagged, keys, flags, row)
+            if contract.row_rules:
+                checked = apply_row_rules(checked, contract.row_rules, as_of, row)
+            result = checked.withColumn("valid", pinned(F.size("errors") == 0))
+            result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            batch_rows.unpersist()
 
     _run(stream, on_batch, checkpoint)
 
@@ -116,13 +118,20 @@ def resume_stream(
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = spark.read.schema(HASHES_SCHEMA).parquet(hashes).filter(F.col("batch") < batch_id)
-        seen = flag_processed(flag_repeated(batch, "success", row), earlier, row)
-        result = seen.withColumn("skipped", F.col("processed") | F.col("repeated"))
-        target = f"{out}/batch={batch_id}"
-        result.drop("processed", "repeated").write.mode("overwrite").parquet(target)
-        done = checkpoint_set(spark.read.parquet(target).filter("NOT skipped"))
-        done.write.mode("overwrite").parquet(f"{hashes}/batch={batch_id}")
+        batch = batch.persist()
+        try:
+            # Of the history only the batch's own hashes go on: the semi join's small side is the batch.
+            mine = batch.select("request_hash").filter("request_hash IS NOT NULL").distinct()
+            earlier = spark.read.schema(HASHES_SCHEMA).parquet(hashes).filter(F.col("batch") < batch_id)
+            known = earlier.join(mine, "request_hash", "left_semi")
+            seen = flag_processed(flag_repeated(batch, "success", row), known, row)
+            result = seen.withColumn("skipped", F.col("processed") | F.col("repeated"))
+            target = f"{out}/batch={batch_id}"
+            result.drop("processed", "repeated").write.mode("overwrite").parquet(target)
+            done = checkpoint_set(spark.read.parquet(target).filter("NOT skipped"))
+            done.write.mode("overwrite").parquet(f"{hashes}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     _run(stream, on_batch, checkpoint)
 
