@@ -286,10 +286,12 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text:
     joined = join(docs, scratch, id_column, text, **options)
     stays = joined.filter("first").groupBy("doc_id", "same", "component_id").agg(F.min("n_shingles").alias("n"))
     stays = stays.filter((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    same, empty, number = fresh(docs, "same", "empty", "number")
-    stays = stays.select(F.col("doc_id").alias("k_id"), F.col("same").alias("k_same"), (F.col("n") == 0).alias(empty))
-    keyed = docs.withColumn(same, F.xxhash64(F.col(text)))
-    rows = keyed.join(stays, keyed[id_column].eqNullSafe(stays["k_id"]) & (keyed[same] == stays["k_same"]))
-    copies = Window.partitionBy(F.col(f"`{id_column}`"), F.col(same)).orderBy(F.lit(0))
-    rows = rows.withColumn(number, F.row_number().over(copies)).filter((F.col(number) == 1) | F.col(empty))
+    none, key, same, empty, number = fresh(docs, "none", "key", "same", "empty", "number")
+    # Plain equal keys for the join and for the numbers of equal rows, so that documents are shuffled once.
+    keys = lambda c: (c.isNull().alias(none), F.coalesce(c, F.lit(0)).alias(key))
+    stays = scratch.stage(stays.select(*keys(F.col("doc_id")), F.col("same").alias(same), (F.col("n") == 0).alias(empty)), "stays")
+    scratch.tidy()
+    rows = docs.select("*", *keys(F.col(f"`{id_column}`")), F.xxhash64(F.col(f"`{text}`")).alias(same)).join(stays, [none, key, same])
+    rows = rows.withColumn(number, F.row_number().over(Window.partitionBy(none, key, same).orderBy(F.lit(0))))
+    rows = rows.filter((F.col(number) == 1) | F.col(empty))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
