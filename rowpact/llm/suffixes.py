@@ -135,7 +135,7 @@ def _groups(batches):
     """Of blocks with their texts: a row for each group of STARTS starts by their distance to the anchor."""
     import xxhash
 
-    names = ["core", "whole", "frame", "first", "last", "place", "n", "doc_id", "same"]
+    names = ["core", "whole", "first", "last", "place", "n", "doc_id", "same"]
     for batch in batches:
         out: list[tuple] = []
         for doc, same, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "same", "text", "spans")), strict=True):
@@ -145,12 +145,30 @@ def _groups(batches):
                 for c in range((anchor - high) // STARTS, (anchor - low) // STARTS + 1):
                     begin = anchor - STARTS * c - STARTS + 1  # the start that is furthest from the anchor
                     first, last = max(low, begin) - begin, min(high, anchor - STARTS * c) - begin
-                    frame = data[max(0, begin) : begin + _FRAME].rjust(_FRAME - max(0, begin + _FRAME - len(data)), b"\0").ljust(_FRAME, b"\0")
+                    frame = _frame(data, begin)
                     core = xxhash.xxh3_64_intdigest(data[begin + STARTS - 1 : begin + LENGTH], seed=c) ^ (x["gram"] & (1 << 64) - 1)
                     key = xxhash.xxh3_64_intdigest(frame, seed=first * STARTS + last)
-                    out.append((_signed(core), _signed(key), frame, first, last, begin, x["n"], doc, same))
+                    out.append((_signed(core), _signed(key), first, last, begin, x["n"], doc, same))
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
+def _frame(data: bytes, begin: int) -> bytes:
+    """The bytes of a group's strings; zeros stand for what lies outside the text, where no string of the group reaches."""
+    return data[max(0, begin) : begin + _FRAME].rjust(_FRAME - max(0, begin + _FRAME - len(data)), b"\0").ljust(_FRAME, b"\0")
+
+
+def _frames(batches):
+    """Of groups with their texts: core, frame, first, last, place, n, doc_id, same."""
+    names = ["core", "frame", "first", "last", "place", "n", "doc_id", "same"]
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, same, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "same", "text", "spans")), strict=True):
+            data = (text or "").encode()
+            out += [(x["core"], _frame(data, x["place"]), x["first"], x["last"], x["place"], x["n"], doc, same) for x in spans]
+        if out:
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
@@ -263,7 +281,7 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     scratch.tidy()
     texts = source.join(by_doc, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
     groups = scratch.stage(texts.select("doc_id", "same", "text", "spans").mapInArrow(
-        _groups, f"core long, whole long, frame binary, first int, last int, place long, n long, {key}"), "groups")
+        _groups, f"core long, whole long, first int, last int, place long, n long, {key}"), "groups")
     # Equal groups are counted; those met once go on, with one of each other beside them, where a core has several.
     scratch.tidy("by-doc")
     totals = scratch.stage(groups.groupBy("core", "whole").agg(F.sum("n").alias("total")), "totals")
@@ -272,8 +290,15 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
         "doc_id", "same", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
     open_ = totals.groupBy("core").agg(F.count("*").alias("k"), F.min("total").alias("least")).filter("k > 1 AND least = 1").select("core")
     one = groups.join(open_, "core").join(totals, ["core", "whole"]).withColumn("n", F.col("total")).drop("total").dropDuplicates(["core", "whole"])
-    ends = one.repartition("core").sortWithinPartitions("core").select(
-        "core", "frame", "first", "last", "place", "n", "doc_id", "same").mapInArrow(_merge, f"{key}, start long, end long")
+    # Only these need their bytes.
+    one = one.groupBy("doc_id", "same").agg(F.collect_list(F.struct("core", "first", "last", "place", "n")).alias("spans"))
+    one = scratch.stage(one.withColumnsRenamed({"doc_id": "v_id", "same": "v_same"}), "ends-by-doc")
+    scratch.tidy()
+    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
+    frames = texts.select("doc_id", "same", "text", "spans").mapInArrow(
+        _frames, f"core long, frame binary, first int, last int, place long, n long, {key}")
+    ends = scratch.stage(frames.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, f"{key}, start long, end long"), "ends")
+    scratch.tidy("ends-by-doc")
     every = span(full).unionByName(span(again)).unionByName(equal).unionByName(ends)
     spans = scratch.stage(every.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     scratch.tidy("shared", "met", "variants", "groups", "totals")
