@@ -9,8 +9,10 @@ first, without loss, and the suffixes that are left are ranked by merged Burrows
 2. A gram that comes once has no repeat. Where all blocks of a gram are equal, all their strings are repeats; of other grams, blocks
    that come twice or more are. What is left are blocks that come once beside others of their gram: the ends of repeats.
 3. These are cut by the distance of start and anchor into groups of STARTS starts. The strings of a group share a core, and equal
-   strings have equal cores, so the core is what they are dealt by: even a passage of a third of all documents falls apart by
-   what stands round it. Groups of equal content are counted first, and one of each goes on.
+   strings have equal cores, so the core is what they are dealt by. Groups of equal content are counted first, and one of each goes on.
+   A passage that many documents have with different text round it has at each end one core with as many groups: those of a core
+   with more than BATCH groups are dealt string by string instead, by 128 bits of the string's bytes, and counted, summed before
+   they are shuffled, so that no task receives such a core.
 4. In a task, strings are packed into shards of SHARD strings. Each shard gets the Burrows-Wheeler transform of the suffixes at
    its starts, SYMBOL bytes a symbol: for each depth, the symbols before its suffixes in their order. Shards are merged by
    refining the interleave: which shard each place of the merged order comes from, refined by a stable distribution
@@ -172,6 +174,21 @@ def _frames(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+def _strings(batches):
+    """Of groups with their texts: string (128 bits of its LENGTH bytes), n, start, doc_id, same; a row for each string."""
+    import xxhash
+
+    names = ["string", "n", "start", "doc_id", "same"]
+    for batch in batches:
+        for doc, same, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "same", "text", "spans")), strict=True):
+            data = (text or "").encode()
+            for some in range(0, len(spans), SHARD):
+                out = [(xxhash.xxh3_128_digest(data[k : k + LENGTH]), x["n"], k, doc, same)
+                       for x in spans[some : some + SHARD] for k in range(x["place"] + x["first"], x["place"] + x["last"] + 1)]
+                kinds = (pa.binary(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -288,18 +305,29 @@ def ranges(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: s
     twice = totals.filter("total > 1").select("core", "whole")
     equal = groups.filter("n = 1").join(twice, ["core", "whole"]).select(
         "doc_id", "same", (F.col("place") + F.col("first")).alias("start"), (F.col("place") + F.col("last") + LENGTH).alias("end"))
-    open_ = totals.groupBy("core").agg(F.count("*").alias("k"), F.min("total").alias("least")).filter("k > 1 AND least = 1").select("core")
+    open_ = totals.groupBy("core").agg(F.count("*").alias("k"), F.min("total").alias("least")).filter("k > 1 AND least = 1").select(
+        "core", (F.col("k") > BATCH).alias("hot"))
     one = groups.join(open_, "core").join(totals, ["core", "whole"]).withColumn("n", F.col("total")).drop("total").dropDuplicates(["core", "whole"])
     # Only these need their bytes.
-    one = one.groupBy("doc_id", "same").agg(F.collect_list(F.struct("core", "first", "last", "place", "n")).alias("spans"))
+    one = one.groupBy("doc_id", "same").agg(F.collect_list(F.struct("core", "first", "last", "place", "n", "hot")).alias("spans"))
     one = scratch.stage(one.withColumnsRenamed({"doc_id": "v_id", "same": "v_same"}), "ends-by-doc")
     scratch.tidy()
-    texts = source.join(one, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
-    frames = texts.select("doc_id", "same", "text", "spans").mapInArrow(
+
+    def texts_of(hot: bool) -> DataFrame:
+        own = one.withColumn("spans", F.filter("spans", lambda x: x["hot"] == hot)).filter(F.size("spans") > 0)
+        texts = source.join(own, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("same") == F.col("v_same")))
+        return texts.select("doc_id", "same", "text", "spans")
+
+    # Rows of a string that very many groups have are joined last, so that Spark can split them.
+    strings = scratch.stage(texts_of(True).mapInArrow(_strings, f"string binary, n long, start long, {key}"), "strings")
+    often = strings.groupBy("string").agg(F.count("*").alias("k")).filter("k > 1").select("string")
+    dealt = scratch.stage(strings.filter("n = 1").join(often, "string").select("doc_id", "same", "start", (F.col("start") + LENGTH).alias("end")), "dealt")
+    scratch.tidy("strings")
+    frames = texts_of(False).mapInArrow(
         _frames, f"core long, frame binary, first int, last int, place long, n long, {key}")
     ends = scratch.stage(frames.repartition("core").sortWithinPartitions("core").mapInArrow(_merge, f"{key}, start long, end long"), "ends")
     scratch.tidy("ends-by-doc")
-    every = span(full).unionByName(span(again)).unionByName(equal).unionByName(ends)
+    every = span(full).unionByName(span(again)).unionByName(equal).unionByName(dealt).unionByName(ends)
     spans = scratch.stage(every.groupBy("doc_id", "same").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     scratch.tidy("shared", "met", "variants", "groups", "totals")
     return spans

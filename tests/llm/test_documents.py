@@ -244,6 +244,28 @@ def test_suffixes(scratch, documents):
     assert suffixes.cut(documents([]), scratch).count() == 0
 
 
+def test_no_task_merges_a_hot_core(scratch, documents, monkeypatch):
+    """A passage that many documents have with different text round it: its ends share a core."""
+    rng, real = random.Random(9), suffixes._merge
+    passage = prose(rng, 100)
+    rows = [(k, f"{prose(rng, 60)} {passage} {prose(rng, 60)}", "en", "a") for k in range(60)]
+    rows += [(100 + k, f"{prose(rng, 60)} the same before {passage} the same after {k}{prose(rng, 60)}", "en", "a") for k in range(20)]
+    rows += [(200, passage, "en", "a"), (200, passage, "en", "a"), (201, passage[:250], "en", "a"), *repeating(2)]
+
+    def bounded(batches):
+        held = list(batches)
+        cores = [c for batch in held for c in batch.column("core").to_pylist()]
+        if cores and max(cores.count(c) for c in set(cores)) > 8:
+            raise ValueError("a task receives a hot core")
+        yield from real(iter(held))
+
+    monkeypatch.setattr(suffixes, "BATCH", 8)
+    monkeypatch.setattr(suffixes, "_merge", bounded)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.cut(documents(rows), scratch).collect()]
+    expected = [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows]), strict=True)]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_transforms_merge_to_the_order_of_all(monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(suffixes, "SHARD", 7)
