@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowpact.llm import chat, decontaminate, jaccard, linededup, mixing, quality, repair, suffixes, warc, wrapper
+from rowpact.llm import chat, decontaminate, jaccard, linededup, merkle, mixing, quality, repair, suffixes, tokencounts, vectorcode, warc, wrapper
 from rowpact.llm.common import Scratch
 
 
@@ -74,6 +74,22 @@ def op10_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(_table(spark, sf_dir, "documents"), Scratch(spark)))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vectorcode.encode(_table(spark, sf_dir, "embeddings"), Scratch(spark))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count(_table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claim = F.when(tampered, merkle.leaf(*[lower if x == "text" else F.col(x) for x in merkle.FIELDS]))
+    return merkle.Manifest(_table(spark, sf_dir, "documents"), Scratch(spark), claim=claim).proofs().withColumnRenamed("k", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_dedup": op2_line_dedup,
@@ -85,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_wrapper_text": op8_wrapper_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_repair_ids": op10_repair_ids,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

@@ -83,4 +83,76 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM split LEFT JOIN sizes USING (r) LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op6_quality_rules": OP6}
+_OP11_ROUND = """
+near{k} AS (
+  SELECT r, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT c.r, c.p, b.e, sum((c.x - b.x) * (c.x - b.x)) AS d FROM cut c JOIN books{k} b ON c.p = b.p AND c.j = b.j GROUP BY ALL) GROUP BY r, p),
+"""
+_OP11_BOOKS = """
+means{k} AS (SELECT n.p, n.e, c.j, CAST(floor(sum(c.x) / count(*)) AS HUGEINT) AS x FROM near{k} n JOIN cut c ON n.r = c.r AND n.p = c.p GROUP BY ALL),
+books{n} AS (SELECT b.p, b.e, b.j, coalesce(m.x, b.x) AS x FROM books{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e AND b.j = m.j),
+"""
+OP11 = """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, embedding
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbers AS (
+  SELECT r, unnest(embedding) AS x, unnest(range(len(embedding))) AS i, (SELECT max(len(embedding)) // 16 FROM kept) AS w FROM kept),
+cut AS (SELECT r, i // w AS p, i % w AS j, CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT) AS x FROM numbers),
+books0 AS (SELECT p, r AS e, j, x FROM cut WHERE r < 64),
+""" + _OP11_ROUND.format(k=0) + _OP11_BOOKS.format(k=0, n=1) + _OP11_ROUND.format(k=1) + _OP11_BOOKS.format(k=1, n=2) + _OP11_ROUND.format(k=2) + """
+coded AS (SELECT r, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near2 GROUP BY r),
+final AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, j)) AS digest FROM books2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM kept JOIN coded USING (r), final
+"""
+
+
+def _op13(levels: int = 8) -> str:
+    """Trees of up to 16 ** levels nodes, level by level: t of the sources, u of their subroots."""
+    def climb(name: str, start: str) -> str:
+        steps = [f"{name}0 AS ({start})"]
+        for k in range(levels):
+            steps.append(f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, (n + 15) // 16 AS n, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE n > 1 GROUP BY ALL)")
+            steps.append(
+                f"{name}a{k} AS (SELECT tree, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre,"
+                f" coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS post FROM {name}{k} WHERE n > 1"
+                f" WINDOW w AS (PARTITION BY tree, i // 16 ORDER BY i))")
+        tops = " UNION ALL ".join(f"SELECT tree, h FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+        return ",\n".join([*steps, f"{name}top AS ({tops})"])
+
+    def fold(name: str, start: str, at: str, tree: str, source: str) -> str:
+        steps = [f"{start}0 AS ({source})"]
+        for k in range(levels):
+            steps.append(
+                f"{start}{k + 1} AS (SELECT f.* REPLACE (CASE WHEN a.pre IS NULL THEN folded ELSE sha256(a.pre || folded || a.post) END AS folded,"
+                f" proof || coalesce(a.pre || a.post, '') AS proof) FROM {start}{k} f LEFT JOIN {name}a{k} a ON a.tree = {tree} AND a.i = {at} >> {4 * k})")
+        return ",\n".join(steps)
+
+    values = "[CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), {text}]"
+    leaf = "sha256(list_aggregate(list_transform(" + values + ", lambda x: coalesce(strlen(x) || ':' || x, '-')), 'string_agg', ''))"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS t
+  FROM (SELECT unnest(range(256)) AS k)),
+crcs AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+hashed AS (
+  SELECT d.doc_id, source, {leaf.format(text="text")} AS leaf, CASE WHEN crc % 5 = 0 THEN {leaf.format(text=lower)} END AS claim
+  FROM documents d LEFT JOIN crcs USING (doc_id)),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+{climb("t", "SELECT g AS tree, i, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM leaves")},
+{climb("u", "SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, h FROM ttop")},
+{fold("t", "f", "f.i", "f.g", "SELECT *, coalesce(claim, leaf) AS folded, '' AS proof FROM leaves")},
+{fold("u", "v", "f.g", "0", f"SELECT * FROM f{levels}")}
+SELECT doc_id, leaf, ttop.h AS subroot, utop.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = utop.h AS verified
+FROM v{levels} JOIN ttop ON ttop.tree = g, utop
+"""
+
+
+OP13 = _op13()
+
+ORACLES = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op6_quality_rules": OP6, "op11_vector_codes": OP11, "op13_merkle_manifest": OP13}
