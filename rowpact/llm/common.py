@@ -37,11 +37,11 @@ class Scratch:
         self._written: dict[str, str] = {}
         self._count = 0
 
-    def stage(self, frame: DataFrame, name: str) -> DataFrame:
-        """Writes the frame as Parquet and reads it again; its lineage ends there."""
+    def stage(self, frame: DataFrame, name: str, **options: str) -> DataFrame:
+        """Writes the frame as Parquet and reads it again; its lineage ends there. Options are the writer's."""
         self._count += 1  # names may come again: operators can share a scratch
         to = self._written[name] = f"{self.path}/{self._count:03d}-{name}"
-        frame.write.mode("overwrite").parquet(to)
+        frame.write.mode("overwrite").options(**options).parquet(to)
         return self.spark.read.schema(frame.schema).parquet(to)
 
     def tidy(self, *names: str) -> None:

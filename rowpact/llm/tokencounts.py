@@ -1,8 +1,8 @@
 """Token counts without token ids: pieces are counted once for each distinct pre-token.
 
-The tokenizer merges neighbouring pieces only where the merged piece is in its vocabulary. So nothing is merged across a place that is inside
-no piece: before white space that follows something else, and beside a character that no piece of two or more characters holds. Texts are
-cut there into pre-tokens, and the tokens of a text are the sum over its pre-tokens. The rules are read from the vocabulary itself.
+The tokenizer merges neighbouring pieces only where the merged piece is in its vocabulary. So nothing is merged between two characters that no
+piece has side by side. Texts are cut there into pre-tokens (between words, and within them, as before most punctuation), and the
+tokens of a text are the sum over its pre-tokens. Which characters stand together is read from the vocabulary itself.
 
 1. Each text becomes the frequencies of its distinct pre-tokens, written once, with a number for the row.
 2. Distinct pre-tokens of all texts, with frequencies summed before they are shuffled, are encoded, each once, and their number of pieces is kept.
@@ -28,10 +28,12 @@ from rowpact.llm.common import Scratch
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-HOT = 50_000
+HOT = 200_000
 KEY_BYTES = 64
 #: Characters of a text from which its pre-tokens are counted one by one, not as a list.
 LONG = 1 << 20
+#: Words whose cuts a worker remembers; then it forgets them all.
+CUTS = 400_000
 #: Characters of a batch's texts that are taken to an Arrow batch at once.
 STEP_CHARS = 4 << 20
 SPACE = "▁"
@@ -61,19 +63,36 @@ class PreTokens:
         pieces = [x.piece for x in about.pieces if x.type == kinds.NORMAL and len(x.piece) > 1]
         if any(SPACE in x.lstrip(SPACE) for x in pieces):
             raise ValueError(f"{path}: pieces with white space inside can't be cut")
+        self._pairs = {x[k : k + 2] for x in pieces for k in range(len(x) - 1)}
+        self._cuts: dict[str, tuple[str, ...]] = {}
         joined = "".join(re.escape(x) for x in sorted(set("".join(pieces)) - {SPACE}))
         self._pattern = re.compile(f"{SPACE}*[{joined}]+|{SPACE}+|[^{joined}{SPACE}]" if joined else f"{SPACE}+|[^{SPACE}]")
         self._prefix = SPACE if spec.add_dummy_prefix else ""
         spec.add_dummy_prefix = False
         self._processor = SentencePieceProcessor(model_proto=about.SerializeToString())
 
-    def frequencies(self, text: str) -> Counter:
+    def _cut(self, word: str) -> tuple[str, ...]:
+        at = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self._pairs), len(word)]
+        return tuple(word[a:b] for a, b in zip(at, at[1:], strict=False))
+
+    def frequencies(self, text: str) -> dict[str, int]:
+        """Pre-tokens of a text: cut beside characters that stand in no piece, then, each word once, between those that never stand together."""
         if not text:
-            return Counter()
+            return {}
         text = self._prefix + text.replace(" ", SPACE)
-        if len(text) < LONG:
-            return Counter(self._pattern.findall(text))
-        return Counter(x[0] for x in self._pattern.finditer(text))
+        words = Counter(self._pattern.findall(text) if len(text) < LONG else (x[0] for x in self._pattern.finditer(text)))
+        cuts, out = self._cuts, {}
+        if len(cuts) > CUTS:
+            cuts.clear()
+        for word, n in words.items():
+            parts = cuts.get(word)
+            if parts is None:
+                parts = self._cut(word)
+                if len(word) <= KEY_BYTES:
+                    cuts[word] = parts
+            for part in parts:
+                out[part] = out.get(part, 0) + n
+        return out
 
     def pieces(self, tokens: list[str]) -> list[int]:
         return list(map(len, self._processor.encode(tokens, num_threads=1)))
@@ -136,7 +155,7 @@ def count(docs: DataFrame, scratch: Scratch, model: str | None = None, id_column
           hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row per document."""
     path = model or model_path()
-    found = scratch.stage(frequencies(docs, path, id_column, text), "frequencies")
+    found = scratch.stage(frequencies(docs, path, id_column, text), "frequencies", compression="zstd")
     pieces = scratch.stage(distinct_pieces(found, path), "pieces")
     often = scratch.stage(pieces.orderBy(F.col("n").desc(), "key").limit(hot).select("key", "pieces"), "hot")
     rare = pieces.join(F.broadcast(often.select("key")), "key", "left_anti").select("key", "pieces")
