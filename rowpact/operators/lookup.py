@@ -73,3 +73,35 @@ def lookup_join(
         *[F.col(f"`{c}`") for c in left.columns],
         *[F.col(f"_right_{p}").alias(p) for p in payload],
     )
+
+
+HOT_ROWS = 100_000
+
+
+def counted_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    payload: Sequence[str],
+    count: str,
+    row: str = "row",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """`left` with the payload of `right`, whose `count` says how many left rows each of its keys has.
+
+    Nothing has to be guessed: keys of more than `hot_rows` rows, at most one for each `hot_rows` rows of `left`, are
+    broadcast, and their rows go where their row number sends them. All others are joined by shuffle.
+    """
+    def renamed(frame: DataFrame, prefix: str) -> DataFrame:
+        return frame.select(F.col(key).alias(f"{prefix}key"), *[F.col(p).alias(prefix + p) for p in payload])
+
+    hot = renamed(right.filter(F.col(count) > hot_rows), "_hot_")
+    rest = renamed(right.filter(F.col(count) <= hot_rows), "_rest_")
+    is_hot = F.col("_hot_key").isNotNull()
+    probe = F.when(is_hot | F.col(key).isNull(), F.concat(F.lit("\x00"), F.col(row).cast("string"))).otherwise(F.col(key))
+    probed = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").withColumn("_probe", probe)
+    joined = probed.join(rest, F.col("_probe") == F.col("_rest_key"), "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in left.columns],
+        *[F.when(is_hot, F.col(f"_hot_{p}")).otherwise(F.col(f"_rest_{p}")).alias(p) for p in payload],
+    )

@@ -1,9 +1,12 @@
 """The batch operators on streams.
 
-Column checks and row rules keep no state and run inside the stream. What must be
-remembered across batches, claimed values and successful hashes, lives in Parquet tables with
-one partition per batch. A replayed batch overwrites its own partition and reads only
-older ones, so a restart neither loses nor doubles anything.
+Column checks and row rules keep no state and run inside the stream. What must be remembered across batches, claimed values and
+successful hashes, is keyed state: a running count for each value or hash, in the stream's own state store (RocksDB with the
+settings of `session.tune`). Each batch gets, beside its rows, the running totals of the values that it holds, and of no other;
+so what a batch costs goes with the batch and not with the history. A value is new in a batch if its total equals its count in the
+batch. A replayed batch starts from the state of the batch before it, so a restart neither loses nor doubles anything.
+
+The tables of claims and of hashes are records, one Parquet partition per batch, overwritten on replay; no batch reads them.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowpact.contract import Contract
-from rowpact.operators.resume import checkpoint_set, flag_processed, flag_repeated
+from rowpact.operators.lookup import counted_join
 from rowpact.operators.summary import validation_summary
-from rowpact.operators.uniqueness import flag_duplicates, owned_bits, value_owners
+from rowpact.operators.uniqueness import candidates, flag_duplicates, owned_bits
 from rowpact.operators.validate import (
     append_duplicates,
     apply_row_rules,
@@ -26,8 +29,7 @@ from rowpact.operators.validate import (
     validate,
 )
 
-CLAIMS_SCHEMA = "_key int, _value string, _owner_row bigint, batch bigint"
-HASHES_SCHEMA = "request_hash string, batch bigint"
+CLAIMS_SCHEMA = "_key int, _value string, _owner_row bigint"
 
 
 def validate_stream(
@@ -72,28 +74,32 @@ def unique_stream(
     as_of: Column | dt.date | str | None = None,
     row: str = "row",
 ) -> None:
-    """Full validation of a stream into the table `out`; the first batch to show a value keeps it.
+    """Full validation of a stream into the table `out`; the first batch to show a value keeps it, within a batch the least row.
 
-    Per batch, the values of that batch are reduced to one owner each. The claims table is
-    filtered to those values by a semi join whose small side is the batch, so it is scanned
-    but, as long as the batch stays under the broadcast limit, never shuffled.
+    Which values are new is told by their running counts, summed map-side before they are shuffled. Owners of new values go
+    back to the rows by row number, so a value of a third of all rows spreads evenly.
     """
     keys = contract.unique_keys
     flags = [f"_dup_{i}" for i in range(len(keys))]
-    _create(stream.sparkSession, claims, CLAIMS_SCHEMA)
+    clean = F.size("errors") == 0
+    rows = check_columns(stream, contract, as_of, row)
+
+    def prints(frame: DataFrame) -> DataFrame:
+        claimed = candidates(frame, keys, clean, row)
+        return claimed.withColumn("_print", F.unhex(F.sha2("_value", 256)))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        checked = batch_rows = check_columns(batch, contract, as_of, row).persist()
+        batch = batch.persist()
         try:
+            checked, totals = _parted(batch, ["_key", "_print"]) if keys else (batch, None)
             if keys:
-                clean = F.size("errors") == 0
-                owners = value_owners(checked, keys, clean, row)
-                earlier = spark.read.schema(CLAIMS_SCHEMA).parquet(claims).filter(F.col("batch") < batch_id)
-                taken = earlier.join(owners, ["_key", "_value"], "left_semi").select("_key", "_value")
+                owners = prints(checked).groupBy("_key", "_value", "_print").agg(
+                    F.min("_row").alias("_owner_row"), F.count(F.lit(1)).alias("_claims"))
+                new = owners.join(totals, ["_key", "_print"]).filter(F.col("_claims") == F.col("_total"))
                 mine = f"{claims}/batch={batch_id}"
-                owners.join(taken, ["_key", "_value"], "left_anti").write.mode("overwrite").parquet(mine)
-                owned = owned_bits(spark.read.parquet(mine))
+                new.select("_key", "_value", F.col("_owner_row").cast("bigint")).write.mode("overwrite").parquet(mine)
+                owned = owned_bits(spark.read.schema(CLAIMS_SCHEMA).parquet(mine))
                 flagged = flag_duplicates(checked, keys, clean, row, flags, owned)
                 checked = append_duplicates(flagged, keys, flags, row)
             if contract.row_rules:
@@ -101,9 +107,11 @@ def unique_stream(
             result = checked.withColumn("valid", pinned(F.size("errors") == 0))
             result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
-            batch_rows.unpersist()
+            batch.unpersist()
 
-    _run(stream, on_batch, checkpoint)
+    if keys:
+        rows = _with_totals(rows, prints(rows).groupBy("_key", "_print").agg(F.count(F.lit(1)).alias("_total")))
+    _run(rows, on_batch, checkpoint, "update" if keys else "append")
 
 
 def resume_stream(
@@ -111,35 +119,40 @@ def resume_stream(
 ) -> None:
     """Skip requests whose hash has already succeeded, in an earlier batch or an earlier row.
 
-    `stream` has the row, `request_hash` and `success`. Only successes are remembered, so
-    a failed request may be tried again.
+    `stream` has the row, `request_hash` and `success`. Only successes are counted, so a failed request may be tried
+    again. A hash was done before a batch if it has more successes than those of the batch.
     """
-    _create(stream.sparkSession, hashes, HASHES_SCHEMA)
-
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         batch = batch.persist()
         try:
-            # Of the history only the batch's own hashes go on: the semi join's small side is the batch.
-            mine = batch.select("request_hash").filter("request_hash IS NOT NULL").distinct()
-            earlier = spark.read.schema(HASHES_SCHEMA).parquet(hashes).filter(F.col("batch") < batch_id)
-            known = earlier.join(mine, "request_hash", "left_semi")
-            seen = flag_processed(flag_repeated(batch, "success", row), known, row)
-            result = seen.withColumn("skipped", F.col("processed") | F.col("repeated"))
-            target = f"{out}/batch={batch_id}"
-            result.drop("processed", "repeated").write.mode("overwrite").parquet(target)
-            done = checkpoint_set(spark.read.parquet(target).filter("NOT skipped"))
-            done.write.mode("overwrite").parquet(f"{hashes}/batch={batch_id}")
+            rows, totals = _parted(batch, ["request_hash"])
+            here = rows.filter("request_hash IS NOT NULL").groupBy("request_hash").agg(
+                F.count(F.lit(1)).alias("_n"), F.count_if("success").alias("_successes"),
+                F.min(F.when(F.col("success"), F.col(row))).alias("_first"))
+            facts = here.join(totals, "request_hash").filter("_total > 0").withColumn("_done", F.col("_total") > F.col("_successes"))
+            seen = counted_join(rows, facts, "request_hash", ["_done", "_first"], "_n", row)
+            skipped = F.coalesce(F.col("_done") | (F.col("_first") < F.col(row)), F.col("_done"), F.lit(False))
+            result = seen.withColumn("skipped", skipped).drop("_done", "_first")
+            result.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            # The first success of a hash that was not done before is never skipped.
+            facts.filter("NOT _done").select("request_hash").write.mode("overwrite").parquet(f"{hashes}/batch={batch_id}")
         finally:
             batch.unpersist()
 
-    _run(stream, on_batch, checkpoint)
+    totals = stream.filter("request_hash IS NOT NULL").groupBy("request_hash").agg(F.count_if("success").alias("_total"))
+    _run(_with_totals(stream, totals), on_batch, checkpoint, "update")
+
+
+def _with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
+    """The rows of a stream and, in the same batch, the running totals (`_total`) of the keys that the batch holds."""
+    return rows.unionByName(totals, allowMissingColumns=True)
 
 
-def _create(spark: SparkSession, path: str, schema: str) -> None:
-    """An empty table with one partition, so that the first batch has something to read."""
-    empty = spark.createDataFrame([], schema).drop("batch")
-    empty.write.mode("ignore").parquet(f"{path}/batch=-1")
+def _parted(batch: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of a batch, without the columns that only totals have, and its totals."""
+    added = ["_total", *[k for k in keys if k.startswith("_")]]
+    rows = batch.filter("_total IS NULL").drop(*added)
+    return rows, batch.filter("_total IS NOT NULL").select(*keys, "_total")
 
 
 def _run(

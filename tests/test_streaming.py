@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowpact import Contract
+from rowpact.operators.lookup import counted_join
 from rowpact.streaming import stream
 
 CONTRACT = Contract.from_dict({
@@ -85,3 +86,54 @@ def test_resume_forgets_failures(spark, tmp_path, source):
     skipped = {r["row"] for r in spark.read.parquet(out).filter("skipped").collect()}
     # p and q succeed in batch 0, r fails there and succeeds in batch 1, s fails before it succeeds
     assert skipped == {4, 8}
+
+
+def test_hashes_on_record_are_those_of_successes(spark, tmp_path, source):
+    add, read = source
+    out, hashes, checkpoint = (str(tmp_path / n) for n in ("out", "hashes", "checkpoint"))
+    for number in range(3):
+        add(number)
+        requests = read().select("row", F.col("b").alias("request_hash"), F.col("a").cast("string").isin("1", "2", "3").alias("success"))
+        stream.resume_stream(requests, out, hashes, checkpoint)
+    found = [(r["batch"], r["request_hash"]) for r in spark.read.parquet(hashes).collect()]
+    assert sorted(found) == [(0, "p"), (0, "q"), (1, "r"), (2, "s"), (2, "z")]
+
+
+def test_batches_do_not_read_the_history(spark, tmp_path, source):
+    """What earlier batches put on record may go: the state is all that later ones need."""
+    add, read = source
+    out, claims, checkpoint = (str(tmp_path / n) for n in ("out", "claims", "checkpoint"))
+    for number in range(3):
+        add(number)
+        stream.unique_stream(read(), CONTRACT, out, f"{claims}{number}", checkpoint)
+    assert errors(spark, out) == EXPECTED
+
+
+def test_batch_that_fails_is_done_again(spark, tmp_path, source, monkeypatch):
+    """The state of a batch that did not end is not kept."""
+    add, read = source
+    out, claims, checkpoint = (str(tmp_path / n) for n in ("out", "claims", "checkpoint"))
+    add(0)
+    stream.unique_stream(read(), CONTRACT, out, claims, checkpoint)
+    add(1)
+    real = stream.append_duplicates
+
+    def fail(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(stream, "append_duplicates", fail)
+    with pytest.raises(Exception, match="lost"):
+        stream.unique_stream(read(), CONTRACT, out, claims, checkpoint)
+    monkeypatch.setattr(stream, "append_duplicates", real)
+    add(2)
+    stream.unique_stream(read(), CONTRACT, out, claims, checkpoint)
+    assert errors(spark, out) == EXPECTED
+
+
+def test_frequent_keys_are_joined_by_row(spark):
+    left = spark.range(1, 401).select(F.col("id").alias("row"), F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 < 3, "hot").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("h"))
+    right = left.filter("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("least"))
+    got = counted_join(left, right, "h", ["least"], "n", hot_rows=50)
+    expected = {k: None if k % 4 == 0 else 1 if k % 4 < 3 else k for k in range(1, 401)}
+    assert {r["row"]: r["least"] for r in got.collect()} == expected
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
