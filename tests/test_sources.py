@@ -121,6 +121,70 @@ def test_header_only_file(spark, file):
     assert rows(read_numbered_csv(spark, file("a,b\n"), PAIR)) == []
 
 
+NASTY = [("1", 'line\nbreak'), ("2", 'two\n\nblank, "quoted"\n'), ("3", ""), ("4", '"'), ("5", "x" * 900 + "\n" + "y" * 5000), ("6", " lead"), ("7", '","\n1,2\n"')]
+
+
+def quoted(value):
+    return '"' + value.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("block", [1 << 10, 3000, 1 << 16, 128 << 20])
+def test_blocks_of_any_size_give_the_same_records(spark, tmp_path, block, end):
+    """Quoted line breaks, quotes and blank lines across the bounds of blocks, in files of several sizes."""
+    expected = []
+    for number, copies in enumerate([4, 0, 1]):
+        text = "a,b" + end
+        for k in range(copies):
+            for key, value in NASTY:
+                expected.append((f"{number}-{k}-{key}", value.replace("\r\n", "\n")))
+                text += f"{expected[-1][0]},{quoted(value)}{end}" + (end if k % 3 == 0 else "")
+        (tmp_path / f"{number}.csv").write_bytes(text.encode())
+    conf = {"spark.sql.files.maxPartitionBytes": str(block), "spark.sql.files.openCostInBytes": "1"}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        got = read_numbered_csv(spark, str(tmp_path), PAIR, staging=f"{tmp_path}/../lines{block}")
+        count = csv_source.count_rows(spark, str(tmp_path), PAIR).first()[0]
+        found = sorted(got.collect())
+        assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path), PAIR, staging=f"{tmp_path}/../other{block}").collect()) == sorted(expected)
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    assert [tuple(r) for r in found] == [(k, *r) for k, r in enumerate(expected, 1)]
+    assert count == len(expected)
+    if block == 1 << 10:
+        assert spark.read.parquet(f"{tmp_path}/../lines{block}-blocks").filter("_inside").count() >= 2
+
+
+def test_only_lines_of_spanning_records_move(spark, tmp_path, file):
+    file('a,b\n' + "".join(f"{k},x\n" for k in range(3000)) + '1,"y\nz"\n')
+    plan = read_numbered_csv(spark, str(tmp_path), PAIR, staging=f"{tmp_path}/../moved")._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_line" in x]
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(_file" in x and "_record" in x]) == 1 and not moved
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,"x\n2,y\n', 'a,b\n1,x"y\n2,z"\n3,4\n', 'a,b\n1,"x"\n"2,y\n'])
+def test_quotes_that_cannot_be_told_apart_are_fatal(spark, file, text):
+    with pytest.raises(Exception, match="never closed|MALFORMED"):
+        read_csv(spark, file(text), PAIR).collect()
+
+
+def test_headers_of_many_files_in_one_job(spark, tmp_path, file):
+    for k in range(80):
+        file("\ufeffa,b\n1,2\n" if k % 2 else 'a,"b"\n1,2\n' * 50, f"{k:03d}.csv")
+    from rowpact.sources.records import first_records
+    assert first_records(spark, str(tmp_path)).count() == 80
+    spark.sparkContext.setJobGroup("headers", "")
+    csv_source.check_header(spark, str(tmp_path), PAIR)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("headers")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 2  # however many files: with adaptive execution a job for the shuffle and one for the result
+    file('a,"c\nd"\n1,2\n', "077.csv")
+    with pytest.raises(csv_source.HeaderMismatch, match=r"'c\\nd'.*077.csv"):
+        csv_source.check_header(spark, str(tmp_path), PAIR)
+
+
 def test_head_rows(spark):
     df = spark.range(1, 100).select(F.col("id").alias("row")).repartition(4)
     assert [r[0] for r in csv_source.head_rows(df, 3).collect()] == [1, 2, 3]
