@@ -297,11 +297,11 @@ def test_long_texts_are_cut_between_blocks(monkeypatch):
 
 # --- 9
 
-def brute_components(rows, threshold=90):
+def brute_components(rows, threshold=90, size=3):
     found, classes = [], collections.defaultdict(list)
     for r in rows:
         w = BLANKS.findall(lower(r[1] or ""))
-        s = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        s = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
         found.append(s)
         if s:
             classes[s].append(r[0])

@@ -48,10 +48,23 @@ def test_quality_keeps_clean_documents(stages):
 
 def test_one_of_each_group_stays(stages):
     before, after, *_ = stages[1]
-    groups = {c for _, n, c in brute_components([(r["doc_id"], r["text"]) for r in before])}
+    groups = {c for _, n, c in brute_components([(r["doc_id"], r["text"]) for r in before], 80, 5)}
     assert sorted(r["doc_id"] for r in after) == sorted(groups)
 
 
+def test_near_copies_between_80_and_90_of_100_go(llm, documents):
+    """Sets of five-word shingles with a known share in common, on either side of the bound."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(4000)]
+    rows, expected = [], []
+    for k, appended in enumerate([0, 5, 11, 18, 24, 25, 26, 40]):
+        base = [words[x] for x in rng.permutation(4000)[:104]]  # 100 shingles
+        rows += [(10 * k, " ".join(base), "en", "a"), (10 * k + 1, " ".join([*base, *(f"x{k}y{j}" for j in range(appended))]), "en", "a")]
+        expected += [10 * k] if 100 * 100 >= 80 * (100 + appended) else [10 * k, 10 * k + 1]
+    kept = corpus_pipeline.one_of_each(llm, documents(rows), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected
+
+
 def test_contaminated_documents_go(stages):
     before, after, *_ = stages[2]
     items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
