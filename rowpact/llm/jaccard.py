@@ -48,6 +48,7 @@ SPARE = 5
 SPARE_SHARE = 0.15
 SMALL = 64
 GROUP = 5
+MISS = 1e-13
 #: Sizes of the levels from SMALL on grow by this; linked sets are of the same level or of neighbours.
 LEVEL = 1.25
 
@@ -61,6 +62,7 @@ class Cuts:
         self.differ = (1 - self.share) / self.share
         if not 0.8 <= self.share < 1:
             raise ValueError("levels are made for thresholds from 80 to 99")
+        self._fragments_of: dict[int, int] = {}
         self.choices = {k: np.array(list(itertools.combinations(range(GROUP), GROUP - k))) for k in (1, 2)}
 
     def most(self, n: int) -> int:
@@ -71,8 +73,19 @@ class Cuts:
         return math.floor(math.log(n / SMALL) / math.log(LEVEL) + 1e-9)
 
     def fragments(self, level: int) -> int:
-        least = self.most(math.ceil(SMALL * LEVEL ** (level + 1))) + 1
-        return least + max(SPARE, math.ceil(SPARE_SHARE * least))
+        """With a fragment more than there are differing shingles, and spare ones for those that are empty, one is shared in any case. Large
+        sets need fewer, as differing shingles fall on fragments at random: so many that all are hit with a chance below MISS."""
+        if level not in self._fragments_of:
+            differ = self.most(math.ceil(SMALL * LEVEL ** (level + 1)))
+            same = math.floor(SMALL * LEVEL ** level * self.share)
+            sure = differ + 1 + max(SPARE, math.ceil(SPARE_SHARE * (differ + 1)))
+
+            def miss(n: int) -> float:
+                beside = 1 - 1 / n
+                return (1 - beside ** differ * (1 - beside ** same)) ** n
+
+            self._fragments_of[level] = next((n for n in range(2, sure) if miss(n) < MISS), sure)
+        return self._fragments_of[level]
 
     def signatures(self, found: np.ndarray) -> np.ndarray:
         n = len(found)

@@ -374,6 +374,27 @@ def test_signatures_meet():
                 assert len(np.intersect1d(cuts.signatures(a), cuts.signatures(b)))
 
 
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_signatures_meet_at_the_bound(threshold):
+    """Sets that are just linked, of every size up to long documents; of these one differs as much as it may."""
+    rng, cuts = np.random.default_rng(5), jaccard.Cuts(threshold)
+    share = threshold / 100
+    for n in [*range(9, 80, 3), 127, 128, 300, 1000, 4000, 16000]:
+        for out in (0, 1, 2):  # left out of the first set: none, half of what may differ, or all
+            for _ in range(4):
+                a = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+                gone = int((n - math.ceil(share * n)) * out / 2)
+                kept = rng.permutation(a)[gone:]
+                added = int(len(kept) / share - len(a) + 1e-9)
+                b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, max(0, added), np.uint64, endpoint=False)]))
+                shared = len(np.intersect1d(a, b))
+                assert 100 * shared >= threshold * (len(a) + len(b) - shared)
+                assert len(np.intersect1d(cuts.signatures(a), cuts.signatures(b)))
+    # Fewer fragments than differing shingles where sets are large.
+    level = cuts.level(16000)
+    assert cuts.fragments(level) < cuts.most(16000)
+
+
 # --- 10
 
 def test_ids(scratch, documents, rows):
