@@ -94,11 +94,30 @@ def _compare(text: Column, number: Column, bound: object) -> Column:
     return F.when(number < float(exact), -1).when(number > float(exact), 1).when(text.rlike("^[+-]?0[xX]"), 0).otherwise(tie)
 
 
+#: Numbers of which most columns are made: exact as decimals that fit a long.
+SHORT_NUMBER = r"^[+-]?[0-9]{1,12}(?:\.[0-9]{1,6})?\z"
+SHORT_KIND, SHORT_DIGITS, SHORT_PLACES = "decimal(18,6)", 12, 6
+
+
 def is_in_range(value: Column, bounds: Bounds) -> Column:
     """Numeric bounds, both inclusive. Text that is no number, and nan, is out of range.
 
-    Every number that a type check accepts is compared, whatever its length, exponent, places, underscores or base.
+    Every number that a type check accepts is compared, whatever its length, exponent, places, underscores or base. Short plain
+    numbers take one pattern and one cast; the closer look is for the others.
     """
+    limits = [Decimal(str(b)) for b in (bounds.min, bounds.max) if b is not None]
+    slow = _is_in_range_of_any_form(value, bounds)
+    if any(-x.as_tuple().exponent > SHORT_PLACES or abs(x) >= 10 ** SHORT_DIGITS for x in limits):
+        return slow
+    number, inside = value.try_cast(SHORT_KIND), F.lit(True)
+    if bounds.min is not None:
+        inside &= number >= F.lit(format(Decimal(str(bounds.min)), "f")).cast(SHORT_KIND)
+    if bounds.max is not None:
+        inside &= number <= F.lit(format(Decimal(str(bounds.max)), "f")).cast(SHORT_KIND)
+    return F.when(value.rlike(SHORT_NUMBER), F.coalesce(inside, F.lit(False))).otherwise(slow)
+
+
+def _is_in_range_of_any_form(value: Column, bounds: Bounds) -> Column:
     plain = F.replace(value, F.lit("_"), F.lit(""))
     plain = F.regexp_replace(plain, r"^\.([+-])", "$1.")
     number = plain.try_cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowpact.contract import Bounds, CleanseRule, ColumnSpec, Contract
 from rowpact.functions import scalars
-from rowpact.functions.layouts import parse_date
+from rowpact.functions.layouts import format_date, parse_date
 from rowpact.operators import checks, cleanse, outcome, request, resume, summary
 from rowpact.operators.masking import mask_column_value, mask_named
 from rowpact.operators.uniqueness import flag_duplicates
@@ -33,6 +33,7 @@ from rowpact.plans.frames import (
     docs_raw,
     number_texts,
     orders_raw,
+    stamp_texts,
     table,
 )
 from rowpact.sources import csv as csv_source, sinks
@@ -273,6 +274,19 @@ def check_date(spark, sf_dir):
     )
 
 
+@query
+def check_date_zoned(spark, sf_dir):
+    text = F.col("text")
+    return stamp_texts(spark, sf_dir).select(
+        "row",
+        parse_date(text, "2006-01-02T15:04:05Z07:00").cast("string").alias("zoned"),
+        parse_date(text, "2006-01-02T15:04:05.999-0700").cast("string").alias("compact"),
+        parse_date(text, "2006-01-02 03:04 PM").cast("string").alias("half_day"),
+        parse_date(text, "2006-002").cast("string").alias("ordinal"),
+        parse_date(text, "2006-1-_2 Mon MST").cast("string").alias("named"),
+    )
+
+
 @query
 def check_birth_age(spark, sf_dir):
     return one_check(orders_raw(spark, sf_dir), ColumnSpec("odate", "date"), "odate")
@@ -436,6 +450,18 @@ def fn_date_format(spark, sf_dir):
         scalars.date_format(text, "02.01.06").alias("short"))
 
 
+@query
+def fn_date_format_zoned(spark, sf_dir):
+    day = F.col("day")
+    return stamp_texts(spark, sf_dir).select(
+        "row",
+        format_date(day, "2006-01-02T15:04:05Z07:00").alias("zoned"),
+        format_date(day, "Mon, 02 Jan 2006 15:04:05 -0700").alias("mail"),
+        format_date(day, "Monday _2 January 2006 3:04PM MST").alias("long"),
+        format_date(day, "2006-002 05.000").alias("ordinal"),
+    )
+
+
 @query
 def fn_e164(spark, sf_dir):
     return customer_raw(spark, sf_dir).select(

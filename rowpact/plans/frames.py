@@ -171,6 +171,32 @@ def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select((key + 1).alias("row"), chosen.alias("text"))
 
 
+def stamp_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as moments with zones, fractions, names and days of the year; some can't be."""
+    key = F.col("o_orderkey")
+    date = F.col("o_orderdate").cast("date")
+    iso = date.cast("string")
+    hour = F.lpad((key % 24).cast("string"), 2, "0")
+    ordinal = F.concat(F.substring(iso, 1, 4), F.lit("-"), F.lpad(F.dayofyear(date).cast("string"), 3, "0"))
+    at = F.concat(iso, F.lit("T"), hour, F.lit(":30:15"))
+    forms = [
+        F.concat(at, F.lit("Z")),
+        F.concat(at, F.lit("+09:00")),
+        F.concat(at, F.lit(".25-03:30")),
+        F.concat(at, F.lit("+0900")),
+        F.concat(at, F.lit("+25:00")),
+        F.concat(iso, F.lit(" 03:05 PM")),
+        F.concat(iso, F.lit(" 13:05 PM")),
+        ordinal,
+        F.concat(F.substring(iso, 1, 4), F.lit("-367")),
+        F.concat(iso, F.lit(" mon KST")),
+    ]
+    chosen = F.lit("")
+    for i, form in enumerate(forms):
+        chosen = F.when(key % len(forms) == i, form).otherwise(chosen)
+    return table(spark, sf_dir, "orders").select((key + 1).alias("row"), chosen.alias("text"), date.alias("day"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as request attempts: the user is the request row, the type gives the status."""
     kind = F.col("event_type")

@@ -381,6 +381,10 @@ def oracles() -> dict[str, str]:
         "check_decimal": with_(NUMBER_TEXTS, message("number_texts", "NOT regexp_matches(text, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')", "invalid decimal")),
         "check_date": with_(DATE_TEXTS, """SELECT row, form = 0 AS compact, form = 1 AS iso,
             form = 2 OR (form = 3 AND day(d) <= 12) AS us, form = 3 OR (form = 2 AND day(d) <= 12) AS european FROM date_texts"""),
+        "check_date_zoned": """SELECT row, CASE WHEN form IN (0, 1, 2) THEN strftime(day, '%Y-%m-%d') END AS zoned,
+            CASE WHEN form = 3 THEN strftime(day, '%Y-%m-%d') END AS compact, CASE WHEN form = 5 THEN strftime(day, '%Y-%m-%d') END AS half_day,
+            CASE WHEN form = 7 THEN strftime(day, '%Y-%m-%d') END AS ordinal, CASE WHEN form = 9 THEN strftime(day, '%Y-%m-%d') END AS named
+            FROM (SELECT o_orderkey + 1 AS row, o_orderkey % 10 AS form, CAST(o_orderdate AS DATE) AS day FROM orders)""",
         "check_birth_age": with_(ORDERS_RAW, f"SELECT row, coalesce({age_error('d')}, '') AS message FROM orders_raw"),
         "check_min_len": message("(SELECT doc_id + 1 AS row, text FROM documents)", "text <> '' AND strlen(text) < 800", "value too short (min 800 characters)"),
         "check_max_len": message("(SELECT doc_id + 1 AS row, text FROM documents)", "strlen(text) > 2000", "value too long (max 2000 characters)"),
@@ -417,6 +421,9 @@ def oracles() -> dict[str, str]:
         "age_years": with_(CUSTOMER_RAW, f"SELECT row, CAST({age('born')} AS INTEGER) AS age FROM customer_raw"),
         "fn_date_format": with_(DATE_TEXTS, f"""SELECT row, coalesce(strftime({DATE_VALUE}, '%Y-%m-%dT00:00:00Z'), text) AS stamp,
             coalesce(strftime({DATE_VALUE}, '%d.%m.%y'), text) AS short FROM date_texts"""),
+        "fn_date_format_zoned": """SELECT row, strftime(day, '%Y-%m-%dT00:00:00Z') AS zoned, strftime(day, '%a, %d %b %Y 00:00:00 +0000') AS mail,
+            strftime(day, '%A ') || lpad(CAST(day(day) AS VARCHAR), 2, ' ') || strftime(day, ' %B %Y 12:00AM UTC') AS long, strftime(day, '%Y-%j 00.000') AS ordinal
+            FROM (SELECT o_orderkey + 1 AS row, CAST(o_orderdate AS DATE) AS day FROM orders)""",
         "fn_e164": with_(CUSTOMER_RAW, f"SELECT row, 'tel:' || {e164('phone')} || ';seg=' || segment AS phone FROM customer_raw"),
         "fn_mask": with_(CUSTOMER_RAW, f"SELECT row, {mask('token')} AS token, {mask('segment')} AS segment, {mask('left(phone, 3)')} AS prefix FROM customer_raw"),
         "fn_hash": "SELECT doc_id + 1 AS row, sha256(text) AS digest FROM documents",

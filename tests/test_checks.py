@@ -97,3 +97,16 @@ def test_large_dictionary_by_join(spark, values):
     codes = spark.createDataFrame([("1", "one"), ("2", "two")], "code string, word string")
     out = cleanse.normalize_with_table(values(["1", "3", "2"]), "v", codes, "code", "word")
     assert [r["v"] for r in out.orderBy("row").collect()] == ["one", "3", "two"]
+
+
+@pytest.mark.parametrize("low, high", [("1500", "480000"), ("-0.5", None), (None, "12.000001"), ("0.0000001", "3"), ("-1000000000000", "1e12")])
+def test_short_numbers_are_judged_like_all_others(spark, low, high):
+    from decimal import Decimal
+    from rowpact.operators.checks import _is_in_range_of_any_form
+    bounds = Bounds(Decimal(low) if low else None, Decimal(high) if high else None)
+    texts = ["0", "-0", "+1500", "1500.000000", "1499.999999", "1500.0000001", "480000", "480000.000001", "-0.5", "-0.500001", "12.000001", "12.0000010", "000000012",
+             "999999999999", "1000000000000", "-999999999999.999999", "3", "3.0", "3.", ".5", "1e3", "0x1p4", "1_500", "", "x", "nan", "-inf", "2999999.9", "0.000000"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    rows = df.select("t", checks.is_in_range(t, bounds).alias("quick"), _is_in_range_of_any_form(t, bounds).alias("slow")).collect()
+    assert [(r["t"], r["quick"]) for r in rows] == [(r["t"], r["slow"]) for r in rows]

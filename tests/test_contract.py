@@ -74,9 +74,8 @@ def test_patterns_that_re2_rejects(regex):
         contract(validators=[{"regex": regex}])
 
 
-def test_unsupported_layout():
-    with pytest.raises(ContractError):
-        contract(type="date", format="Mon 2006")
+def test_layouts_with_names_and_zones():
+    assert contract(type="date", format="Mon 2006 15:04Z07:00").columns[0].layout == "Mon 2006 15:04Z07:00"
 
 
 def test_same_key_twice_counts_once():

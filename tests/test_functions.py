@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowpact.functions import scalars
-from rowpact.functions.layouts import LayoutError, format_date, parse_date
+from rowpact.functions.layouts import format_date, parse_date
 from rowpact.functions.patterns import PatternError, java_pattern, matches
 
 TEXTS = ["", "abc", "ABC", "a\n", "a\nb", "a\r\nb", "foo bar", "foo\x0bbar", "é", "été", "[x]", "x]",
@@ -61,10 +61,39 @@ def test_layouts_format(mapped):
     for layout, expected in [("2006-01-02T15:04:05Z", "1990-03-05T00:00:00Z"), ("2/1/06", "5/3/90"),
                              ("Jan 2, 2006", "Mar 5, 1990"), ("January", "March"), ("02.01.06", "05.03.90")]:
         assert mapped(["19900305"], lambda v: format_date(parse_date(v, "20060102"), layout)) == [expected]
-    for layout in ("Mon", "3PM", "MST", "Z07:00"):
-        with pytest.raises(LayoutError):
-            java = parse_date(F.lit("x"), layout)
-            assert java is None
+
+
+@pytest.mark.parametrize("layout,good,bad", [
+    ("2006-01-02T15:04:05Z07:00", ["2024-02-29T23:59:59Z", "2024-02-29T0:59:59+09:00", "2024-02-29T10:59:59.123456789-03:30"],
+     ["2024-02-29T23:59:59", "2023-02-29T23:59:59Z", "2024-02-29T24:00:00Z", "2024-02-29T23:59:59+0900", "2024-02-29T23:59:59+25:00", "2024-02-29T23:59:59z", "2024-02-29T23:59:59+09:60"]),
+    ("2006-01-02T15:04:05-0700", ["2024-02-29T23:59:59+0000"], ["2024-02-29T23:59:59Z", "2024-02-29T23:59:59+00:00"]),
+    ("2006-01-02 -07:00:00", ["2024-02-29 +01:02:03"], ["2024-02-29 +01:02", "2024-02-29 Z"]),
+    ("2006-01-02 Z07", ["2024-02-29 Z", "2024-02-29 -11"], ["2024-02-29 -1", "2024-02-29 -11:00"]),
+    ("20060102 3:04PM", ["20240229 12:00AM", "20240229 1:59PM", "20240229 01:59PM"], ["20240229 13:00PM", "20240229 1:00pm", "20240229 1:60AM"]),
+    ("20060102 03:4:5 pm", ["20240229 12:0:7 am", "20240229 01:59:59.5 pm"], ["20240229 1:00:00 am", "20240229 01:00:00 AM"]),
+    ("2006-002", ["2024-060"], ["2023-366", "2024-000", "2024-60", "2024-367"]),
+    ("2006-__2", ["2024- 60", "2024-060", "2024-60"], ["2024-   60", "2024-x"]),
+    ("2006-002 01-02", ["2024-060 02-29"], ["2024-061 02-29", "2024-060 03-01"]),
+    ("Monday, 2 January 2006", ["friday, 29 february 2024", "Thursday, 29 February 2024"], ["Fri, 29 February 2024", "Noday, 29 February 2024"]),
+    ("Mon Jan _2 15:04:05 MST 2006", ["Thu Feb 29 10:00:00 KST 2024", "Thu Feb 29 10:00:00 GMT+3 2024", "Thu Feb 29 10:00:00.9 CEST 2024", "Thu Feb 29 10:00:00 WITA 2024"],
+     ["Thu Feb 29 10:00:00 kst 2024", "Thu Feb 29 10:00:00 KSTX 2024", "Thu Feb 29 10:00:00 K 2024", "Thu Feb 29 10:00:00 GMT+24 2024"]),
+    ("2006-01-02 15:04:05.000", ["2024-02-29 10:00:00.123", "2024-02-29 10:00:00,123"], ["2024-02-29 10:00:00.12", "2024-02-29 10:00:00", "2024-02-29 10:00:00.1234"]),
+    ("2006-01-02 15:04:05.999Z07:00", ["2024-02-29 10:00:00.1234567Z", "2024-02-29 10:00:00Z"], ["2024-02-29 10:00:00.Z", "2024-02-29 10:00:00.1234567890Z"]),
+])
+def test_layouts_with_zones_and_names(mapped, layout, good, bad):
+    parsed = mapped([*good, *bad], lambda v: parse_date(v, layout).cast("string"))
+    assert parsed == ["2024-02-29"] * len(good) + [None] * len(bad)
+
+
+def test_single_digit_days_may_be_padded(mapped):
+    assert mapped(["Mar  5", "Mar 5", "Mar 15", "Mar   5"], lambda v: parse_date(v, "Jan _2").isNotNull()) == [True, True, True, True]
+
+
+def test_midnight_in_every_layout(mapped):
+    for layout, expected in [
+        ("Mon, 02 Jan 2006 15:04:05 -0700", "Mon, 05 Mar 1990 00:00:00 +0000"), ("Monday _2 3:4:5pm MST", "Monday  5 12:0:0am UTC"),
+        ("2006-002|__2|Z07:00|-07:00:00|-07", "1990-064| 64|Z|+00:00:00|+00"), ("05.000 05.999 ,00x", "00.000 00 ,00x"), ("_2006 Month", "_1990 Month")]:
+        assert mapped(["19900305"], lambda v: format_date(parse_date(v, "20060102"), layout)) == [expected]
 
 
 def test_date_format_tries_layouts_in_order(mapped):
