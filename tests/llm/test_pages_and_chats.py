@@ -1,6 +1,7 @@
 """Archives, chats and page texts: exact round trips and odd cases."""
 
 import hashlib
+import json
 import random
 import zipfile
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
+import __spark_entry__ as entry
 from rowpact.llm import chat, warc, wrapper
 
 PAGES = "page_id long, url string, html string, payload string, digest string"
@@ -187,3 +189,134 @@ def test_pages(scratch, pages):
         assert got[k] == [text]
     assert got[100] == [""] and got[101] == [""] and got[None] == ["n"] and got[102] == ["deep"] and len(got[103][0]) == 60_000 * 5 - 1 and len(got[104]) == 2
     assert wrapper.main_text(pages([]), scratch).count() == 0
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a</p><![ x", "a"), ("<p>a<![!--x", "a"), ("<![foo[x]]>", ""), ("<p>a<![CDATA[z]]>b", "ab"), ("<p>a</p><![endif]><p>b", "a\nb"), ("<p>a<![", "a")])
+def test_marked_sections(html, text):
+    assert wrapper.extract(html, {"content": None, "template": []}) == text
+
+
+@pytest.mark.parametrize("body, text", [
+    ("<article><p>x</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul></article>", "x\none\ntwo"),
+    ("<article><div class=related-work><p>x</p></div><section class=notice-period>y</section><div class='cookie-notice'>no</div></article>", "x\ny"),
+    ("<div class=related-work><p>no</p></div><ul><li><a>no</a><li><a>no</a></ul><p>x</p>", "x")])
+def test_class_words_and_lists_of_links(body, text):
+    assert wrapper.extract(page(1, body), {"content": None, "template": []}) == text
+
+
+def brute_matching(x, y):
+    """Simple tree matching as published: by recursion, over (tag, children)."""
+    if x[0] != y[0]:
+        return 0
+    table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+    for i, u in enumerate(x[1], 1):
+        for j, v in enumerate(y[1], 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_matching(u, v))
+    return 1 + table[-1][-1]
+
+
+trees = st.recursive(st.tuples(st.sampled_from(["b", "i", "u"]), st.just([])), lambda x: st.tuples(st.sampled_from(["b", "i", "u"]), st.lists(x, max_size=5)), max_leaves=25)
+
+
+def markup(x):
+    return f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees, trees)
+def test_matching_is_the_best(x, y):
+    a, b = wrapper.tree(markup(x)), wrapper.tree(markup(y))
+    pairs = []
+    assert wrapper.matching(a, b, pairs) == len(pairs) == brute_matching(("#", [x]), ("#", [y]))
+    order = {id(n): k for k, n in enumerate(wrapper.Skeleton(a).nodes)}, {id(n): k for k, n in enumerate(wrapper.Skeleton(b).nodes)}
+    at = sorted((order[0][id(u)], order[1][id(v)]) for u, v in pairs)
+    assert [v for _, v in at] == sorted(v for _, v in at) and all(u.tag == v.tag for u, v in pairs)
+    mapped = {(id(u), id(v)) for u, v in pairs}
+    assert all(u.parent is None or (id(u.parent), id(v.parent)) in mapped for u, v in pairs)
+
+
+def test_matching_in_order_of_appearance_beyond_the_table():
+    a, b = (wrapper.Skeleton(wrapper.tree("".join(f"<p>{k}<{t}>" for k, t in enumerate(tags)))) for tags in ("bibib" * 3, "iiibb" * 3))
+    few, most = wrapper.align(a, b, cells=4), wrapper.align(a, b)
+    assert 1 < len(few) <= len(most) and all(a.nodes[i].tag == b.nodes[j].tag for i, j in few)
+
+
+@pytest.mark.parametrize("made", [["<div>" * 3000 + f"deep {k}" for k in range(4)], ["<ul>" + "".join(f"<li>{k} {i}{'<b>x</b>' * ((i * k) % 3)}" for i in range(5000)) + "</ul>" for k in range(4)]])
+def test_deep_and_long_pages(made):
+    known = wrapper.induce(made)
+    assert known["template"] == [] and all(len(wrapper.extract(html, known)) > 5 for html in made)
+
+
+def words_of(rng, n):
+    return " ".join(rng.choice(["erth", "onre", "shand", "thble", "ing", "thou", "hean"]) + str(rng.randrange(1000)) for _ in range(n))
+
+
+def host_pages(rng, n, layout):
+    """(html, text) of pages without article, main or telling names, in one of two layouts that each say some things on every page."""
+    out = []
+    for _ in range(n):
+        ps = [words_of(rng, 12) for _ in range(rng.randrange(2, 6))]
+        if layout == 0:
+            html = f"<div class=x1><span>Our daily letter</span></div><div class=x2>{''.join(f'<p>{p}</p>' for p in ps)}</div><table><tr><td>Imprint of this site<td>{rng.random()}</table>"
+            text = ps + [html.split("<td>")[2].removesuffix("</table>")]
+        else:
+            html = f"<section><h2>{ps[0]}</h2>{''.join(f'<blockquote>{p}</blockquote>' for p in ps[1:])}</section><dl><dt>Where we are<dd>In a town by a river</dl>"
+            text = ps
+        out.append((f"<html><body>{html}</body></html>", "\n".join(text)))
+    return out
+
+
+def test_wrappers_decide_over_all_pages(scratch, pages):
+    """A host of mostly copies, one with two layouts, one of large pages, one with too few pages."""
+    rng = random.Random(8)
+    some, copy = host_pages(rng, 12, 0), host_pages(rng, 1, 0)[0]
+    hosts = {"copies.example": some + [copy] * 150, "two.example": host_pages(rng, 40, 0) + host_pages(rng, 9, 1),
+             "large.example": [(h.replace("</p></div>", f" {'long ' * 20_000}</p></div>"), t) for h, t in host_pages(rng, 6, 0)], "few.example": host_pages(rng, 2, 0)}
+    rows = [(1000 * k + n, f"http://{name}/{n}", html) for k, (name, made) in enumerate(hosts.items()) for n, (html, _) in enumerate(made)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(pages(rows), scratch, share=20).collect()}
+    assert len(got) == len(rows)
+    changed = 0
+    for k, (name, made) in enumerate(hosts.items()):
+        for n, (html, text) in enumerate(made):
+            plain = wrapper.extract(html, {"content": None, "template": []})
+            found = got[1000 * k + n]
+            changed += found != plain
+            if name == "few.example":
+                assert found == plain
+            elif name == "large.example":
+                assert "letter" not in found and "Imprint" not in found and found.count("long") >= 20_000
+            else:
+                assert found == text
+    assert changed == len(rows) - 2
+
+
+def test_wrappers_of_tables_are_those_of_lists(llm, scratch, pages):
+    rng = random.Random(9)
+    made = {f"h{k}.example": [h for h, _ in host_pages(rng, 3 + 2 * k, k % 2)] + [h for h, _ in host_pages(rng, k, 1 - k % 2)] for k in range(6)}
+    rows = [(n, f"https://{name}/{n}", html) for name, some in made.items() for n, html in enumerate(some)]
+    got = {r["host"]: r["wrapper"] for r in wrapper.wrappers(pages(rows), scratch, "url", "html", share=3).collect()}
+    hashes = {r["html"]: r["h"] for r in pages(rows).selectExpr("html", "xxhash64(html) AS h").collect()}
+    for name, some in made.items():
+        known = wrapper.induce(sorted(some, key=hashes.get))["template"]
+        assert (json.loads(got[name]) if name in got else []) == known
+    assert got
+
+
+def test_near_copies_are_no_template(scratch, pages):
+    """Pages that differ in a few words keep what they share."""
+    text = [words_of(random.Random(1), 30) for _ in range(6)]
+    rows = [(k, f"http://n.example/{k}", "<body>" + "".join(f"<p>{p}</p>" for p in text) + f"<p>word {k}</p></body>") for k in range(20)]
+    for r in wrapper.main_text(pages(rows), scratch).collect():
+        assert r["text"] == "\n".join([*text, f"word {r['page_id']}"])
+
+
+def test_query_of_pages(llm):
+    """The registered query: its columns, and texts equal to those of the pages' articles."""
+    folder = "/root/testdata/sf0.001"
+    got = {r["page_id"]: r for r in entry.queries()["op8_wrapper_text"](llm, folder).collect()}
+    rows = llm.read.parquet(f"{folder}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        text = wrapper.extract(r["html"] or "", {"content": None, "template": []})
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], text, len(text))
