@@ -21,12 +21,13 @@ from rowpact.operators.summary import (
 )
 from rowpact.operators.validate import error_rows, invalid_rows, typed, valid_rows, validate
 from rowpact.sources.csv import read_csv, read_numbered_csv
-from rowpact.sources.sinks import failed_rows, write_logs
+from rowpact.sources.sinks import commit_logs, committed, failed_rows, read_log, write_logs
 
 __all__ = [
     "Bounds", "CleanseRule", "ColumnSpec", "Contract", "ContractError", "ContractViolation",
-    "PatternRule", "RequestSpec", "RowRule", "UniqueRule", "collapse_attempts", "error_rows",
-    "failed_rows", "first_errors", "invalid_rows", "preview", "read_csv", "read_numbered_csv",
+    "PatternRule", "RequestSpec", "RowRule", "UniqueRule", "collapse_attempts", "commit_logs",
+    "committed", "error_rows",
+    "failed_rows", "first_errors", "invalid_rows", "preview", "read_csv", "read_log", "read_numbered_csv",
     "render", "row_outcomes", "run_summary", "strict_gate", "typed", "valid_rows", "validate",
     "validation_summary", "write_logs",
 ]

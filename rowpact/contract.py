@@ -20,6 +20,16 @@ class ContractError(ValueError):
     """The contract itself is not valid."""
 
 
+#: Names of the result, and beginnings of names, that validation adds itself.
+RESERVED = ("errors", "valid")
+RESERVED_PREFIXES = ("_raw_", "_clean_", "_date_", "_age_", "_message_", "_rule_", "_dup_", "_value", "_owner", "_word", "_bits", "_suspect")
+
+
+def reserved(name: str) -> bool:
+    """Whether validation adds columns of this name, or of this kind, itself."""
+    return name.lower() in RESERVED or name.lower().startswith(RESERVED_PREFIXES)
+
+
 @dataclass(frozen=True)
 class CleanseRule:
     trim: bool = False
@@ -104,6 +114,8 @@ class Contract:
                 raise ContractError("column names cannot be empty")
             if spec.name in seen:
                 raise ContractError(f"duplicate column name: {spec.name}")
+            if reserved(spec.name):
+                raise ContractError(f"column name that validation uses itself: {spec.name}")
             seen.add(spec.name)
             _check_column(spec)
         object.__setattr__(self, "unique_keys", tuple(_unique_keys(self.uniqueness, seen)))

@@ -88,6 +88,55 @@ def flag_duplicates(
     return joined.select("*", *flags).drop("_owner_row", "_owned")
 
 
+#: Words of 64 bits in which `contested_bits` marks values: no table of them has more rows than this.
+WORDS = 1 << 17
+
+
+def _place(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(64 * WORDS).cast("bigint"))
+
+
+def contested_bits(df: DataFrame, keys: Sequence[Key], eligible: Column, row: str) -> DataFrame:
+    """(_word, _bits): one bit for each value that more than one row claims.
+
+    Only hashes of values are shuffled, counted map-side first. Values that share a hash or a bit add rows to the exact
+    comparison and change no result. The table has at most `WORDS` rows of two longs, whatever the input.
+    """
+    hashed = candidates(df, keys, eligible, row).select(F.xxhash64("_key", "_value").alias("_hash"))
+    twice = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_claims")).filter("_claims > 1")
+    placed = twice.select(_place(F.col("_hash")).alias("_place"))
+    return placed.groupBy(F.shiftright("_place", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_place & 63 as int))")).alias("_bits"))
+
+
+def mark_suspects(df: DataFrame, keys: Sequence[Key], eligible: Column, bits: DataFrame, name: str) -> DataFrame:
+    """Add a boolean: the row is eligible and one of its values has its bit set. No row is moved."""
+    out, found = df, F.lit(False)
+    for i, key in enumerate(keys):
+        hashed = F.xxhash64(F.lit(i), key_text(key))
+        place = _place(hashed)
+        out = out.join(
+            F.broadcast(bits.select(F.col("_word").alias(f"_word{i}"), F.col("_bits").alias(f"_bits{i}"))),
+            F.shiftright(place, 6) == F.col(f"_word{i}"), "left")
+        mine = F.getbit(F.coalesce(f"_bits{i}", F.lit(0).cast("bigint")), place.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+        found |= (key_text(key) != "") & (mine == 1)
+    return out.select(*[f"`{c}`" for c in df.columns], F.coalesce(eligible & found, F.lit(False)).alias(name))
+
+
+def flag_in_place(df: DataFrame, keys: Sequence[Key], eligible: Column, row: str, names: Sequence[str]) -> DataFrame:
+    """The flags of `flag_duplicates`, for tables whose values are nearly unique.
+
+    Rows whose values nobody else claims stay where they are. The others, which include every claim of every contested
+    value, are compared exactly among themselves, distributed by row number so that a hot value spreads.
+    `df` is computed three times, once of them for its keys only. A null value takes no part.
+    """
+    marked = mark_suspects(df, keys, eligible, contested_bits(df, keys, eligible, row), "_suspect")
+    alone = marked.filter(~F.col("_suspect")).drop("_suspect").select("*", *[F.lit(False).alias(n) for n in names])
+    several = marked.filter("_suspect").drop("_suspect").repartition(F.col(f"`{row}`"))
+    flagged = flag_duplicates(several, keys, eligible, row, names)
+    return alone.unionByName(flagged).withColumns({n: F.coalesce(n, F.lit(False)) for n in names})
+
+
 def stage_contested(
     df: DataFrame, keys: Sequence[Key], eligible: Column, row: str, path: str
 ) -> DataFrame:

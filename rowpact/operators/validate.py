@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from rowpact.contract import ColumnSpec, Contract, RowRule
+from rowpact.contract import ColumnSpec, Contract, ContractError, RowRule, reserved
 from rowpact.fixed_values import DEFAULT_DATE_LAYOUT, MSG_DUPLICATE, MSG_ROW_RULE
 from rowpact.functions.layouts import parse_date
 from rowpact.functions.scalars import age_years
@@ -24,6 +24,7 @@ from rowpact.operators.cleanse import cleanse, fold_empty, transform
 from rowpact.operators.uniqueness import (
     fits_broadcast,
     flag_duplicates,
+    flag_in_place,
     flag_from_contested,
     key_text,
     stage_contested,
@@ -90,6 +91,7 @@ def check_columns(
     A contract column that `df` does not have counts as empty in every row.
     """
     names = contract.names
+    _check_names(df, contract, row)
     others = [f"`{c}`" for c in df.columns if c not in names]
     present = set(df.columns)
     raw = df.select(*others, *[
@@ -136,6 +138,21 @@ def check_columns(
     )
 
 
+def _check_names(df: DataFrame, contract: Contract, row: str) -> None:
+    """Refuses columns that the result could not tell apart."""
+    others = [c for c in df.columns if c not in contract.names]
+    if taken := [c for c in others if reserved(c)]:
+        raise ContractError(f"column names that validation uses itself: {taken}; rename them first")
+    if row in contract.names:
+        raise ContractError(f"the column of row numbers, {row!r}, can't be a contract column")
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true":
+        seen: set[str] = set()
+        for name in [*contract.names, *others]:
+            if name.lower() in seen:
+                raise ContractError(f"column {name!r} differs from another only in case; set spark.sql.caseSensitive")
+            seen.add(name.lower())
+
+
 def rule_condition(rule: RowRule, as_of: Column | dt.date | str | None = None) -> tuple[Column, dict]:
     """(condition, helper columns) of a row rule.
 
@@ -207,13 +224,15 @@ def validate(
     length_unit: str = "bytes",
     enforce_range: bool = True,
     staging: str | None = None,
+    in_place: bool = False,
 ) -> DataFrame:
     """Validate `df`, whose `row` column numbers the rows (unique, in reading order).
 
     Lazy by default: the raw rows are distributed by row number once. Both the search for
     owners and the join back read that one exchange, so the input is scanned once and
     the wider checked rows never move. With `staging` (a shared path) the contested values are
-    written there first; when they are few, no row is shuffled at all.
+    written there first; when they are few, no row is shuffled at all. `in_place` is for input that can be read several times
+    at less cost than shuffling it: only rows with contested values are moved (see `flag_in_place`).
     """
     keys = contract.unique_keys
     flags = [f"_dup_{i}" for i in range(len(keys))]
@@ -232,6 +251,8 @@ def validate(
     else:
         if contested is not None:
             flagged = flag_from_contested(check(df), keys, clean, row, flags, contested)
+        elif in_place:
+            flagged = flag_in_place(check(df), keys, clean, row, flags)
         else:
             by_row = check(df.repartition(_col(row)))
             flagged = flag_duplicates(by_row, keys, clean, row, flags)

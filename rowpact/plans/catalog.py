@@ -11,7 +11,7 @@ from rowpact.functions import scalars
 from rowpact.functions.layouts import format_date, parse_date
 from rowpact.operators import checks, cleanse, outcome, request, resume, summary
 from rowpact.operators.masking import mask_column_value, mask_named
-from rowpact.operators.uniqueness import flag_duplicates
+from rowpact.operators.uniqueness import flag_duplicates, flag_in_place
 from rowpact.operators.validate import (
     RAW,
     check_columns,
@@ -414,6 +414,13 @@ def unique_multi(spark, sf_dir):
         ["dup_custkey", "dup_price", "dup_odate"])
 
 
+@query
+def unique_in_place(spark, sf_dir):
+    """The same as unique_multi; rows whose values nobody else claims are not moved."""
+    keys, names = [("custkey",), ("price",), ("odate",)], ["dup_custkey", "dup_price", "dup_odate"]
+    return flag_in_place(orders_raw(spark, sf_dir), keys, F.lit(True), "row", names).select("row", *names)
+
+
 @query
 def unique_composite(spark, sf_dir):
     return _duplicates(orders_raw(spark, sf_dir), [("custkey", "status")], ["dup_pair"])
@@ -704,6 +711,12 @@ def validate_staged(spark, sf_dir):
     return summary.validation_summary(validated)
 
 
+@query
+def validate_in_place(spark, sf_dir):
+    """The same; only rows with contested values are moved."""
+    return summary.validation_summary(validate(orders_raw(spark, sf_dir), ORDERS, AS_OF, in_place=True))
+
+
 @query
 def first_errors(spark, sf_dir):
     return summary.first_errors(orders_validated(spark, sf_dir))

@@ -414,6 +414,9 @@ def oracles() -> dict[str, str]:
         "unique_multi": with_(ORDERS_RAW, """SELECT row, row_number() OVER (PARTITION BY custkey ORDER BY row) > 1 AS dup_custkey,
             row_number() OVER (PARTITION BY price ORDER BY row) > 1 AS dup_price,
             row_number() OVER (PARTITION BY odate ORDER BY row) > 1 AS dup_odate FROM orders_raw"""),
+        "unique_in_place": with_(ORDERS_RAW, """SELECT row, row_number() OVER (PARTITION BY custkey ORDER BY row) > 1 AS dup_custkey,
+            row_number() OVER (PARTITION BY price ORDER BY row) > 1 AS dup_price,
+            row_number() OVER (PARTITION BY odate ORDER BY row) > 1 AS dup_odate FROM orders_raw"""),
         "unique_composite": with_(ORDERS_RAW, "SELECT row, row_number() OVER (PARTITION BY custkey, status ORDER BY row) > 1 AS dup_pair FROM orders_raw"),
         "row_rules": with_(ORDERS_CHECKED, """SELECT row, 'row rule ''recent'' failed: age(odate) >= 0 && age(odate) <= 4' AS message FROM orders_ruled WHERE columns_ok AND NOT recent_ok
             UNION ALL SELECT row, 'row rule ''big_finished'' failed: NOT (status = ''F'' AND CAST(price AS DECIMAL(12,2)) > 400000)' FROM orders_ruled WHERE columns_ok AND NOT big_ok"""),
@@ -458,6 +461,7 @@ def oracles() -> dict[str, str]:
         "dict_join": "SELECT c_custkey + 1 AS row, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 4",
         "validate_summary": orders_summary,
         "validate_staged": orders_summary,
+        "validate_in_place": orders_summary,
         "first_errors": with_(ORDERS_CHECKED, """, ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY pos) - 1 AS place FROM orders_errors)
             SELECT row, CAST(place AS INTEGER) AS pos, "column", value, message FROM ranked ORDER BY row, place LIMIT 5"""),
         "run_summary": with_(OUTCOMES, """SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'success') AS success,

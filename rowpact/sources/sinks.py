@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowpact.contract import Contract
 from rowpact.fixed_values import (
@@ -17,6 +20,7 @@ from rowpact.operators.masking import mask_column_value, mask_named
 from rowpact.operators.outcome import failure_reason
 from rowpact.operators.request import request_json
 from rowpact.operators.validate import RAW, error_rows
+from rowpact.sources.staging import release, staging_path
 
 _LOGGED = ("success", "failed", "validation_error", "template_error")
 
@@ -110,16 +114,111 @@ def write_jsonl(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path)
 
 
-def write_logs(
-    validated: DataFrame, outcomes: DataFrame, contract: Contract, directory: str, at: Column
-) -> None:
-    """All tables of a run. The two inputs feed several sinks, so both are kept while writing."""
-    validated, outcomes = validated.persist(), outcomes.persist()
+LOGS = ("sent", "request_errors", "validate_errors", "failed_rows")
+#: The file that names the attempt which readers see.
+COMMITTED = "_committed"
+
+
+def _write_all(validated: DataFrame, outcomes: DataFrame, contract: Contract, directory: str, at: Column) -> list[str]:
+    """Writes each log below the directory and returns the names of those written.
+
+    Both inputs feed several logs. They are written once to the shared folder and read from there, so an executor that is lost
+    takes nothing with it that must be computed again.
+    """
+    spark = validated.sparkSession
+    staged = staging_path(spark, "run")
+
+    def once(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.mode("overwrite").parquet(f"{staged}/{name}")
+        return spark.read.schema(frame.schema).parquet(f"{staged}/{name}")
+
     try:
+        validated, outcomes = once(validated, "validated"), once(outcomes, "outcomes")
         write_csv(sent_log(outcomes, contract, at), f"{directory}/sent")
         write_csv(request_error_log(outcomes, contract, at), f"{directory}/request_errors")
         write_csv(validation_log(validated, contract, at), f"{directory}/validate_errors")
-        write_csv_if_any(failed_rows(outcomes, contract), f"{directory}/failed_rows")
+        any_failed = write_csv_if_any(failed_rows(outcomes, contract), f"{directory}/failed_rows")
+    finally:
+        release(spark, staged.rpartition("/")[0])
+    return [name for name in LOGS if any_failed or name != "failed_rows"]
+
+
+def write_logs(
+    validated: DataFrame, outcomes: DataFrame, contract: Contract, directory: str, at: Column
+) -> None:
+    """All tables of a run, one after the other, each in a folder of its own. See `commit_logs` for all or none."""
+    _write_all(validated, outcomes, contract, directory, at)
+
+
+def commit_logs(
+    validated: DataFrame, outcomes: DataFrame, contract: Contract, directory: str, at: Column
+) -> dict[str, str]:
+    """All tables of a run as one commit: `committed` shows every one of them, or the run before.
+
+    The tables go to a folder of this attempt. A file that names the attempt and its tables replaces the last such file by one rename
+    when all are written. What fails before that leaves nothing that readers see. Returns what `committed` does.
+    """
+    spark = validated.sparkSession
+    attempt = f"attempt-{uuid.uuid4().hex}"
+    done = False
+    try:
+        tables = _write_all(validated, outcomes, contract, f"{directory}/{attempt}", at)
+        _replace(spark, f"{directory}/{COMMITTED}", json.dumps({"attempt": attempt, "tables": tables}))
+        done = True
+    finally:
+        if not done:
+            release(spark, f"{directory}/{attempt}")
+    return committed(spark, directory)
+
+
+def committed(spark: SparkSession, directory: str) -> dict[str, str]:
+    """Name and path of each table of the last committed run; empty before the first."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{directory}/{COMMITTED}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return {}
+    stream = files.open(path)
+    try:
+        said = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return {name: f"{directory}/{said['attempt']}/{name}" for name in said["tables"]}
+
+
+def read_log(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table of the last committed run, as text columns."""
+    if name not in LOGS:
+        raise ValueError(f"no such log: {name}")
+    path = committed(spark, directory).get(name)
+    if path is None:
+        raise FileNotFoundError(f"no committed run in {directory} has a table {name}")
+    return spark.read.options(header=True, quote='"', escape='"', multiLine=True).csv(path)
+
+
+def expire_attempts(spark: SparkSession, directory: str) -> int:
+    """Removes the folders of attempts that are not the committed one; not while another attempt is being written."""
+    current = {path.split("/")[-2] for path in committed(spark, directory).values()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in files.listStatus(path) if x.getPath().getName().startswith("attempt-") and x.getPath().getName() not in current]
+    for x in old:
+        files.delete(x, True)
+    return len(old)
+
+
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file under another name and renames it over the one that is there."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    target, other = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = other.getFileSystem(settings).create(other, True)
+    try:
+        stream.write(text.encode())
     finally:
-        outcomes.unpersist()
-        validated.unpersist()
+        stream.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(settings).getUri(), settings)
+    files.rename(other, target, how)
