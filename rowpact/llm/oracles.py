@@ -63,24 +63,33 @@ FROM based
 """
 
 OP2 = r"""
-WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, text AS whole_text, string_split(coalesce(text, ''), chr(10)) AS l
+  FROM (SELECT DISTINCT doc_id, text FROM documents)),
 numbered AS (SELECT r, doc_id, l, unnest(l) AS line, unnest(range(len(l))) AS j FROM split),
 trimmed AS (SELECT r, doc_id, j, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM numbered),
-full_lines AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY j) - 1 AS p FROM trimmed WHERE t <> ''),
+full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY j) - 1 AS p, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM trimmed WHERE t <> ''),
+nexts AS (
+  SELECT r, doc_id, p, t, w, lead(t) OVER n AS t1, lead(w) OVER n AS w1, lead(t, 2) OVER n AS t2
+  FROM full_lines WINDOW n AS (PARTITION BY r ORDER BY p)),
 grouped AS (
-  SELECT r, doc_id, p, t || chr(10) || lead(t) OVER w || chr(10) || lead(t, 2) OVER w AS g FROM full_lines WINDOW w AS (PARTITION BY r ORDER BY p)),
+  SELECT r, doc_id, p, 1 AS n, t AS g FROM nexts WHERE w > 50 UNION ALL
+  SELECT r, doc_id, p, 2, t || chr(10) || t1 FROM nexts WHERE w + w1 > 50 UNION ALL
+  SELECT r, doc_id, p, 3, t || chr(10) || t1 || chr(10) || t2 FROM nexts WHERE t2 IS NOT NULL),
 later AS (
-  SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM grouped WHERE g IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT r, unnest(range(p, p + 3)) AS p FROM later),
+  SELECT r, p, n FROM (SELECT r, p, n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, r, p) AS k FROM grouped) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + n)) AS p FROM later),
 marked AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) = 1 THEN 0 ELSE 1 END AS first FROM gone),
 counts AS (SELECT r, count(*) AS n_removed, sum(first) AS n_runs FROM marked GROUP BY r),
 kept AS (
   SELECT n.r, string_agg(n.line, chr(10) ORDER BY n.j) AS text FROM trimmed n LEFT JOIN full_lines f ON n.r = f.r AND n.j = f.j
   LEFT JOIN gone ON gone.r = n.r AND gone.p = f.p WHERE gone.p IS NULL GROUP BY n.r),
 sizes AS (SELECT r, count(*) AS n_lines FROM full_lines GROUP BY r)
-SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(text, '')) AS kept_sha256
-FROM split LEFT JOIN sizes USING (r) LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d JOIN split s ON d.doc_id IS NOT DISTINCT FROM s.doc_id AND d.text IS NOT DISTINCT FROM s.whole_text
+LEFT JOIN sizes USING (r) LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
 """
 
 _OP11_ROUND = """

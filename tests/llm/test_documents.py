@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small tables with every odd case."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from rowpact.llm import decontaminate, jaccard, linededup, mixing, quality, repair, suffixes
+from rowpact.llm import decontaminate, jaccard, linededup, mixing, oracles, quality, repair, suffixes
 from tests.llm.conftest import EDGES
 
 BENCHMARK = "item_id long, text string"
@@ -87,19 +88,22 @@ def test_contamination_of_empty_tables(llm, scratch, documents):
 
 # --- 2
 
-def brute_lines(docs, run=3):
+def brute_lines(docs, run=3, words=50):
     places = {}
     order = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in docs if r[1] is not None}, key=lambda x: x[:2])
     gone = collections.defaultdict(set)
     for known, doc, text in order:
         lines = [x.strip(" \t\x0b\x0c\r") for x in text.split("\n")]
         full = [x for x in lines if x]
-        for k in range(len(full) - run + 1):
-            g = tuple(full[k : k + run])
-            if g in places:
-                gone[known, doc, text] |= set(range(k, k + run))
-            else:
-                places[g] = True
+        for n in range(1, run + 1):
+            for k in range(len(full) - n + 1):
+                g = tuple(full[k : k + n])
+                if n < run and len(BLANKS.findall(" ".join(g))) <= words:
+                    continue
+                if g in places:
+                    gone[known, doc, text] |= set(range(k, k + n))
+                else:
+                    places[g] = True
     out = []
     for r in docs:
         key = (r[0] is not None, r[0] or 0, r[1])
@@ -138,6 +142,30 @@ def test_lines(scratch, documents):
     assert empty.count() == 0
 
 
+def test_long_passages_in_few_lines(scratch, documents):
+    """More than fifty words in one or two lines are a run; fifty are not. Equal rows are one place, in the SQL too."""
+    def words(mark, n):
+        return " ".join(f"{mark}{k}" for k in range(n))
+
+    one, two, half, short = words("a", 51), f"{words('b', 30)}\n{words('c', 21)}", words("d", 50), words("e", 20)
+    texts = [f"x1\n{one}\ny1", f"x2\n{two}\ny2", f"x3\n{half}\ny3", f"x4\n \n{one} \n{short}\ny4", f"x5\n{two}\n{half}\ny5",
+             f"{half}\nx6\n{one}\n{short}\n", one, f"{one}\n{one}"]
+    rows = [(k, x, "en", "a") for k, x in enumerate([*texts, None, "", texts[1]])]
+    rows += [rows[3], rows[3], (None, f"{two}\nz", "en", "a")]
+    docs = documents(rows)
+    found, at = linededup.cut(docs, scratch)
+    got = sorted([(r["doc_id"], r["text"], r[at]["n_lines"], r[at]["n_removed"]) for r in found.collect()], key=repr)
+    assert got == brute_lines(rows)
+    removed = {r[0]: r[3] for r in got}
+    assert removed == {None: 0, 0: 0, 1: 2, 2: 0, 3: 1, 4: 2, 5: 2, 6: 1, 7: 2, 8: 0, 9: 0, 10: 4}
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    sql = sorted([tuple(r) for r in con.execute(oracles.OP2).fetchall()], key=repr)
+    assert sql == sorted([(r["doc_id"], *r[at], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in found.collect()], key=repr)
+
+
 # --- 3
 
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
