@@ -1,9 +1,15 @@
 """Token-ID output with Re-Pair grammar compression.
 
 Documents are dealt by range of their id and sorted within it; each task encodes its texts, appends END to each and packs the ids
-into shards of about SHARD_IDS. A shard is compressed on its own: ROUNDS times, the most frequent pairs of neighbours within
-documents (PAIRS at a time, MIN_COUNT occurrences or more) become new symbols. A file holds the rules, the length that each symbol
-expands to, and where each document's symbols begin, so any document is decoded from its own byte range.
+into shards of about SHARD_IDS. A shard is compressed on its own: pairs of neighbours within documents become new symbols, the most
+frequent first, until no pair has MIN_COUNT occurrences that don't overlap. A file holds the ids that occur in it (symbols number these, then the
+rules), the rules, the length that each symbol expands to, and where each document's symbols begin, so any document is decoded
+from its own byte range.
+
+Pairs are replaced in rounds. A round takes all pairs with at least a floor of occurrences; the floor falls by STEP from round
+to round, to MIN_COUNT. Where two such pairs overlap the more frequent one wins, so the most frequent pair of a round is replaced
+wherever it stands, and rounds go on as long as there is one. Once the floor is MIN_COUNT, counts of pairs without a new symbol
+can only fall, so only places beside new symbols, and those of pairs that were often enough before, are counted again.
 
 A task attempt writes files under names of its own and returns a row for each; that table of files is written by Spark, which keeps
 one attempt per task, and readers open only files in it. Files of lost attempts are never read.
@@ -37,13 +43,12 @@ from rowpact.llm.common import Scratch, filesystem, read_range
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 SHARD_IDS = 1 << 20
-ROUNDS = 8
-PAIRS = 512  # at a time; ties go with them, below 2 ** 15 in all
+STEP = 4
 MIN_COUNT = 8
-BIN_BITS = 19
+BIN_BITS = 18
 CACHE = 700_000
-MAGIC = b"RPIDS001"
-#: magic, first nonterminal, rules, documents, ids, bytes of a symbol
+MAGIC = b"RPIDS002"
+#: magic, different ids, rules, documents, ids, bytes of a symbol
 _HEAD = struct.Struct("<8sQQQQQ")
 
 
@@ -137,50 +142,83 @@ def encoder(path: str, whole: bool = False) -> Encoder:
     return _encoders[path, whole]
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pairs(symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (symbols[at].astype(np.uint64) << np.uint64(32)) | symbols[at + 1]
+
+
+def _full(symbols: np.ndarray, last: np.ndarray, floor: int | None, least: int) -> tuple[np.ndarray, int]:
+    """The places whose pair may come floor times or more, told by counts of bins, and the floor (a first one from the fullest bin).
+    Pairs across the end of a document go to a bin of their own, which is not looked at."""
+    pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int32)
+    bins[last[:-1]] = 1 << BIN_BITS
+    counts = np.bincount(bins, minlength=(1 << BIN_BITS) + 1)
+    counts[-1] = 0
+    floor = floor or max(least, int(counts.max()) // STEP)
+    return np.flatnonzero((counts >= floor)[bins]), floor
+
+
+def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which places are replaced: of neighbours the one of the better rank, then, beside places that lost to none of these, again."""
+    chosen, free = np.zeros(len(at), bool), np.arange(len(at))
+    for _ in range(2):
+        order, touch = rank[free], np.diff(at[free]) == 1
+        win, lose = np.ones(len(free), bool), np.zeros(len(free), bool)
+        win[1:] &= ~(touch & (order[1:] > order[:-1]))
+        win[:-1] &= ~(touch & (order[:-1] > order[1:]))
+        lose[1:] |= touch & win[:-1]
+        lose[:-1] |= touch & win[1:]
+        chosen[free[win]] = True
+        free = free[~win & ~lose]
+    return chosen
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, symbols of each document, rules (left, right) of the symbols from base on."""
-    symbols = ids.astype(np.uint64)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
-    top = base
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pair = (symbols[:-1] << np.uint64(32)) | symbols[1:]
-        # Pairs are counted by bin; the fullest bins each put one pair forward, which is then counted exactly. Pairs across
-        # the end of a document go to a bin of their own, which is not looked at.
-        bins = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).view(np.int64)
-        bins[last[:-1]] = 1 << BIN_BITS
-        counts = np.bincount(bins, minlength=(1 << BIN_BITS) + 1)
-        counts[-1] = 0
-        most = counts[counts >= MIN_COUNT]
-        floor = np.partition(most, -PAIRS)[-PAIRS] if len(most) > PAIRS else MIN_COUNT
-        full = np.flatnonzero(counts >= floor)[: 1 << 14]
-        slot = np.full((1 << BIN_BITS) + 1, -1, np.int16)
-        slot[full] = np.arange(len(full))
-        which = slot[bins]
-        at = np.flatnonzero(which >= 0)
-        which = which[at].astype(np.int64)
-        forward = np.zeros((1 << BIN_BITS) + 1, np.uint64)
-        forward[full[which]] = pair[at]
-        same = forward[full][which] == pair[at]
-        at, which = at[same], which[same]
-        often = np.bincount(which, minlength=len(full)) >= MIN_COUNT
-        best, at, which = forward[full][often], at[often[which]], (np.cumsum(often) - 1)[which[often[which]]]
-        if not len(best):
-            break
-        # Of neighbouring places that overlap, every other one from the left.
-        run = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
-        nth = np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))
-        at, which = at[nth % 2 == 0], which[nth % 2 == 0]
-        symbols[at] = which.astype(np.uint64) + np.uint64(top)
-        last[at] = last[at + 1]
+    top, floor, live = base, None, None
+    while len(symbols) > 1:
+        if live is None:
+            at, floor = _full(symbols, last, floor, least)
+        else:
+            at = np.flatnonzero(live[:-1] & ~last[:-1])
+        names, which = np.unique(_pairs(symbols, at), return_inverse=True)
+        # A pair of equal symbols overlaps itself: of a run every other place counts, from the left.
+        same = np.zeros(len(at), bool)
+        same[1:] = (np.diff(at) == 1) & (which[1:] == which[:-1])
+        begin = np.flatnonzero(~same)
+        counted = (np.arange(len(at)) - np.repeat(begin, np.diff([*begin, len(at)]))) % 2 == 0
+        counts = np.bincount(which[counted], minlength=len(names))
+        frequent = (counts >= floor)[which]
+        rank = np.empty(len(names), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(names))
+        pick = np.flatnonzero(frequent & counted)
+        pick = pick[_without_overlap(at[pick], rank[which[pick]])]
+        made = np.bincount(which[pick], minlength=len(names)) >= least
+        if not made.any():
+            if floor == least:
+                break
+            floor = max(least, floor // STEP)
+            continue
+        pick = pick[made[which[pick]]]
+        put = at[pick]
+        if floor == least:
+            live = np.zeros(len(symbols), bool)
+            live[at[frequent]] = True
+        symbols[put] = (np.cumsum(made) - 1)[which[pick]] + top
+        last[put] = last[put + 1]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
+        keep[put + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([best >> np.uint64(32), best & np.uint64(0xFFFFFFFF)], 1))
-        top += len(best)
+        if live is not None:
+            live, now = live[keep], put - np.arange(len(put))
+            live[now] = live[np.maximum(now - 1, 0)] = True
+        rules.append(np.stack([names[made] >> np.uint64(32), names[made] & np.uint64(0xFFFFFFFF)], 1))
+        top += int(made.sum())
+        floor = max(least, floor // STEP)
     own = np.zeros(len(lengths), np.int64)
     own[lengths > 0] = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
     return symbols, own, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)
@@ -234,17 +272,22 @@ class Expansion:
         return out
 
 
-def write_shard(uri: str, doc_ids: list, ids: list[bytes], base: int) -> tuple[int, int]:
+def write_shard(uri: str, doc_ids: list, ids: list[bytes]) -> tuple[int, int]:
     """Writes a file; its number of ids and of bytes.
 
-    Layout: head, rules, expansion lengths, document ids (8 bytes, 1 byte for null), first symbol and first id of each document (one
+    Layout: head, different ids, rules, expansion lengths, document ids (8 bytes, 1 byte for null), first symbol and first id of each document (one
     more than documents), symbols.
     """
     lengths = np.array([len(x) // 4 for x in ids], np.int64)
-    symbols, own, rules = compress(np.frombuffer(b"".join(ids), "<u4"), lengths, base)
+    every = np.frombuffer(b"".join(ids), "<u4")
+    seen = np.bincount(every) > 0
+    alphabet = np.flatnonzero(seen)
+    base = len(alphabet)
+    symbols, own, rules = compress((np.cumsum(seen) - 1)[every], lengths, base)
     kind = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
     out = io.BytesIO()
     out.write(_HEAD.pack(MAGIC, base, len(rules), len(ids), int(lengths.sum()), np.dtype(kind).itemsize))
+    out.write(alphabet.astype("<u4").tobytes())
     out.write(rules.astype("<u4").tobytes())
     out.write(expansions(rules, base)[base:].astype("<u4").tobytes())
     out.write(np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes())
@@ -267,7 +310,7 @@ class Shard:
         magic, self.base, rules, self.docs, self.ids, self.width = _HEAD.unpack(read_range(uri, 0, _HEAD.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is not a file of token ids")
-        size = 12 * rules + 9 * self.docs + 16 * (self.docs + 1)
+        size = 4 * self.base + 12 * rules + 9 * self.docs + 16 * (self.docs + 1)
         table = read_range(uri, _HEAD.size, size)
         if len(table) != size:
             raise ValueError(f"{uri} is cut short")
@@ -278,6 +321,7 @@ class Shard:
             at += np.dtype(kind).itemsize * n
             return np.frombuffer(table, kind, n, at - np.dtype(kind).itemsize * n)
 
+        self.alphabet = take("<u4", self.base)
         self.rules = take("<u4", 2 * rules).reshape(-1, 2)
         self.expansions = take("<u4", rules)
         self.doc_ids, self.null = take("<i8", self.docs), take("u1", self.docs)
@@ -289,7 +333,7 @@ class Shard:
         """The ids of the documents start, ..., stop - 1, from their own bytes."""
         a, b = self.first_symbol[start], self.first_symbol[stop]
         data = read_range(self.uri, int(self.body + a * self.width), int((b - a) * self.width))
-        ids = self.expand(np.frombuffer(data, f"<u{self.width}"))
+        ids = self.alphabet[self.expand(np.frombuffer(data, f"<u{self.width}"))]
         if len(ids) != self.first_id[stop] - self.first_id[start]:
             raise ValueError(f"{self.uri} does not expand to what it says")
         return ids
@@ -310,7 +354,7 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, id_co
         def flush():
             nonlocal held, n, seq
             uri = f"{folder}/{part:06d}-{seq:05d}-{uuid.uuid4().hex}.ids"
-            ids, size = write_shard(uri, *held, encode.base)
+            ids, size = write_shard(uri, *held)
             row = pa.RecordBatch.from_pydict({"uri": [uri], "part": [part], "seq": [seq], "n_docs": [len(held[0])], "n_ids": [ids], "n_bytes": [size]})
             held, n, seq = ([], []), 0, seq + 1
             return row

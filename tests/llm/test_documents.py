@@ -460,3 +460,35 @@ def test_grammar_round_trip(seed):
     assert [int(n[symbols[e - o : e].astype(int)].sum()) for o, e in zip(own, ends)] == lengths.tolist()
     if seed in (0, 1, 3):
         assert len(symbols) < len(ids) / 2
+    assert not frequent_pairs(symbols, own, repair.MIN_COUNT)
+    # Every rule is used, and made of symbols before it.
+    assert set(range(1000, 1000 + len(rules))) <= set(symbols.tolist()) | set(rules.ravel().tolist())
+    assert (rules.max(1) < np.arange(len(rules)) + 1000).all()
+
+
+def frequent_pairs(symbols, own, least):
+    """Pairs of neighbours within documents with so many occurrences that don't overlap, counted one by one."""
+    counts, ends = collections.Counter(), np.cumsum(own)
+    for a, b in zip(ends - own, ends, strict=True):
+        before = None
+        for pair in zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist(), strict=True):
+            if pair[0] == pair[1] and pair == before:
+                before = None
+                continue
+            counts[pair] += 1
+            before = pair
+    return {p: n for p, n in counts.items() if n >= least}
+
+
+def test_grammar_goes_on_to_its_end():
+    """Words from few letters, in many documents of equal passages: rules of rules, overlapping pairs, runs of one id."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 30, rng.integers(1, 7)) for _ in range(400)]
+    words += [np.full(k, 7) for k in range(2, 30)]
+    passages = [np.concatenate([words[k] for k in rng.integers(0, len(words), 40)]) for _ in range(60)]
+    docs = [np.concatenate([passages[k] for k in rng.integers(0, 60, rng.integers(1, 4))] + [words[k] for k in rng.zipf(1.3, 30) % 400]) for _ in range(500)]
+    docs[3:3] = [np.zeros(0, int)]
+    lengths, ids = np.array([len(x) for x in docs]), np.concatenate(docs)
+    symbols, own, rules = repair.compress(ids, lengths, 30)
+    assert (repair.expand(symbols, rules, 30) == ids).all() and not frequent_pairs(symbols, own, repair.MIN_COUNT)
+    assert len(symbols) < len(ids) / 8
