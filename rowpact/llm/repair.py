@@ -74,7 +74,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
-        self.known, self.parts = {}, {}
+        #: Ids of strings between white spaces, and of words in them; a line feed stands between two strings.
+        self.known, self.parts = {}, {"\n": b""}
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pattern, self.last = self._words()
 
@@ -88,7 +89,7 @@ class Encoder:
             return None, None
         last = np.zeros(self.base, bool)
         last[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if x.endswith(end)]] = True
-        return regex.compile(cut["pattern"]["Regex"]), last
+        return regex.compile(f"\n|{cut['pattern']['Regex']}"), last
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,16 +104,22 @@ class Encoder:
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _encode_new(self, texts: list[str]) -> list[bytes]:
-        """Of strings without white space."""
+        """Of strings without white space. Plain ones are cut into words in one pass over all of them, line feeds between."""
         if self.pattern is None:
             return self._encode(texts)
-        cut = [self.pattern.findall(x.lower()) if self._PLAIN.fullmatch(x) and "<|" not in x else None for x in texts]
-        new = [x for x in dict.fromkeys(itertools.chain.from_iterable(filter(None, cut))) if x not in self.parts]
-        self.parts.update(zip(new, self._encode_words(new), strict=True))
-        odd = iter(self._encode([x for x, c in zip(texts, cut, strict=True) if c is None]))
-        get = self.parts.__getitem__
-        out = [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
+        plain = [self._PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
+        odd = iter(self._encode([x for x, p in zip(texts, plain, strict=True) if not p]))
+        words = self.pattern.findall("\n".join(itertools.compress(texts, plain)).lower())
+        found = list(map(self.parts.get, words))
+        new = list(dict.fromkeys(itertools.compress(words, [x is None for x in found])))
+        if new:
+            self.parts.update(zip(new, self._encode_words(new), strict=True))
+            found = list(map(self.parts.__getitem__, words))
+        cuts = [k for k, x in enumerate(words) if x == "\n"]
+        ends = iter(zip([0, *cuts], [*cuts, len(words)], strict=True))
+        out = [b"".join(found[slice(*next(ends))]) if p else next(odd) for p in plain]
         self.parts = _trimmed(self.parts, CACHE)
+        self.parts["\n"] = b""
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
