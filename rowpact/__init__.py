@@ -10,7 +10,7 @@ from rowpact.contract import (
     RowRule,
     UniqueRule,
 )
-from rowpact.operators.outcome import collapse_attempts, row_outcomes
+from rowpact.operators.outcome import collapse_attempts, row_outcomes, row_states
 from rowpact.operators.request import RequestSpec, preview, render
 from rowpact.operators.summary import (
     ContractViolation,
@@ -28,6 +28,6 @@ __all__ = [
     "PatternRule", "RequestSpec", "RowRule", "UniqueRule", "collapse_attempts", "commit_logs",
     "committed", "error_rows",
     "failed_rows", "first_errors", "invalid_rows", "preview", "read_csv", "read_log", "read_numbered_csv",
-    "render", "row_outcomes", "run_summary", "strict_gate", "typed", "valid_rows", "validate",
+    "render", "row_outcomes", "row_states", "run_summary", "strict_gate", "typed", "valid_rows", "validate",
     "validation_summary", "write_logs",
 ]

@@ -21,7 +21,7 @@ from rowpact.fixed_values import (
     TOO_MANY_REQUESTS,
 )
 from rowpact.functions.scalars import json_valid
-from rowpact.operators.lookup import lookup_join
+from rowpact.operators.lookup import counted_join
 from rowpact.operators.request import RequestSpec, request_id
 from rowpact.operators.resume import hash_facts
 from rowpact.operators.validate import RAW
@@ -132,37 +132,27 @@ def collapse_attempts(
     )
 
 
-def row_outcomes(
+def row_states(
     requests: DataFrame,
     responses: DataFrame,
-    contract: Contract,
     checkpoint: DataFrame | None = None,
     row: str = "row",
 ) -> DataFrame:
-    """One line per input row with what became of it.
+    """What became of each input row, without the row's own columns: all that summaries and progress need.
 
-    `requests` is `render(validate(...))`, best read back from a written table, because it
-    is read for the join, for the hashes of successful rows and for frequent hashes.
+    `requests` is `render(validate(...))`, best read back from a written table; only its row, hash and verdicts are read, twice.
     `responses` has one row per request (see `collapse_attempts`). Rows whose hash is in
     `checkpoint`, or equals that of an earlier successful row, count as skipped. A valid row
     without a response is `pending`.
+
+    Verdicts meet responses by row. What is known of each hash is one aggregate of them, which also says how many rows have it,
+    so that frequent hashes are spread without a job of their own.
     """
-    base = requests.select(
-        row,
-        request_id(contract.names, row).alias("request_id"),
-        F.when(F.col("valid"), F.col("request.request_hash")).alias("request_hash"),
-        "valid",
-        "rendered",
-        *[F.col(f"`{RAW}{n}`") for n in contract.names],
-        *[F.col(f"`{n}`").alias(f"_data_{n}") for n in contract.names],
-    )
-    succeeded = responses.filter("success").select(row)
-    sendable = base.filter(F.col("valid") & F.col("rendered")).select(row, "request_hash")
-    facts = hash_facts(sendable.join(succeeded, row), checkpoint, row)
+    base = requests.select(row, F.when(F.col("valid"), F.col("request.request_hash")).alias("request_hash"), "valid", "rendered")
     answered = base.join(responses, row, "left")
-    flagged = lookup_join(
-        answered, facts, "request_hash", ["_first_success", "_done"], row,
-        keys_from=base.select("request_hash"))
+    succeeded = F.col("valid") & F.col("rendered") & F.coalesce("success", F.lit(False))
+    facts = hash_facts(answered.select(row, "request_hash", succeeded.alias("_ok")), "_ok", checkpoint, row)
+    flagged = counted_join(answered, facts, "request_hash", ["_first_success", "_done"], "_rows", row)
     repeated = F.coalesce(F.col("_first_success") < F.col(row), F.lit(False))
     processed = F.coalesce("_done", F.lit(False))
     outcome = (
@@ -183,7 +173,6 @@ def row_outcomes(
         .when(sent, F.col("error_detail")).otherwise(F.lit("")))
     return named.select(
         row,
-        "request_id",
         "request_hash",
         "outcome",
         F.when(sent, F.col("status_code")).otherwise(F.lit(0)).cast("int").alias("status_code"),
@@ -196,6 +185,30 @@ def row_outcomes(
         F.when(sent, F.col("headers")).alias("headers"),
         F.when(sent, F.col("started_at")).alias("started_at"),
         F.when(sent, F.col("ts")).alias("ts"),
+    )
+
+
+def row_outcomes(
+    requests: DataFrame,
+    responses: DataFrame,
+    contract: Contract,
+    checkpoint: DataFrame | None = None,
+    row: str = "row",
+) -> DataFrame:
+    """One line per input row with what became of it (see `row_states`), its raw and its processed values.
+
+    The wide columns take no part in finding that out: they are joined once, at the end, by row number, which is unique.
+    """
+    states = row_states(requests, responses, checkpoint, row)
+    wide = requests.select(
+        F.col(row).alias("_own_row"),
+        request_id(contract.names, row).alias("request_id"),
+        *[F.col(f"`{RAW}{n}`") for n in contract.names],
+        *[F.col(f"`{n}`").alias(f"_data_{n}") for n in contract.names],
+    )
+    joined = wide.join(states, F.col("_own_row") == F.col(row))
+    return joined.select(
+        row, "request_id", *[c for c in states.columns if c != row],
         *[F.col(f"`{RAW}{n}`") for n in contract.names],
         *[F.col(f"`_data_{n}`") for n in contract.names],
     )

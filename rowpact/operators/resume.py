@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowpact.operators.lookup import lookup_join
+from rowpact.operators.lookup import counted_join, lookup_join
 
 
 def flag_processed(requests: DataFrame, checkpoint: DataFrame, row: str = "row") -> DataFrame:
@@ -14,28 +14,21 @@ def flag_processed(requests: DataFrame, checkpoint: DataFrame, row: str = "row")
     return flagged.withColumn("processed", F.coalesce("_done", F.lit(False))).drop("_done")
 
 
-def first_successes(outcomes: DataFrame, row: str = "row") -> DataFrame:
-    """(request_hash, _first_success): the first row that succeeded with each hash."""
+def hash_facts(rows: DataFrame, success: str, checkpoint: DataFrame | None = None, row: str = "row") -> DataFrame:
+    """(request_hash, _first_success, _done, _rows): all that is known about each hash that has succeeded or is done, and how
+    many rows have it. One aggregate, combined before the shuffle; `rows` has the hash, the row and whether it succeeded."""
+    facts = rows.filter(F.col("request_hash").isNotNull()).select(
+        "request_hash", F.when(F.col(success), F.col(row)).alias("_first_success"), F.lit(False).alias("_done"),
+        F.lit(1).alias("_rows"))
+    if checkpoint is not None:
+        done = checkpoint.filter(F.col("request_hash").isNotNull()).select(
+            "request_hash", F.lit(None).cast(facts.schema["_first_success"].dataType).alias("_first_success"),
+            F.lit(True).alias("_done"), F.lit(0).alias("_rows"))
+        facts = facts.unionByName(done)
     return (
-        outcomes.filter(F.col("request_hash").isNotNull())
-        .groupBy("request_hash")
-        .agg(F.min(row).alias("_first_success"))
-    )
-
-
-def hash_facts(successes: DataFrame, checkpoint: DataFrame | None, row: str = "row") -> DataFrame:
-    """(request_hash, _first_success, _done): all that is known about a hash, one row each."""
-    first = first_successes(successes, row).withColumn("_done", F.lit(False))
-    if checkpoint is None:
-        return first
-    done = checkpoint.select(
-        "request_hash",
-        F.lit(None).cast(first.schema["_first_success"].dataType).alias("_first_success"),
-        F.lit(True).alias("_done"),
-    )
-    return (
-        first.unionByName(done).groupBy("request_hash")
-        .agg(F.min("_first_success").alias("_first_success"), F.bool_or("_done").alias("_done"))
+        facts.groupBy("request_hash")
+        .agg(F.min("_first_success").alias("_first_success"), F.bool_or("_done").alias("_done"), F.sum("_rows").alias("_rows"))
+        .filter((F.col("_rows") > 0) & (F.col("_done") | F.col("_first_success").isNotNull()))
     )
 
 
@@ -51,8 +44,7 @@ def skipped_requests(requests: DataFrame, checkpoint: DataFrame, row: str = "row
 
 def flag_repeated(outcomes: DataFrame, success: str = "success", row: str = "row") -> DataFrame:
     """Add `repeated`: an earlier row with the same hash has succeeded in this run."""
-    first = first_successes(outcomes.filter(F.col(success)), row)
-    flagged = lookup_join(outcomes, first, "request_hash", ["_first_success"], row)
+    flagged = counted_join(outcomes, hash_facts(outcomes, success, row=row), "request_hash", ["_first_success"], "_rows", row)
     later = F.coalesce(F.col("_first_success") < F.col(row), F.lit(False))
     return flagged.withColumn("repeated", later).drop("_first_success")
 

@@ -40,7 +40,7 @@ def gate_status(validated: DataFrame) -> DataFrame:
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
-    """Counters of a run. Template errors are neither successes nor failures."""
+    """Counters of a run, from `row_states` or `row_outcomes`. Template errors are neither successes nor failures."""
     state = F.col("outcome")
     first, last = F.min("started_at"), F.max("ts")
     return outcomes.agg(
@@ -58,7 +58,7 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
 
 
 def progress(outcomes: DataFrame) -> DataFrame:
-    """Share of rows that have been dealt with."""
+    """Share of rows that have been dealt with, from `row_states` or `row_outcomes`."""
     done = F.count_if(F.col("outcome") != "pending")
     total = F.count(F.lit(1))
     share = F.when(total == 0, F.lit(0.0)).otherwise(done / total)

@@ -104,6 +104,12 @@ def run_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         requests, responses(spark, sf_dir), CUSTOMERS, earlier_hashes(requests, sf_dir))
 
 
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without the rows' own columns."""
+    requests = staged_requests(spark, sf_dir)
+    return outcome.row_states(requests, responses(spark, sf_dir), earlier_hashes(requests, sf_dir))
+
+
 def one_check(df: DataFrame, spec: ColumnSpec, column: str) -> DataFrame:
     """row and message of one column's checks; '' where it passes."""
     value = F.col(column)
@@ -724,7 +730,7 @@ def first_errors(spark, sf_dir):
 
 @query
 def run_summary(spark, sf_dir):
-    counters = summary.run_summary(run_outcomes(spark, sf_dir))
+    counters = summary.run_summary(run_states(spark, sf_dir))
     return counters.drop("start", "end")
 
 
@@ -753,7 +759,7 @@ def mask_values(spark, sf_dir):
 
 @query
 def progress(spark, sf_dir):
-    return summary.progress(run_outcomes(spark, sf_dir))
+    return summary.progress(run_states(spark, sf_dir))
 
 
 # --- streams ---------------------------------------------------------------------------

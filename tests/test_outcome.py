@@ -1,12 +1,13 @@
 import datetime as dt
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowpact import RequestSpec, collapse_attempts, render, row_outcomes, run_summary, validate
+from rowpact import RequestSpec, collapse_attempts, render, row_outcomes, row_states, run_summary, validate
 from rowpact.operators import outcome, resume, summary
-from rowpact.operators.lookup import lookup_join
+from rowpact.operators.lookup import counted_join, lookup_join
 from rowpact.sources import sinks
 from tests.sample import AS_OF, CONTRACT, ROWS, SCHEMA, SPEC
 
@@ -188,3 +189,61 @@ def test_in_run_repeats(spark):
     df = spark.createDataFrame(rows, "row bigint, request_hash string, success boolean")
     assert {r["row"]: r["repeated"] for r in resume.flag_repeated(df).collect()} == {
         1: False, 2: False, 3: True, 4: True, 5: False, 6: False}
+
+
+def many_requests(spark, folder):
+    """300 rows in a written table, a third of them with one hash, some invalid, some without a request; their responses."""
+    contract = type(CONTRACT).from_dict({"version": 1, "columns": [{"name": "v", "type": "string", "required": True}]})
+    rows = [(k, "hot" if k % 3 == 0 else "" if k % 7 == 0 else "no url" if k % 11 == 0 else f"v{k % 40}") for k in range(1, 301)]
+    spec = RequestSpec(method="GET", url=F.when(F.col("v") != "no url", F.col("v")), sources={"url": "{v}"}, status_in=(200,))
+    render(validate(spark.createDataFrame(rows, "row bigint, v string"), contract), spec, contract).write.parquet(folder)
+    requests = spark.read.parquet(folder)
+    answers = [(k, at(0), 200 if k % 5 == 0 else 404, "", "", None) for k in range(1, 301) if k % 13]
+    responses = collapse_attempts(spark.createDataFrame(answers, ATTEMPTS), spec)
+    checkpoint = requests.filter("v = 'v8'").select("request.request_hash").unionByName(
+        spark.createDataFrame([(None,), ("of no row",)], "request_hash string"))
+    return rows, requests, responses, contract, checkpoint
+
+
+def brute_outcomes(rows):
+    ok = {k for k, v in rows if v not in ("", "no url") and k % 5 == 0 and k % 13}
+    first = {}
+    for k, v in rows:
+        if k in ok:
+            first.setdefault(v, k)
+    return {k: "validation_error" if v == "" else "skipped" if v == "v8" or first.get(v, k) < k else "template_error" if v == "no url"
+            else "pending" if k % 13 == 0 else "success" if k % 5 == 0 else "failed" for k, v in rows}
+
+
+@pytest.mark.parametrize("hot_rows", [20, 100_000])
+def test_wide_columns_come_last(spark, tmp_path, monkeypatch, hot_rows):
+    """States, whichever way a frequent hash takes, are those of a loop over the rows; building them runs no job."""
+    monkeypatch.setattr(outcome, "counted_join", functools.partial(counted_join, hot_rows=hot_rows))
+    rows, requests, responses, contract, checkpoint = many_requests(spark, str(tmp_path / "requests"))
+    spark.sparkContext.setJobGroup("building", "")
+    states = row_states(requests, responses, checkpoint)
+    outcomes = row_outcomes(requests, responses, contract, checkpoint)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("run", "")
+    assert {r["row"]: r["outcome"] for r in states.collect()} == brute_outcomes(rows)
+    assert {r["row"]: (r["outcome"], r["_raw_v"]) for r in outcomes.collect()} == {
+        k: (brute_outcomes(rows)[k], v) for k, v in rows}
+    assert sorted(map(str, outcomes.select(states.columns).collect())) == sorted(map(str, states.collect()))
+    assert run_summary(states).first() == run_summary(outcomes).first()
+
+    def steps(df):
+        """The plan's lines but for the tables, which name all that they have."""
+        return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" not in x]
+
+    # Summaries know no wide column; of the outcomes' joins only the last one has any.
+    assert not any("_raw_v" in x for df in (run_summary(states), summary.progress(states)) for x in steps(df))
+    joins = [k for k, x in enumerate(steps(outcomes)) if "Join " in x]
+    assert max(k for k, x in enumerate(steps(outcomes)) if "_raw_v" in x) < joins[1]
+
+
+def test_outcomes_of_empty_tables(spark, tmp_path):
+    rows, requests, responses, contract, checkpoint = many_requests(spark, str(tmp_path / "requests"))
+    assert row_outcomes(requests.limit(0), responses, contract, checkpoint).isEmpty()
+    states = row_states(requests, responses.filter("false"), checkpoint.filter("false"))
+    assert {r["outcome"] for r in states.collect()} == {"validation_error", "template_error", "pending"}
+    assert row_states(requests, responses).count() == 300
