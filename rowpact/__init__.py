@@ -21,7 +21,7 @@ from rowpact.operators.summary import (
 )
 from rowpact.operators.validate import error_rows, invalid_rows, typed, valid_rows, validate
 from rowpact.sources.csv import read_csv, read_numbered_csv
-from rowpact.sources.sinks import commit_logs, committed, failed_rows, read_log, write_logs
+from rowpact.sources.sinks import commit_logs, committed, failed_rows, read_log, write_logs, write_report
 
 __all__ = [
     "Bounds", "CleanseRule", "ColumnSpec", "Contract", "ContractError", "ContractViolation",
@@ -29,5 +29,5 @@ __all__ = [
     "committed", "error_rows",
     "failed_rows", "first_errors", "invalid_rows", "preview", "read_csv", "read_log", "read_numbered_csv",
     "render", "row_outcomes", "row_states", "run_summary", "strict_gate", "typed", "valid_rows", "validate",
-    "validation_summary", "write_logs",
+    "validation_summary", "write_logs", "write_report",
 ]

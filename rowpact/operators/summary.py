@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowpact.fixed_values import FIRST_ERRORS
 from rowpact.operators.validate import error_rows
@@ -12,13 +12,18 @@ class ContractViolation(RuntimeError):
     """The strict gate found errors."""
 
 
-def validation_summary(validated: DataFrame) -> DataFrame:
-    return validated.agg(
+def summary_counters() -> list[Column]:
+    """What a validation's summary counts, over validated rows."""
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if("valid").alias("valid"),
         F.count_if(~F.col("valid")).alias("invalid"),
         F.coalesce(F.sum(F.size("errors")), F.lit(0)).cast("bigint").alias("error_count"),
-    )
+    ]
+
+
+def validation_summary(validated: DataFrame) -> DataFrame:
+    return validated.agg(*summary_counters())
 
 
 def first_errors(validated: DataFrame, n: int = FIRST_ERRORS) -> DataFrame:

@@ -462,6 +462,7 @@ def oracles() -> dict[str, str]:
         "validate_summary": orders_summary,
         "validate_staged": orders_summary,
         "validate_in_place": orders_summary,
+        "validate_observed": orders_summary,
         "first_errors": with_(ORDERS_CHECKED, """, ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY pos) - 1 AS place FROM orders_errors)
             SELECT row, CAST(place AS INTEGER) AS pos, "column", value, message FROM ranked ORDER BY row, place LIMIT 5"""),
         "run_summary": with_(OUTCOMES, """SELECT count(*) AS total, count(*) FILTER (WHERE outcome = 'success') AS success,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from rowpact.contract import Contract
 from rowpact.fixed_values import (
@@ -19,6 +19,7 @@ from rowpact.fixed_values import (
 from rowpact.operators.masking import mask_column_value, mask_named
 from rowpact.operators.outcome import failure_reason
 from rowpact.operators.request import request_json
+from rowpact.operators.summary import ContractViolation, summary_counters
 from rowpact.operators.validate import RAW, error_rows
 from rowpact.sources.staging import release, staging_path
 
@@ -102,6 +103,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     )
 
 
+def write_report(
+    validated: DataFrame, contract: Contract, path: str, at: Column, mask_secrets: bool = True, strict: bool = False
+) -> dict[str, int]:
+    """Writes the validation report; the summary's counters, taken in the same pass over the rows.
+
+    The rows are counted where they are written from, in the job's last stage, whose tasks Spark counts once each, whatever was run again.
+    With `strict` a table with invalid rows raises when its report has been written.
+    """
+    seen = Observation()
+    report = validation_report(validated.observe(seen, *summary_counters()), contract, at, mask_secrets)
+    write_csv(report, path)
+    counters = dict(seen.get)
+    if strict and counters["invalid"]:
+        raise ContractViolation(f"{counters['invalid']} of {counters['total']} rows violate the contract, see {path}")
+    return counters
+
+
 def write_csv_if_any(df: DataFrame, path: str) -> bool:
     """Write only when there is something to write."""
     if df.isEmpty():

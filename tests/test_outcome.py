@@ -247,3 +247,26 @@ def test_outcomes_of_empty_tables(spark, tmp_path):
     states = row_states(requests, responses.filter("false"), checkpoint.filter("false"))
     assert {r["outcome"] for r in states.collect()} == {"validation_error", "template_error", "pending"}
     assert row_states(requests, responses).count() == 300
+
+
+def test_report_and_counters_take_one_job(spark, tmp_path):
+    contract = type(CONTRACT).from_dict({"version": 1, "columns": [
+        {"name": "v", "type": "int", "required": True}, {"name": "w", "type": "string", "required": True}]})
+    data = spark.createDataFrame([(k, str(k) if k % 3 else "x", "" if k % 5 == 0 else "w") for k in range(1, 101)], "row bigint, v string, w string")
+    validated = validate(data, contract)
+    path = str(tmp_path / "report")
+    spark.sparkContext.setJobGroup("report", "")
+    counters = sinks.write_report(validated, contract, path, F.lit("now"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("report")
+    spark.sparkContext.setJobGroup("after", "")
+    assert len(jobs) == 1
+    assert counters == summary.validation_summary(validated).first().asDict()
+    assert counters == {"total": 100, "valid": 53, "invalid": 47, "error_count": 53}
+    lines = spark.read.csv(path, header=True).fillna("")
+    assert sorted(map(str, lines.collect())) == sorted(map(str, sinks.validation_report(
+        validated, contract, F.lit("now")).select(*[F.col(c).cast("string") for c in lines.columns]).collect()))
+    with pytest.raises(summary.ContractViolation, match="47 of 100"):
+        sinks.write_report(validated, contract, path, F.lit("now"), strict=True)
+    assert spark.read.csv(path, header=True).count() == 53
+    empty = sinks.write_report(validate(data.limit(0), contract), contract, path, F.lit("now"), strict=True)
+    assert empty == {"total": 0, "valid": 0, "invalid": 0, "error_count": 0}
