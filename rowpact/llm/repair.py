@@ -14,9 +14,10 @@ can only fall, so only places beside new symbols, and those of pairs that were o
 A task attempt writes files under names of its own and returns a row for each; that table of files is written by Spark, which keeps
 one attempt per task, and readers open only files in it. Files of lost attempts are never read.
 
-Encoding: the tokenizer splits at white space and drops it, so what stands between two ASCII white spaces is encoded alone and
-its ids are kept for when it comes again (up to CACHE strings a worker); so are those of words within such strings, where the
-tokenizer's file says how it cuts them. For a tokenizer that doesn't split at white space, pass whole=True.
+Encoding: the tokenizer splits at white space and drops it, so what stands between two ASCII white spaces is encoded alone. Texts are
+taken a few megabytes at a time; Arrow finds the different strings in them, numpy cuts these into words where the tokenizer's file says
+that it does the same, and the tokenizer is asked for words whose ids a worker doesn't know yet (it keeps up to CACHE). Ids of texts are
+gathered from those of words. For a tokenizer that doesn't split at white space, pass whole=True.
 
 Defined cases: a null text is empty and has END only; null ids come first; rows that are equal in id are ordered by text, null
 first; an empty table gives no file and no row; other columns are not read.
@@ -34,11 +35,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowpact.llm.common import Scratch, filesystem, read_range
+from rowpact.llm.common import Scratch, filesystem, flat, read_range, steps
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -47,6 +48,9 @@ STEP = 4
 MIN_COUNT = 8
 BIN_BITS = 18
 CACHE = 700_000
+#: Bytes of texts that are encoded at once (a longer text alone), and strings of them whose ids are gathered at once.
+TEXT_BYTES = 4 << 20
+STRINGS = 1 << 20
 MAGIC = b"RPIDS002"
 #: magic, different ids, rules, documents, ids, bytes of a symbol
 _HEAD = struct.Struct("<8sQQQQQ")
@@ -63,33 +67,49 @@ def _trimmed(known: dict, most: int) -> dict:
     return known if len(known) < most else dict(itertools.islice(known.items(), most // 2))
 
 
+def _runs(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, length numbers long, end to end."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    #: What the tokenizer does to these characters before it merges: lower case, then its own pattern.
-    _PLAIN = regex.compile("[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+    #: What the tokenizer matches as a word once it has lower-cased.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Of bytes of plain strings, which are in UTF-8 !-~ without the apostrophe, \u00C0-\u00D6, \u00D8-\u00F6 and \u00F8-\u00FF:
+    #: 1 in letters, 2 digits, 3 others; 0 no byte of such. And what they are in lower case.
+    _KIND, _LOWER = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    _KIND[0x21:0x7F] = 3
+    _KIND[0x30:0x3A] = 2
+    _KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:0xC0] = _KIND[0xC3] = 1
+    _KIND[[0x27, 0x97, 0xB7]] = 0
+    _LOWER[0x41:0x5B] += 32
+    _LOWER[0x80:0x9F] += 32
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
-        #: Ids of strings between white spaces, and of words in them; a line feed stands between two strings.
-        self.known, self.parts = {}, {"\n": b""}
-        self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pattern, self.last = self._words()
+        #: Ids of words, and of strings between white spaces that aren't cut into words.
+        self.known: dict[str, bytes] = {}
+        self.last = self._ends()
 
-    def _words(self):
-        """The pattern that cuts words, and which ids end one, if the tokenizer lower-cases, cuts by a pattern and marks word ends."""
+    def _ends(self) -> np.ndarray | None:
+        """Which ids end a word, if the tokenizer lower-cases, cuts by WORDS and marks word ends."""
         about = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
         cut = ((about["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
         end = about["model"].get("end_of_word_suffix")
         if steps != ["NFC", "Replace", "Lowercase"] or cut.get("type") != "Split" or not cut.get("invert") or not end:
-            return None, None
-        last = np.zeros(self.base, bool)
+            return None
+        if cut["pattern"] != {"Regex": self.WORDS} or any(not x["content"].startswith("<|") for x in about["added_tokens"]):
+            return None
+        last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         last[[k for x, k in self.tokenizer.get_vocab(with_added_tokens=False).items() if x.endswith(end)]] = True
-        return regex.compile(f"\n|{cut['pattern']['Regex']}"), last
+        return last
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,40 +123,61 @@ class Encoder:
         data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _encode_new(self, texts: list[str]) -> list[bytes]:
-        """Of strings without white space. Plain ones are cut into words in one pass over all of them, line feeds between."""
-        if self.pattern is None:
-            return self._encode(texts)
-        plain = [self._PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
-        odd = iter(self._encode([x for x, p in zip(texts, plain, strict=True) if not p]))
-        words = self.pattern.findall("\n".join(itertools.compress(texts, plain)).lower())
-        found = list(map(self.parts.get, words))
-        new = list(dict.fromkeys(itertools.compress(words, [x is None for x in found])))
-        if new:
-            self.parts.update(zip(new, self._encode_words(new), strict=True))
-            found = list(map(self.parts.__getitem__, words))
-        cuts = [k for k, x in enumerate(words) if x == "\n"]
-        ends = iter(zip([0, *cuts], [*cuts, len(words)], strict=True))
-        out = [b"".join(found[slice(*next(ends))]) if p else next(odd) for p in plain]
-        self.parts = _trimmed(self.parts, CACHE)
-        self.parts["\n"] = b""
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _cut(self, strings: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """What strings without white space are cut into, end to end: plain ones into words in lower case, others stay whole. Where each
+        string's begin (one more than strings), and which are of strings that aren't plain."""
+        data, at = flat(strings)
+        length, kind = np.diff(at), self._KIND[data]
+        if self.last is None:
+            odd = np.ones(len(length), bool)
+        else:
+            strange = kind == 0
+            # An added token begins so.
+            strange[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+            total = np.concatenate([[0], np.cumsum(strange)])
+            odd = total[at[1:]] > total[at[:-1]]
+        begin = kind == 2
+        begin[1:] |= kind[1:] != kind[:-1]
+        within = np.repeat(odd, length)
+        begin[within] = False
+        begin[at[:-1][length > 0]] = True
+        start = np.flatnonzero(begin)
+        offsets = np.concatenate([start, at[-1:]]).astype(np.int32)
+        lower = np.where(within, data, self._LOWER[data])
+        return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(lower)), np.searchsorted(start, at), within[start]
+
+    def _ids(self, pieces: list[str], odd: np.ndarray) -> list[bytes]:
+        """Of words and strings; the tokenizer is asked for those not known."""
+        found = list(map(self.known.get, pieces))
+        for encode, of in ((self._encode_words, ~odd), (self._encode, odd)):
+            new = [k for k in np.flatnonzero(of).tolist() if found[k] is None]
+            if new:
+                names = [pieces[k] for k in new]
+                for k, name, ids in zip(new, names, encode(names), strict=True):
+                    found[k] = self.known[name] = ids
+        self.known = _trimmed(self.known, CACHE)
+        return found
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
         if self.whole:
-            return self._encode(texts)
-        pieces = [x.encode().split() for x in texts]
-        every = list(itertools.chain.from_iterable(pieces))
-        found = list(map(self.known.get, every))
-        missing = [k for k, x in enumerate(found) if x is None]
-        if missing:
-            new = list(dict.fromkeys(every[k] for k in missing))
-            self.known.update(zip(new, self._encode_new([p.decode() for p in new]), strict=True))
-            for k in missing:
-                found[k] = self.known[every[k]]
-            self.known = _trimmed(self.known, CACHE)
-        ends = list(itertools.accumulate(map(len, pieces), initial=0))
-        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            return self._encode(texts.to_pylist())
+        strings = pc.ascii_split_whitespace(texts)
+        coded = strings.values.dictionary_encode()
+        cut, first, odd = self._cut(coded.dictionary)
+        cut = cut.dictionary_encode()
+        which = cut.indices.to_numpy(zero_copy_only=False)
+        other = np.zeros(len(cut.dictionary), bool)
+        other[which[odd]] = True
+        found = self._ids(cut.dictionary.to_numpy(zero_copy_only=False).tolist(), other)
+        # Ids of words to those of different strings, then to those of all.
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, length = np.frombuffer(b"".join(found), "<u4")[_runs((np.cumsum(length) - length)[which], length[which])], length[which]
+        start = np.concatenate([[0], np.cumsum(length)])[first]
+        length, which = np.diff(start), coded.indices.to_numpy(zero_copy_only=False)
+        data = b"".join(pool[_runs(start[part], length[part])].tobytes() for part in (which[a : a + STRINGS] for a in range(0, len(which), STRINGS)))
+        ends = (4 * np.concatenate([[0], np.cumsum(length[which])]))[strings.offsets.to_numpy()].tolist()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -197,7 +238,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, least: int = MIN_C
         same = np.zeros(len(at), bool)
         same[1:] = (np.diff(at) == 1) & (which[1:] == which[:-1])
         begin = np.flatnonzero(~same)
-        counted = (np.arange(len(at)) - np.repeat(begin, np.diff([*begin, len(at)]))) % 2 == 0
+        counted = (np.arange(len(at)) - np.repeat(begin, np.diff(begin, append=len(at)))) % 2 == 0
         counts = np.bincount(which[counted], minlength=len(names))
         frequent = (counts >= floor)[which]
         rank = np.empty(len(names), np.int64)
@@ -367,10 +408,8 @@ def write(docs: DataFrame, scratch: Scratch, tokenizer: str | None = None, id_co
             return row
 
         for batch in batches:
-            keys = batch.column("id").to_pylist()
-            for a in range(0, len(keys), 256):
-                texts = [x or "" for x in batch.column("text").slice(a, 256).to_pylist()]
-                for key, ids in zip(keys[a : a + 256], encode(texts), strict=True):
+            for step in steps(batch, "text", TEXT_BYTES):
+                for key, ids in zip(step.column("id").to_pylist(), encode(step.column("text")), strict=True):
                     held[0].append(key), held[1].append(ids + stop)
                     n += len(ids) // 4 + 1
                     if n >= shard_ids:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rowpact.llm import decontaminate, jaccard, linededup, mixing, oracles, quality, repair, suffixes
@@ -447,6 +448,42 @@ def test_ids(scratch, documents, rows):
     assert repair.read(repair.write(documents([]), scratch)).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_ids_of_texts_are_those_of_the_tokenizer(monkeypatch, blocks):
+    from tokenizers import Tokenizer
+
+    if blocks:
+        monkeypatch.setattr(repair, "STRINGS", blocks)
+        monkeypatch.setattr(repair, "CACHE", blocks)
+    tokenizer, encode = Tokenizer.from_file(repair.tokenizer_path()), repair.Encoder(repair.tokenizer_path())
+    texts = ["left out", None, "", " \n\t ", "Don't WE'LL ''s x're, 'realm", "ÀÖ×ØÞß÷ÿ ªº² A×B", "a<|endoftext|>B <|EndOfText|> < | <| |>", "AB12c3--d.E", "É É  ́a",
+             "x\x00y\x1cz\x7f \x85\xa0w", "ΑΣ İI ﬁ 汉字 😀", "a<", "|b", "\u0117\u4dd7 ė", "don't a<|endoftext|>b", "ab" * 500]
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abAB1.<|>' \nÉé×ñß\u0301汉"))
+    texts += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 300)]
+    expected = [np.array(tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert encode(pa.array(texts, kind)[1:]) == expected[1:]
+        for k in range(6):
+            assert encode(pa.array(texts, kind)[k : k + 1]) == [expected[k]] and encode(pa.array(texts, kind)[k:k]) == []
+
+
+def test_ids_are_looked_up_once_for_each_word():
+    """Not once for each time that a word comes: that, not the tokenizer, took most of the time."""
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+    encode, rng = repair.Encoder(repair.tokenizer_path()), np.random.default_rng(2)
+    encode.known = known = Counting()
+    words = ["the", "house", "Stands", "by", "a", "river,", "no", "42", "don't"]
+    encode(pa.array([" ".join(rng.choice(words, 200)) for _ in range(100)]))
+    assert 0 < known.asked <= 20
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_grammar_round_trip(seed):
     rng = np.random.default_rng(seed)
