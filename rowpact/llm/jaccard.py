@@ -10,8 +10,11 @@ Shingles are put in a global order by a 64-bit hash. The order is cut into fragm
    empty one says nothing, and that all in question are empty has a chance below 1e-12 a pair. Smaller sets: the order is cut into
    d/3 + 1 groups of GROUP fragments, so some group has at most two differing shingles; a signature for each choice of GROUP - 2 of its
    fragments, empty or not, and one choice is without difference.
-3. Classes that share a signature are of one family: each meets the least class of the signature (a star, so rows grow with the
-   members of a signature, not with their square), and families are the components of these stars.
+3. Classes that share a signature meet, which a line that many texts have in common is enough for. Each class has a sketch: a bit for each
+   remainder of its hashes that comes up an odd number of times. A shingle that only one of two sets has turns one bit, so sketches of
+   linked sets differ in no more bits than the sets do in shingles. Classes of a signature whose sizes and sketches allow a link are
+   tied, by as many rows as the signature has members at most; families are the components of these ties. A signature of
+   more than MEETING classes is cut into blocks as families are. Signatures are taken in PASSES shares, one after the other.
 4. Families are compared block by block: a family of more than BLOCK classes (or BLOCK_SHINGLES shingles) is cut into blocks by hash, and
    each pair of blocks is a task's work. The order is cut into PARTS equal ranges; overlaps of all pairs are counted in each range
    separately, as a product of incidence matrices of that range's shared shingles, and summed per pair. Only one link per class and
@@ -27,6 +30,7 @@ give none; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -44,6 +48,13 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1 << 20
 #: Columns of an incidence matrix that is held at once.
 COLUMNS = 4096
+PASSES = 2
+#: Bits of a sketch, and of those of sets from LARGE shingles; the wide ones fold to the others.
+NARROW, WIDE = 256, 1024
+LARGE = 448
+MEETING = 8192
+#: Up to so many members of a signature are compared each with each, all signatures of a batch at once.
+FEW = 8
 SPARE = 5
 SPARE_SHARE = 0.15
 SMALL = 64
@@ -137,17 +148,109 @@ def _key(found: np.ndarray) -> bytes:
     return np.array([np.add.reduce(one), np.add.reduce(two) + np.uint64(len(found))], np.uint64).tobytes()
 
 
+def sketch(found: np.ndarray) -> bytes:
+    bits = NARROW if len(found) < LARGE else WIDE
+    times = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((times & 1).astype(np.uint8)).tobytes()
+
+
+class Sketches:
+    """Sizes and sketches of some classes."""
+
+    def __init__(self, n: np.ndarray, values: list[bytes], threshold: int):
+        self.n, self.threshold = n, threshold
+        self.large = n >= LARGE
+        self.at = np.cumsum(self.large) - 1
+        self.wide = np.frombuffer(b"".join(v for v in values if len(v) > NARROW // 8), np.uint64).reshape(-1, WIDE // 64)
+        self.narrow = np.empty((len(n), NARROW // 64), np.uint64)
+        self.narrow[~self.large] = np.frombuffer(b"".join(v for v in values if len(v) == NARROW // 8), np.uint64).reshape(-1, NARROW // 64)
+        self.narrow[self.large] = np.bitwise_xor.reduce(self.wide.reshape(-1, WIDE // NARROW, NARROW // 64), 1)
+
+    def may_link(self, a, b: np.ndarray) -> np.ndarray:
+        """For each place of b, and that of a beside it: false where sizes or sketches rule a link out."""
+        n, m = self.n[a], self.n[b]
+        # Of x and y shingles as many are in one set only.
+        most = (n + m) * (100 - self.threshold) // (100 + self.threshold)
+        ok = 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
+        ok &= np.bitwise_count(self.narrow[a] ^ self.narrow[b]).sum(-1, dtype=np.int64) <= most
+        again = np.flatnonzero(ok & self.large[a] & self.large[b])
+        if len(again):
+            x, y = a if np.ndim(a) == 0 else a[again], b[again]
+            ok[again] = np.bitwise_count(self.wide[self.at[x]] ^ self.wide[self.at[y]]).sum(-1, dtype=np.int64) <= most[again]
+        return ok
+
+
+def meetings(group: np.ndarray, of: Sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that tie all classes of a group which may be linked; group: numbers that never fall."""
+    cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    few = np.repeat(np.diff(cut) <= FEW, np.diff(cut))
+    left, right = [], []
+    for d in range(1, FEW):
+        a = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
+        a = a[of.may_link(a, a + d)]
+        left.append(a)
+        right.append(a + d)
+    for k in np.flatnonzero(np.diff(cut) > FEW):
+        rest = np.arange(cut[k], cut[k + 1])
+        while len(rest):
+            head, rest = rest[0], rest[1:]
+            reached = [head]
+            while reached and len(rest):
+                ok = of.may_link(reached.pop(), rest)
+                new, rest = rest[ok], rest[~ok]
+                left.append(np.full(len(new), head))
+                right.append(new)
+                reached += new.tolist()
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _meet(threshold: int):
+    """Rows (s, x, y, m, n, sketch) come sorted by the first three: a group is a signature, or a pair of its blocks."""
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        s, x, y, m, n = (table.column(c).to_numpy() for c in ("s", "x", "y", "m", "n"))
+        group = np.cumsum(np.concatenate([[False], (s[1:] != s[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        a, b = meetings(group, Sketches(n, table.column("sketch").to_pylist(), threshold))
+        a, b = np.minimum(m[a], m[b]), np.maximum(m[a], m[b])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)] & (a != b)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last group of a batch may go on in the next one.
+            last = np.ones(batch.num_rows, bool)
+            for c in ("s", "x", "y"):
+                value = batch.column(c).to_numpy()
+                last &= value == value[-1]
+            at = int(np.argmax(last))
+            if held and (at or any(held[-1].column(c)[-1] != batch.column(c)[0] for c in ("s", "x", "y"))):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = []
+            elif at:
+                yield pairs(pa.Table.from_batches([batch.slice(0, at)]))
+            held.append(batch.slice(at))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return run
+
+
 def _lists(values: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 _SETS = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("signatures", T.ArrayType(T.LongType()))])
+    T.StructField("n", T.LongType()), T.StructField("cls", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
+    *[T.StructField(f"signatures_{k}", T.ArrayType(T.LongType())) for k in range(PASSES)]])
 
 
 def sets(docs: DataFrame, id_column: str, text: str, shingle: int, threshold: int) -> DataFrame:
-    """doc_id, same (tells texts apart), n (shingles), cls (class), signatures of its fragments."""
+    """doc_id, same (tells texts apart), n (shingles), cls (class), its sketch, signatures of its fragments in PASSES shares."""
     cuts = Cuts(threshold)
     source = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(F.col(text)).alias("same"), F.col(text).alias("text"))
 
@@ -155,10 +258,12 @@ def sets(docs: DataFrame, id_column: str, text: str, shingle: int, threshold: in
         for whole in batches:
             for batch in steps(whole, "text"):
                 found = shingle_sets(*flat(batch.column("text")), shingle)
+                signatures = [cuts.signatures(x) for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("same"), pa.array([len(x) for x in found], pa.int64()),
-                     pa.array([_key(x) for x in found], pa.binary()), _lists([cuts.signatures(x) for x in found])],
-                    ["doc_id", "same", "n", "cls", "signatures"])
+                     pa.array([_key(x) for x in found], pa.binary()), pa.array([sketch(x) for x in found], pa.binary()),
+                     *[_lists([x[x % np.uint64(PASSES) == k] for x in signatures]) for k in range(PASSES)]],
+                    ["doc_id", "same", *_SETS.names])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields[:2], *_SETS.fields]))
 
@@ -246,25 +351,40 @@ def _compare(threshold: int):
     return run
 
 
+def _met(found: DataFrame, classes: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of ids that tie the classes which share a signature of the k-th share and may be linked."""
+    own = found.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value(f"signatures_{k}").alias("signatures"))
+    here = Window.partitionBy("s")
+    shared = own.select(F.explode("signatures").alias("s"), F.coalesce("doc_id", F.xxhash64("cls")).alias("m")).select(
+        "s", "m", F.min("m").over(here).alias("least"), F.max("m").over(here).alias("most"), F.count("*").over(here).alias("times"))
+    shared = scratch.stage(shared.filter("least <> most").select("s", "m", F.ceil(F.col("times") / MEETING).cast("int").alias("blocks")), f"shared-{k}")
+    scratch.tidy()
+    place = F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")
+    rows = shared.join(classes.select("m", "n", "sketch"), "m").select(
+        "s", "m", "n", "sketch", place.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("s", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "m", "n", "sketch")
+    ordered = rows.repartition("s", "x", "y").sortWithinPartitions("s", "x", "y")
+    met = scratch.stage(ordered.mapInArrow(_meet(threshold), "a bigint, b bigint").distinct(), f"met-{k}")
+    scratch.tidy(f"shared-{k}")
+    return met
+
+
 def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
          threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, same, n_shingles, cls, component_id and first (whether the class has the component's least class): one row
     per document."""
     found = scratch.stage(sets(docs, id_column, text, shingle, threshold), "sets")
-    classes = found.filter("n > 0").groupBy("cls").agg(
-        F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("signatures").alias("signatures"))
     # Two numbers a signature: an id that two classes share only brings both up as candidates.
     member = F.coalesce("doc_id", F.xxhash64("cls"))
-    met = classes.select(F.explode("signatures").alias("s"), member.alias("m"))
-    here = Window.partitionBy("s")
-    shared = met.withColumn("least", F.min("m").over(here)).withColumn("most", F.max("m").over(here)).filter("least <> most").select("s", "m", "least")
-    shared = scratch.stage(shared, "shared-ids")
-    scratch.tidy()
-    by_id = classes.select(member.alias("m"), "cls", "n", "doc_id")
-    families = scratch.stage(components(shared.select(F.col("least").alias("a"), F.col("m").alias("b")), scratch, "families"), "family-of")
-    members = scratch.stage(by_id.join(families, by_id["m"] == families["node"]).select("cls", "n", "doc_id", "root"), "members")
+    classes = found.filter("n > 0").groupBy("cls").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"))
+    classes = scratch.stage(classes.withColumn("m", member), "classes")
+    met = [_met(found, classes, k, threshold, scratch) for k in range(PASSES)]
+    found = scratch.stage(found.select("doc_id", "same", "n", "cls"), "texts")
+    scratch.tidy("sets")
+    families = scratch.stage(components(functools.reduce(DataFrame.unionAll, met), scratch, "families"), "family-of")
+    members = scratch.stage(classes.join(families, classes["m"] == families["node"]).select("cls", "n", "doc_id", "root"), "members")
     hashes = scratch.stage(sets_of(docs, members, id_column, text, shingle), "hashes")
-    scratch.tidy("shared-ids")
+    scratch.tidy()
     blocks = members.groupBy("root").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
@@ -283,7 +403,7 @@ def join(docs: DataFrame, scratch: Scratch, id_column: str = "doc_id", text: str
     alone = scratch.stage(alone.filter("copies > 1").join(grouped, "cls", "full").select(
         "cls", F.when(F.col("head").isNotNull(), F.col("component")).otherwise(F.col("own")).alias("component"), F.coalesce("head", "cls").alias("head")), "named")
     # Spark splits the partition of a class of very many copies.
-    out = found.drop("signatures").join(alone, "cls", "left")
+    out = found.join(alone, "cls", "left")
     grouped_ = F.col("head").isNotNull() & (F.col("n") > 0)
     return out.select(
         "doc_id", "same", F.col("n").alias("n_shingles"), "cls",

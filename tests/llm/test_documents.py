@@ -384,6 +384,76 @@ def test_jaccard(scratch, documents, monkeypatch, block):
     assert len(ids) == len(empty) + len(groups) + 1 and set(x for x in groups if x != "none") <= set(ids)
 
 
+def test_a_line_in_common_makes_no_family(scratch, documents):
+    """Texts that share a line only meet by its signatures; one pair of near copies is all that is compared."""
+    rng = random.Random(11)
+    rows = [(k, f"this line of twelve words stands at the head of every text\n{prose(rng, 60 + k % 40)}", "en", "a") for k in range(200)]
+    rows.append((200, rows[0][1] + " added", "en", "a"))
+    got = jaccard.join(documents(rows), scratch, shingle=5, threshold=80)
+    assert sorted(r["component_id"] for r in got.collect()) == [0, *range(200)]
+    assert sorted(r["doc_id"] for r in scratch.spark.read.parquet(scratch._written["members"]).collect()) == [0, 200]
+
+
+def test_large_signatures_meet_in_blocks(scratch, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEETING", 3)
+    rows = [*EDGES, *near(random.Random(7))]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(documents(rows), scratch, shingle=5, threshold=80).collect()]
+    assert sorted(got, key=repr) == brute_components(rows, 80, 5)
+
+
+def random_sets(rng, n, many):
+    base = np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False))
+    for _ in range(many):
+        out, added = rng.integers(0, n // 8 + 2, 2)
+        yield np.unique(np.concatenate([base[:1], rng.permutation(base)[out:], rng.integers(0, 1 << 64, added, np.uint64, endpoint=False)]))
+
+
+@pytest.mark.parametrize("threshold", [80, 90])
+def test_sketches_allow_every_link(threshold):
+    """On both sides of the size from which sketches are wide."""
+    rng = np.random.default_rng(6)
+    for n in [1, 2, 9, 63, 64, 130, 300, jaccard.LARGE - 1, jaccard.LARGE, 500, 2000]:
+        made = list(random_sets(rng, n, 20))
+        sketches = jaccard.Sketches(np.array([len(x) for x in made]), [jaccard.sketch(x) for x in made], threshold)
+        for a, x in enumerate(made):
+            may = sketches.may_link(a, np.arange(len(made)))
+            assert (may == sketches.may_link(np.full(len(made), a), np.arange(len(made)))).all()
+            for b, y in enumerate(made):
+                shared = len(np.intersect1d(x, y))
+                assert may[b] or 100 * shared < threshold * (len(x) + len(y) - shared)
+    # Sets with nothing in common are told apart where a link allows few bits.
+    apart = [np.unique(rng.integers(0, 1 << 64, n, np.uint64, endpoint=False)) for n in [80, 200, 300, 500, 1000] for _ in range(2)]
+    sketches = jaccard.Sketches(np.array([len(x) for x in apart]), [jaccard.sketch(x) for x in apart], threshold)
+    assert not sketches.may_link(np.arange(0, 10, 2), np.arange(1, 10, 2)).any()
+
+
+@pytest.mark.parametrize("size", [1, 3, 50, 4000])
+def test_members_of_a_signature_are_tied(size):
+    """Ties make the components of all pairs that may be linked, in batches of any size."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for s, many in enumerate([1, 2, 5, jaccard.FEW, jaccard.FEW + 1, 40, 3, 90, 1]):
+        for n in (70, 500):
+            made = [x for _ in range(1 + many // 8) for x in random_sets(rng, n, 8)][:many]
+            rows += [(s, 0, n, 1000 * s + n + k, len(x), jaccard.sketch(x)) for k, x in enumerate(made)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+    table = pa.table(columns, ["s", "x", "y", "m", "n", "sketch"])
+    pairs = {(a, b) for batch in jaccard._meet(80)(iter(table.to_batches(max_chunksize=size))) for a, b in zip(*batch.to_pydict().values(), strict=True)}
+    sketches = jaccard.Sketches(np.array([r[4] for r in rows]), [r[5] for r in rows], 80)
+    every = {(rows[a][3], rows[b][3]) for a in range(len(rows)) for b in range(a + 1, len(rows))
+             if rows[a][:3] == rows[b][:3] and sketches.may_link(a, np.array([b]))[0]}
+
+    def roots(links):
+        root = {r[3]: r[3] for r in rows}
+        for _ in rows:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(sorted(pairs)) == roots(sorted(every)) and len(pairs) < len(every)
+
+
 def test_jaccard_of_empty_tables(scratch, documents):
     assert jaccard.join(documents([]), scratch).count() == 0
     assert jaccard.keep_one(documents([]), scratch).count() == 0
